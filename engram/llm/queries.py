@@ -11,6 +11,9 @@ from . import oracles
 from .chat import chat_digests, format_chats
 from .common import table
 from .decontaminate import find_contamination
+from .html_text import extract_main_text
+from .language_id import identify, train
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import judge_quality
 from .sharding import shard
@@ -36,10 +39,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), read_tokenizer(PIECE_MODEL))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, train(documents))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
@@ -55,14 +67,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), read_tokenizer(BYTE_VOCABULARY))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
