@@ -75,23 +75,31 @@ HINTS = frozenset(
     "comment comments reply replies respond disqus notice notices notification cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended toolbar pagination pager search complementary contentinfo skip copyright disclaimer legal".split()
 )
+# Of these: names of readers' comments (which are articles too at times), and of headers (an article may have its own).
+READERS = frozenset("comment comments reply replies".split())
+HEADERS = frozenset("header masthead".split())
+# Parts of names that tell of something elsewhere, like ``with-sidebar``.
+_NEGATED = frozenset("with has no without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+def _names_boilerplate(token: str, hints: frozenset[str]) -> bool:
+    """Whether a class, id or role names a boilerplate element by its first or last part, like ``site-footer``."""
+    parts = _PART.findall(token)
+    return bool(parts) and not _NEGATED.intersection(parts) and (parts[0] in hints or parts[-1] in hints)
+
+
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     if name in BOILERPLATE:
         return not (name == "header" and in_article)
-    if name in ARTICLE or name in ("body", "html") or not attributes:
-        named = attributes and name in ARTICLE
-        if not named:
-            return False
-    for m in _NAMED.finditer(attributes):
-        if any(p in HINTS for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    if not attributes or name in ("body", "html"):
+        return False
+    hints = READERS if name in ARTICLE else HINTS - HEADERS if in_article else HINTS
+    tokens = (t for m in _NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(_names_boilerplate(t, hints) for t in tokens)
 
 
 def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
