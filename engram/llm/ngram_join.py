@@ -15,15 +15,22 @@ so a set is dropped as soon as they fill its prefix, which most sets' do.
 Equal sets are one node. To keep large groups of near copies from being paired
 with each other, links are sought in steps: first each node is held against one
 centre (the node with the fewest tokens of its own among those that share its
-prefix tokens, by most shared), twice; links contract nodes to components. Then
-every remaining candidate pair of different components is verified, so no link
-between components is lost, and pairs inside one can't change the result.
+prefix tokens, by most shared); links contract nodes to components. Then every
+remaining candidate pair of different components is verified, so no link between
+components is lost, and pairs inside one can't change the result. Pairs of tokens
+that up to ``HOT_ROWS`` nodes share are joined as rows. Nodes of more frequent
+tokens are gathered by cluster (nodes connected by such tokens), cut into blocks,
+and a task holds two blocks against each other by posting lists; it gives back
+links that connect components only, so no rows of pairs are made.
 
 Scale. Tokens move once, 10 bytes each, packed by chunk and bucket: the map
 packs chunks of documents, a reducer per token bucket finds tokens of two sets
 or more, and replies to the chunks. All later tables hold only sets that can
 have a partner. Joins are by shuffle, on keys whose large groups adaptive
-execution may split; links and components stay in tables in the shared folder.
+execution may split; links and components stay in tables in the shared folder. A
+cluster of g nodes is sent ``g / BLOCK_ROWS`` times, and compared in as many tasks
+squared; that is the one part whose work grows faster than the input, where many
+sets are alike but not linked.
 Tokens are 64-bit hashes, set ids 128-bit hashes of sets.
 
 The documents should be a table or another source that deals rows alike each
@@ -45,13 +52,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage_table
-from .textbatch import U64, Words, inside, lower_ascii, mix, shingle_hashes, slices, white_space_separates
+from .textbatch import U64, Words, lower_ascii, mix, shingle_hashes, slices, white_space_separates
 
 WORDS = 5
 PERCENT = 75
 CHUNK_TOKENS = 2_000_000
 CHUNK_SETS = 60_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+HOT_ROWS = 64
+BLOCK_ROWS = 1024
 
 _WORD, _FOLD = white_space_separates(), lower_ascii()
 
@@ -243,14 +252,18 @@ def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("x").agg(F.max_by("y", F.struct("votes", F.negative("y"))).alias("y")).select("x", "y")
 
 
-def _remaining_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs of different components under the first order.
+def _mixed_tokens(entries: DataFrame) -> DataFrame:
+    """(token, main, rows): tokens of several components, the largest of these, and the nodes that share the token."""
+    sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    return sizes.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).where("comps > 1").select("token", "main", "rows")
+
+
+def _remaining_pairs(entries: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of different components under the first order, of the tokens in ``mixed``.
 
     Of each token the rows of its largest component are held against the other
     rows only, so the join grows with those others.
     """
-    sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("rows"))
-    mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
     held = entries.join(mixed, "token").select("token", "node", "comp", "n", "place", "main")
     few = held.where("comp <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "place")))
     all_ = held.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "place")))
@@ -261,6 +274,76 @@ def _remaining_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return few.join(all_, "token").where((F.col("x_comp") != F.col("y_comp")) & once & fits).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
+class _Postings:
+    """Rows that hold each token, among the rows of a task."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        tokens = np.concatenate(lists)
+        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        self.tokens, at = np.unique(tokens, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.rows = rows[order]
+        self.first = np.searchsorted(at[order], np.arange(len(self.tokens) + 1))
+        self.own = np.split(at, np.cumsum([len(x) for x in lists])[:-1])
+        self.n = len(lists)
+
+    def shared(self, i: int) -> np.ndarray:
+        """For each row, the tokens that it shares with row i."""
+        parts = [self.rows[self.first[t] : self.first[t + 1]] for t in self.own[i].tolist()]
+        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of two blocks of a cluster (or one and itself): links that connect components."""
+        table = table.combine_chunks()
+        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        block, low, high = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        lists = lambda c: [np.asarray(v.values) for v in table.column(c)]
+        sets = _Postings(lists("tokens"))
+        prefixes = [_Postings(lists(f"prefix_{k}")) for k in (1, 2, 3)]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        out = []
+        for i in np.flatnonzero(block == low).tolist():
+            fits = (block == high) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if low == high:
+                fits[: i + 1] = False
+            for p in prefixes:
+                if not fits.any():
+                    break
+                fits &= p.shared(i) > 0
+            if not fits.any():
+                continue
+            both = sets.shared(i)
+            for j in np.flatnonzero(fits & (100 * both >= percent * (n + n[i] - both))).tolist():
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(node[i]), int(node[j])))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
+
+    return run
+
+
+def _links_in_clusters(entries: DataFrame, hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components among the nodes of frequent tokens."""
+    edges = stage_table(entries.join(hot.select("token"), "token").select(F.col("token").alias("x"), F.col("node").alias("y"), "comp"), "hot-entries")
+    clusters = components(edges)
+    comps = edges.select(F.col("y").alias("node"), "comp").distinct()
+    members = stage_table(comps.join(clusters, "node").select("node", "comp", F.col("label").alias("cluster")), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = sent.join(nodes.select("node", "n", "tokens", "prefix_1", "prefix_2", "prefix_3"), "node")
+    return rows.groupBy("cluster", "low", "high").applyInArrow(_block_links(percent), "x long, y long")
+
+
 def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: the size of its set, and the smallest doc_id of its class."""
     spark = documents.sparkSession
@@ -285,10 +368,18 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    pairs = stage_table(_remaining_pairs(_with_components(entries, labels), percent), "pairs")
-    found = stage_table(_verified(pairs, nodes, percent), "links")
-    if not found.isEmpty():
-        links = found if links is None else links.union(found)
+    current = stage_table(_with_components(entries, labels), "current")
+    mixed = stage_table(_mixed_tokens(current), "mixed")
+    more = [_verified(_remaining_pairs(current, mixed.where(F.col("rows") <= HOT_ROWS), percent), nodes, percent)]
+    hot = mixed.where(F.col("rows") > HOT_ROWS)
+    if not hot.isEmpty():
+        more.append(_links_in_clusters(current, hot, nodes, percent))
+    for rows in more:
+        found = stage_table(rows, "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = None
+    if labels is None and links is not None:
         labels = components(links)
 
     if labels is None:

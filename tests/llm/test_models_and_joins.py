@@ -80,6 +80,16 @@ def test_links_without_star_rounds(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, star_rounds=0).collect()} == brute_classes(rows)
 
 
+@pytest.mark.parametrize(("hot", "block"), [(2, 1024), (3, 4)])
+def test_links_in_blocks(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rows = near_copies(9, 45)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 1):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, star_rounds=rounds).collect()} == brute_classes(rows)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (102, 103)]
     got = {r.node: r.label for r in components(spark.createDataFrame(path, "x long, y long")).collect()}
@@ -147,6 +157,19 @@ def test_html(spark):
     assert [b[1:3] for b in blocks_of("<div>a <a href=x>b c</a></div>")] == [(3, 2)]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='has-sidebar'><div class='content-with-sidebar'><article class='post no-comments'><div class='entry-header'><h1>T</h1></div><p>body</p></article></div>", "T\n\nbody"),
+        ("<article><p>a</p><article class='comment'><p>reader</p></article><div id='comment-list'><p>more</p></div></article>", "a"),
+        ("<header><p>site</p></header><main role=main><p>a</p><div class='ad-slot'>buy</div><div class='site-footer'>c</div></main>", "a"),
+        ("<article><p>one<p>two<ul><li>x<li>y</ul><div class=related-posts><p>z</div></article>", "one\n\ntwo\n\nx\n\ny"),
+    ],
+)
+def test_html_places(html, text):
+    assert main_text(html, train_tree()) == text
+
+
 def test_html_of_pages_without_article_elements():
     para = "<p>" + "a sentence with several words in it " * 6 + "</p>"
     html = "<body><div><a href=/>home</a></div><div><a href=/x>x</a></div>" + para * 3 + "<div><a href=/y>more</a></div></body>"
