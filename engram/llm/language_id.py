@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import slices
+from .textbatch import release_memory, slices
 
 BITS = 18
 SAMPLE_ROWS = 3000
@@ -91,6 +91,7 @@ def _vector_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(bucket.astype("<i4").tobytes())
                 values.append((count / max(1, count.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(low, high - low), batch.column("at").slice(low, high - low), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["lang", "at", "keys", "values"])
+    release_memory()
 
 
 class Model:
@@ -220,6 +221,7 @@ def _predict_map(shared):
                     names[told] = np.array(model.languages, object)[best[told]]
                     score[told] = p[told, best[told]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), batch.column("held_out").slice(low, n), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        release_memory()
 
     return run
 

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage_table
+from .textbatch import release_memory
 
 CAPACITY = 2048
 END_ID = 0
@@ -209,6 +210,7 @@ def _piece_map(shared, capacity: int, end_id: int, with_ids: bool):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names[: len(rows)])
+        release_memory()
 
     return run
 

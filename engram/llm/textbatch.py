@@ -8,6 +8,7 @@ slice or the largest document, whatever the size of the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,24 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018 - absent from other C libraries
+except (OSError, AttributeError):
+    _LIBC = None
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers stay for later tasks, and so would what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))
