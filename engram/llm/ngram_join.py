@@ -52,12 +52,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage_table
-from .textbatch import U64, Words, lower_ascii, mix, shingle_hashes, slices, white_space_separates
+from .textbatch import U64, Words, lower_ascii, mix, release_memory, shingle_hashes, slices, white_space_separates
 
 WORDS = 5
 PERCENT = 75
-CHUNK_TOKENS = 2_000_000
-CHUNK_SETS = 60_000
+CHUNK_TOKENS = 1_000_000
+CHUNK_SETS = 30_000
+CHUNK_BITS, SET_BITS = 24, 16  # a node's number: task, chunk of the task, set of the chunk
 STAR_ROUNDS = 1
 HOT_ROWS = 64
 BLOCK_ROWS = 1024
@@ -96,6 +97,7 @@ def _ids_map(k: int):
                 sets = document_sets(data, offsets, k)
                 ids = [set_id(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "sid"])
+        release_memory()
 
     return run
 
@@ -125,7 +127,7 @@ def _chunk_map(k: int, buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((home, chunk, None, None, sizes.astype(np.int32).tobytes(), b"".join(sets)), _PART_TYPES, strict=True)], _PART_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << CHUNK_BITS
         sets: dict[bytes, np.ndarray] = {}
         tokens = 0
         for batch in batches:
@@ -134,11 +136,13 @@ def _chunk_map(k: int, buckets: int):
                     if len(s) and (sid := set_id(s)) not in sets:
                         sets[sid] = s
                         tokens += len(s)
-                if tokens >= CHUNK_TOKENS or len(sets) >= CHUNK_SETS // 2:
+                if tokens >= CHUNK_TOKENS or len(sets) >= CHUNK_SETS:
                     yield from flush(chunk, sets)
                     chunk, sets, tokens = chunk + 1, {}, 0
         if sets:
             yield from flush(chunk, sets)
+        del sets
+        release_memory()
 
     return run
 
@@ -176,7 +180,7 @@ def _share_tokens(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, _REPLY_TYPES, strict=True)], names=_REPLY_NAMES)
 
 
-_SETS = "sid binary, chunk long, n int, own int, tokens array<long>, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>"
+_SETS = "sid binary, node long, n int, own int, tokens array<long>, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>"
 
 
 def _alive_sets(percent: int):
@@ -201,10 +205,10 @@ def _alive_sets(percent: int):
                 left = prefix_length(n, percent) - own
                 if left > 0:
                     prefixes = [tokens[o[a : min(b, a + left)]].view(np.int64) for o in orders]
-                    out.append((home["sids"][16 * i : 16 * i + 16], home["chunk"], n, own, tokens[sorted_[a:b]].view(np.int64), *prefixes))
+                    out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, n, own, tokens[sorted_[a:b]].view(np.int64), *prefixes))
         columns = list(zip(*out, strict=True)) if out else [()] * 8
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["sid", "chunk", "n", "own", "tokens", "prefix_1", "prefix_2", "prefix_3"])
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["sid", "node", "n", "own", "tokens", "prefix_1", "prefix_2", "prefix_3"])
 
     return run
 
@@ -355,25 +359,26 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
     parts = docs.select("text").mapInArrow(_chunk_map(words, buckets), _PARTS)
     replies = parts.groupBy("bucket").applyInArrow(_share_tokens, _REPLIES)
     alive = stage_table(replies.groupBy("chunk").applyInArrow(_alive_sets(percent), _SETS), "alive")
-    once = alive.groupBy("sid").agg(F.min("chunk").alias("chunk"))
-    nodes = stage_table(alive.join(once, ["sid", "chunk"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Equal sets of several chunks: the first stands for all.
+    nodes = stage_table(alive.groupBy("sid").agg(F.min("node").alias("node")), "nodes")
 
     share = (F.col("own") / F.col("n")).alias("own_share")
-    entries = stage_table(nodes.select("node", "n", share, "own", F.posexplode("prefix_1").alias("p", "token")).select("node", "n", "own_share", (F.col("own") + F.col("p")).alias("place"), "token"), "entries")
+    firsts = alive.select("node", "n", "own", "prefix_1").join(nodes.select("node"), "node", "left_semi")
+    entries = stage_table(firsts.select("node", "n", share, "own", F.posexplode("prefix_1").alias("p", "token")).select("node", "n", "own_share", (F.col("own") + F.col("p")).alias("place"), "token"), "entries")
     links, labels = None, None
     for _ in range(star_rounds):
         pairs = _star_pairs(_with_components(entries, labels), percent)
-        found = stage_table(_verified(pairs, nodes, percent), "links")
+        found = stage_table(_verified(pairs, alive, percent), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
     current = stage_table(_with_components(entries, labels), "current")
     mixed = stage_table(_mixed_tokens(current), "mixed")
-    more = [_verified(_remaining_pairs(current, mixed.where(F.col("rows") <= HOT_ROWS), percent), nodes, percent)]
+    more = [_verified(_remaining_pairs(current, mixed.where(F.col("rows") <= HOT_ROWS), percent), alive, percent)]
     hot = mixed.where(F.col("rows") > HOT_ROWS)
     if not hot.isEmpty():
-        more.append(_links_in_clusters(current, hot, nodes, percent))
+        more.append(_links_in_clusters(current, hot, alive, percent))
     for rows in more:
         found = stage_table(rows, "links")
         if not found.isEmpty():
@@ -388,4 +393,7 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
         linked = stage_table(nodes.select("sid", "node").join(labels, "node").join(classes, "sid").select("sid", "label", "first_id"), "linked")
         least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
         named = classes.join(linked.join(least, "label").select("sid", "least_id"), "sid", "left").select("sid", F.coalesce("least_id", "first_id").alias("component_id"))
-    return listed.join(named, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Both sides are tables, so that adaptive execution can split the rows of a large group of equal sets.
+    told = listed.where("sid is not null").join(stage_table(named, "named"), "sid").select("doc_id", "n_shingles", "component_id")
+    empty = listed.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return told.unionByName(empty)
