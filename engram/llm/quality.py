@@ -7,16 +7,16 @@ more. A document fails the base rules with fewer than ``min_words`` words, or
 if more than half of its words lie in repeated windows.
 
 Method. Each line is normalised (A-Z lower-cased, white space runs as one) and
-hashed. Distinct documents are counted for each host and line; documents with
-the same smallest line hash count as one, so copies and most near copies of a
-document count once (removing those is the work of another operator). Lines in more than ``max(line_documents, line_share * documents of
-the host)`` documents are removed, and a document that keeps less than
+hashed. Distinct documents are counted for each host and line; exact copies of
+one text count as one document (removing copies is the work of another operator),
+near copies count each. Lines in more than ``max(line_documents, line_share *
+documents of the host)`` documents are removed, and a document that keeps less than
 ``keep_share`` of its words is rejected. ``clean_texts`` returns the texts
 without the removed lines.
 
 Scale. One map makes a narrow row per document (counts, line hashes, line
 words), written to the shared folder. The count shuffles 24-byte rows, first
-reduced to one per (host, line, smallest line) and then counted with map-side sums, so
+reduced to one per (host, line, text hash) and then counted with map-side sums, so
 a line that a third of all documents hold is summed before it moves. The lines
 above the limits are few (each needs many documents); they are broadcast only
 up to ``broadcast_lines`` of them and joined by shuffle beyond. Verdicts are
@@ -48,8 +48,8 @@ BROADCAST_LINES = 200_000
 _WORD, _FOLD = white_space_separates(), lower_ascii()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
-_NAMES = ["doc_id", "host", "least_line", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
-_SCHEMA = "doc_id long, host string, least_line long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_NAMES = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
+_SCHEMA = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,11 +105,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(mix(folded + order.astype(U64)), out=sums[1:])
             hashes = mix(sums[first + size] - sums[first] + size.astype(U64)).view(np.int64)
             edges = np.searchsorted(line_rows, np.arange(n + 1))
-            least = [int(hashes[a:b].min()) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            texts = span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
             edges = pa.array(edges, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(low, n), batch.column("host").slice(low, n), pa.array(least, pa.int64()), pa.array(counts, pa.int64()), pa.array(_sums(in_word, offsets)), pa.array(_sums(_SYMBOL[data], offsets)),
+                    batch.column("doc_id").slice(low, n), batch.column("host").slice(low, n), pa.array(texts), pa.array(counts, pa.int64()), pa.array(_sums(in_word, offsets)), pa.array(_sums(_SYMBOL[data], offsets)),
                     pa.array(dup, pa.int64()), pa.array(repeated, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(hashes)), pa.ListArray.from_arrays(edges, pa.array(size, pa.int32())),
                 ],
                 _NAMES,
@@ -119,8 +119,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_limits(features: DataFrame, *, line_documents: int, line_share: float) -> DataFrame:
     """(host, line) of the lines in more documents of the host than the limits allow."""
-    hosts = features.select("host", "least_line").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    lines = features.select("host", "least_line", F.explode(F.array_distinct("lines")).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    hosts = features.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    lines = features.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     held = lines.where(F.col("n") > line_documents)
     return held.join(hosts, held.host.eqNullSafe(hosts.host)).where(F.col("n") > F.col("documents") * line_share).select(held.host, "line")
 
@@ -137,7 +137,7 @@ def judge_quality(
     right = common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line"), "removed")
     match = (F.col("line") == F.col("common_line")) & F.col("host").eqNullSafe(F.col("common_host"))
     removed = lines.join(F.broadcast(right) if few else right, match).groupBy("row").agg(F.sum("words").alias("removed_words"))
-    joined = features.drop("lines", "line_words", "least_line").join(removed, "row", "left")
+    joined = features.drop("lines", "line_words", "text_hash").join(removed, "row", "left")
     n, gone = F.col("n_words"), F.coalesce("removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n)
     return joined.select(

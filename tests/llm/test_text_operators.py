@@ -91,6 +91,21 @@ def test_copies_of_one_text_do_not_make_its_lines_common(spark):
     assert len(rows) == 500 and all(r.kept for r in rows)
 
 
+def test_documents_with_many_shared_lines_count_each(spark):
+    shared = [f"shared line number {i} of this template" for i in range(20)]
+    rows = [(i, "\n".join(shared[i % 3 :] + [f"own w{i}"]), "s") for i in range(200)]
+    rows += [(1000 + i, "\n".join(shared[:2] + [" ".join(f"t{i}x{j}" for j in range(60))]), "s") for i in range(20)]
+    rows += [(2000 + i, "one text\nin many copies", "s") for i in range(100)]
+    holders = defaultdict(set)
+    for _, text, _ in rows:
+        for line in text.split("\n"):
+            holders[line].add(text)
+    expected = {i: sum(len(x.split()) for x in text.split("\n") if len(holders[x]) > 30) for i, text, _ in rows}
+    got = judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=3).collect()
+    assert {r.doc_id: r.removed_words for r in got} == expected
+    assert {r.doc_id for r in got if r.kept} == {i for i, _, _ in rows if i >= 1000}
+
+
 def test_token_counts(documents):
     import sentencepiece
 
