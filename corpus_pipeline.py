@@ -16,7 +16,7 @@ from engram.llm.decontaminate import find_contamination
 from engram.llm.language_id import UNDETERMINED, identify, train
 from engram.llm.ngram_join import near_duplicates
 from engram.llm.packing import pack
-from engram.llm.quality import judge_quality
+from engram.llm.quality import clean_texts, judge_quality, measure
 from engram.llm.queries import BYTE_VOCABULARY
 from engram.llm.token_counts import read_tokenizer
 
@@ -38,8 +38,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines of their own."""
-    return _without(docs, judge_quality(docs).where(~F.col("kept")), "low-quality")
+    """Documents that pass the base rules and aren't depleted of lines of their own, without the lines above the limits."""
+    measured = measure(docs)
+    kept = _without(docs, judge_quality(docs, measured=measured).where(~F.col("kept")), "low-quality")
+    clean = clean_texts(kept, measured=measured)
+    length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None
+    return clean if length is None else clean.withColumn("n_chars", length)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

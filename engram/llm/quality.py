@@ -12,7 +12,7 @@ one text count as one document (removing copies is the work of another operator)
 near copies count each. Lines in more than ``max(line_documents, line_share *
 documents of the host)`` documents are removed, and a document that keeps less than
 ``keep_share`` of its words is rejected. ``clean_texts`` returns the texts
-without the removed lines.
+without the removed lines; all other lines, empty ones too, stay as they are.
 
 Scale. One map makes a narrow row per document (counts, line hashes, line
 words), written to the shared folder. The count shuffles 24-byte rows, first
@@ -20,7 +20,9 @@ reduced to one per (host, line, text hash) and then counted with map-side sums,
 a line that a third of all documents hold is summed before it moves. The lines
 above the limits are few (each needs many documents); they are broadcast only
 up to ``broadcast_lines`` of them and joined by shuffle beyond. Verdicts are
-summed per document before the last shuffle.
+summed per document before the last shuffle. Removal is a second map over the
+texts; beyond ``broadcast_lines`` each text is joined to its own removed lines.
+``measure`` makes the tables that both share, to be made once.
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null
 host is a host of its own. Repeated rows get the same result each. Extra
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
@@ -77,6 +79,20 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, line)
 
 
+def _line_hashes(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+    """Start, end, row, words and hash of the normalised words of each line with a word."""
+    spans = _lines(data, offsets)
+    first = np.searchsorted(words.start, spans.start)
+    size = np.searchsorted(words.start, spans.end) - first
+    full = size > 0
+    first, size = first[full], size[full]
+    folded = words.hashes(_FOLD)
+    order = np.arange(len(folded)) - np.repeat(first, size) if len(first) else np.empty(0, np.int64)
+    sums = np.zeros(len(folded) + 1, U64)
+    np.cumsum(mix(folded + order.astype(U64)), out=sums[1:])
+    return spans.start[full], spans.end[full], spans.rows[full], size, mix(sums[first + size] - sums[first] + size.astype(U64)).view(np.int64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in slices(batch.column("text")):
@@ -92,24 +108,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = spots[twice]
                 edge = np.bincount(at, minlength=len(exact) + 1) - np.bincount(at + 3, minlength=len(exact) + 4)[: len(exact) + 1]
                 repeated = _sums(np.cumsum(edge)[: len(exact)] > 0, words.first)
-            spans = _lines(data, offsets)
-            first = np.searchsorted(words.start, spans.start)
-            size = np.searchsorted(words.start, spans.end) - first
-            full = size > 0
-            line_rows, first, size = spans.rows[full], first[full], size[full]
-            _, later = _repeats(span_hashes(data, spans.start[full], spans.end[full]), line_rows)
+            start, end, line_rows, size, hashes = _line_hashes(data, offsets, words)
+            _, later = _repeats(span_hashes(data, start, end), line_rows)
             dup = np.bincount(line_rows[later], minlength=n)
-            folded = words.hashes(_FOLD)
-            order = np.arange(len(folded)) - np.repeat(first, size) if len(first) else np.empty(0, np.int64)
-            sums = np.zeros(len(folded) + 1, U64)
-            np.cumsum(mix(folded + order.astype(U64)), out=sums[1:])
-            hashes = mix(sums[first + size] - sums[first] + size.astype(U64)).view(np.int64)
             edges = np.searchsorted(line_rows, np.arange(n + 1))
-            texts = span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
             edges = pa.array(edges, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(low, n), batch.column("host").slice(low, n), pa.array(texts), pa.array(counts, pa.int64()), pa.array(_sums(in_word, offsets)), pa.array(_sums(_SYMBOL[data], offsets)),
+                    batch.column("doc_id").slice(low, n), batch.column("host").slice(low, n), batch.column("text_hash").slice(low, n), pa.array(counts, pa.int64()), pa.array(_sums(in_word, offsets)), pa.array(_sums(_SYMBOL[data], offsets)),
                     pa.array(dup, pa.int64()), pa.array(repeated, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(hashes)), pa.ListArray.from_arrays(edges, pa.array(size, pa.int32())),
                 ],
                 _NAMES,
@@ -125,21 +131,97 @@ def line_limits(features: DataFrame, *, line_documents: int, line_share: float)
     return held.join(hosts, held.host.eqNullSafe(hosts.host)).where(F.col("n") > F.col("documents") * line_share).select(held.host, "line")
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def measure(documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The features of each document, and (host, line) of the lines above the limits, as tables."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), _text_hash(F.col("text")).alias("text_hash"))
+    features = stage_table(docs.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "quality")
+    return features, stage_table(line_limits(features, line_documents=line_documents, line_share=line_share), "lines")
+
+
+def _in_common(features: DataFrame, common: DataFrame, few: bool) -> DataFrame:
+    """The lines of each document that are above the limits."""
+    lines = features.select("row", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "text_hash", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    right = common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
+    match = (F.col("line") == F.col("common_line")) & F.col("host").eqNullSafe(F.col("common_host"))
+    return lines.join(F.broadcast(right) if few else right, match)
+
+
 def judge_quality(
-    documents: DataFrame, *, host: str = "source", min_words: int = MIN_WORDS, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE, broadcast_lines: int = BROADCAST_LINES
+    documents: DataFrame, *, host: str = "source", min_words: int = MIN_WORDS, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """One row per document: the base counts, words in lines above the limits, and the verdict."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"))
-    features = stage_table(docs.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "quality")
-    common = stage_table(line_limits(features, line_documents=line_documents, line_share=line_share), "lines").withColumn("removed", F.lit(True))
+    features, common = measured or measure(documents, host=host, line_documents=line_documents, line_share=line_share)
     few = common.limit(broadcast_lines + 1).count() <= broadcast_lines
-    lines = features.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    right = common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line"), "removed")
-    match = (F.col("line") == F.col("common_line")) & F.col("host").eqNullSafe(F.col("common_host"))
-    removed = lines.join(F.broadcast(right) if few else right, match).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = _in_common(features, common, few).groupBy("row").agg(F.sum("words").alias("removed_words"))
     joined = features.drop("lines", "line_words", "text_hash").join(removed, "row", "left")
     n, gone = F.col("n_words"), F.coalesce("removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > 50 * n)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_words"), (~failed & ((n - gone) >= F.lit(keep_share) * n)).alias("kept")
     )
+
+
+def _clean_map(shared, host: str):
+    """Texts without the lines whose hashes are shared for their host, or stand in their row's column ``gone``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for low, high, data, offsets in slices(batch.column(at)):
+                part = batch.slice(low, high - low)
+                start, _, rows, _, hashes = _line_hashes(data, offsets, Words(data, offsets, _WORD))
+                hit = np.zeros(len(rows), bool)
+                if shared is not None:
+                    hosts = part.column(host).dictionary_encode(null_encoding="encode")
+                    code = hosts.indices.to_numpy()[rows]
+                    for k, name in enumerate(hosts.dictionary.to_pylist()):
+                        if name in shared.value:
+                            own = code == k
+                            hit[own] = np.isin(hashes[own], shared.value[name])
+                else:
+                    gone = part.column("gone")
+                    owners = np.repeat(np.arange(len(gone)), gone.value_lengths().fill_null(0).to_numpy())
+                    salted = lambda h, r: mix(h.view(U64) + r.astype(U64) * U64(0x9E3779B97F4A7C15))
+                    hit = np.isin(salted(hashes, rows), salted(gone.flatten().to_numpy(), owners))
+                    part = part.drop_columns(["gone"])
+                if hit.any():
+                    feeds = np.zeros(len(data) + 1, np.int64)
+                    np.cumsum(data == 10, out=feeds[1:])
+                    place = feeds[start] - feeds[offsets[rows]]
+                    texts = part.column(at)
+                    cut = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                    cut = [None if null else t for t, null in zip(cut, texts.is_null().to_pylist(), strict=True)]
+                    drop: dict[int, set[int]] = {}
+                    for row, k in zip(rows[hit].tolist(), place[hit].tolist(), strict=True):
+                        drop.setdefault(row, set()).add(k)
+                    for row, places in drop.items():
+                        cut[row] = b"\n".join(x for k, x in enumerate(cut[row].split(b"\n")) if k not in places)
+                    part = part.set_column(at, batch.schema.field(at), pa.array(cut, pa.binary()).cast(texts.type, safe=False))
+                yield part
+        release_memory()
+
+    return run
+
+
+def clean_texts(
+    documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """The documents, all columns kept, with the lines above the limits removed from ``text``."""
+    features, common = measured or measure(documents, host=host, line_documents=line_documents, line_share=line_share)
+    docs = documents.withColumns({"text": F.col("text").cast("string"), host: F.col(host).cast("string")})
+    lines = common.limit(broadcast_lines + 1).collect() if broadcast_lines else None
+    if lines is not None and len(lines) <= broadcast_lines:
+        found: dict[str | None, list[int]] = {}
+        for r in lines:
+            found.setdefault(r["host"], []).append(r["line"])
+        if not found:
+            return docs
+        shared = documents.sparkSession.sparkContext.broadcast({h: np.array(x, np.int64) for h, x in found.items()})
+        return docs.mapInArrow(_clean_map(shared, host), docs.schema)
+    gone = _in_common(features, common, False).groupBy(F.col("host").alias("gone_host"), F.col("text_hash").alias("gone_text")).agg(F.collect_set("line").alias("gone"))
+    joined = docs.join(gone, (_text_hash(F.col("text")) == F.col("gone_text")) & F.col(host).eqNullSafe(F.col("gone_host")), "left").select(*docs.columns, "gone")
+    return joined.mapInArrow(_clean_map(None, host), docs.schema)

@@ -217,6 +217,15 @@ def test_pipeline(spark):
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) * 1.02 + 1
 
 
+def test_pipeline_passes_on_texts_without_common_lines(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, "Read more on our site\n" + own(i), "s", 0) for i in range(40)] + [(100, "A single line\n" + own(100), "s", 0), (101, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    texts = {i: own(i) for i in range(40)} | {100: rows[40][1]}
+    assert got == {i: (t, len(t)) for i, t in texts.items()}
+
+
 def test_repeated_rows_leave_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "other " + text[50:]), (4, None)], "doc_id long, text string")

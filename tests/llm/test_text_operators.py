@@ -10,7 +10,7 @@ import pytest
 
 from engram.llm.decontaminate import find_contamination
 from engram.llm.packing import Plan, cut, pack, sequences
-from engram.llm.quality import judge_quality
+from engram.llm.quality import clean_texts, judge_quality
 from engram.llm.sharding import shard
 from engram.llm.token_counts import PrefixCounter, count_tokens, read_tokenizer
 
@@ -106,6 +106,24 @@ def test_documents_with_many_shared_lines_count_each(spark):
     assert {r.doc_id for r in got if r.kept} == {i for i, _, _ in rows if i >= 1000}
 
 
+def test_clean_texts_lack_the_lines_above_the_limits(documents):
+    norm = lambda x: tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(x)))
+    rows = documents.collect()
+    holders = defaultdict(set)
+    for d in rows:
+        for line in (d.text or "").split("\n"):
+            if norm(line):
+                holders[d.source, norm(line)].add(d.text)
+    kept_lines = lambda d: None if d.text is None else "\n".join(x for x in d.text.split("\n") if len(holders[d.source, norm(x)]) <= 30)
+    expected = Counter((d.doc_id, d.source, kept_lines(d), d.shard) for d in rows)
+    assert sum(d.text != kept_lines(d) for d in rows) == 100
+    for few in (0, 1000):
+        got = clean_texts(documents, broadcast_lines=few)
+        assert got.columns == documents.columns
+        assert Counter((d.doc_id, d.source, d.text, d.shard) for d in got.collect()) == expected
+    assert clean_texts(documents.limit(0)).count() == 0
+
+
 def test_token_counts(documents):
     import sentencepiece
 
