@@ -9,8 +9,8 @@ if more than half of its words lie in repeated windows.
 Method. Each line is normalised (A-Z lower-cased, white space runs as one) and
 hashed. Distinct documents are counted for each host and line; exact copies of
 one text count as one document (removing copies is the work of another operator),
-near copies count each. Lines in more than ``max(line_documents, line_share *
-documents of the host)`` documents are removed, and a document that keeps less than
+near copies count each. Lines in more than ``line_documents`` documents
+are removed, whatever the size of the host, and a document that keeps less than
 ``keep_share`` of its words is rejected. ``clean_texts`` returns the texts
 without the removed lines; all other lines, empty ones too, stay as they are.
 
@@ -43,7 +43,6 @@ from .textbatch import U64, Words, inside, lower_ascii, mix, release_memory, shi
 
 MIN_WORDS = 50
 LINE_DOCUMENTS = 30
-LINE_SHARE = 0.02
 KEEP_SHARE = 0.25
 BROADCAST_LINES = 200_000
 
@@ -123,23 +122,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def line_limits(features: DataFrame, *, line_documents: int, line_share: float) -> DataFrame:
-    """(host, line) of the lines in more documents of the host than the limits allow."""
-    hosts = features.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+def line_limits(features: DataFrame, *, line_documents: int) -> DataFrame:
+    """(host, line) of the lines in more documents of the host than the limit allows."""
     lines = features.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-    held = lines.where(F.col("n") > line_documents)
-    return held.join(hosts, held.host.eqNullSafe(hosts.host)).where(F.col("n") > F.col("documents") * line_share).select(held.host, "line")
+    return lines.where(F.col("n") > line_documents).select("host", "line")
 
 
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def measure(documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> tuple[DataFrame, DataFrame]:
+def measure(documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """The features of each document, and (host, line) of the lines above the limits, as tables."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), _text_hash(F.col("text")).alias("text_hash"))
     features = stage_table(docs.mapInArrow(_features, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "quality")
-    return features, stage_table(line_limits(features, line_documents=line_documents, line_share=line_share), "lines")
+    return features, stage_table(line_limits(features, line_documents=line_documents), "lines")
 
 
 def _in_common(features: DataFrame, common: DataFrame, few: bool) -> DataFrame:
@@ -151,10 +148,10 @@ def _in_common(features: DataFrame, common: DataFrame, few: bool) -> DataFrame:
 
 
 def judge_quality(
-    documents: DataFrame, *, host: str = "source", min_words: int = MIN_WORDS, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
+    documents: DataFrame, *, host: str = "source", min_words: int = MIN_WORDS, line_documents: int = LINE_DOCUMENTS, keep_share: float = KEEP_SHARE, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """One row per document: the base counts, words in lines above the limits, and the verdict."""
-    features, common = measured or measure(documents, host=host, line_documents=line_documents, line_share=line_share)
+    features, common = measured or measure(documents, host=host, line_documents=line_documents)
     few = common.limit(broadcast_lines + 1).count() <= broadcast_lines
     removed = _in_common(features, common, few).groupBy("row").agg(F.sum("words").alias("removed_words"))
     joined = features.drop("lines", "line_words", "text_hash").join(removed, "row", "left")
@@ -208,10 +205,10 @@ def _clean_map(shared, host: str):
 
 
 def clean_texts(
-    documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
+    documents: DataFrame, *, host: str = "source", line_documents: int = LINE_DOCUMENTS, broadcast_lines: int = BROADCAST_LINES, measured: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """The documents, all columns kept, with the lines above the limits removed from ``text``."""
-    features, common = measured or measure(documents, host=host, line_documents=line_documents, line_share=line_share)
+    features, common = measured or measure(documents, host=host, line_documents=line_documents)
     docs = documents.withColumns({"text": F.col("text").cast("string"), host: F.col(host).cast("string")})
     lines = common.limit(broadcast_lines + 1).collect() if broadcast_lines else None
     if lines is not None and len(lines) <= broadcast_lines:

@@ -106,6 +106,13 @@ def test_documents_with_many_shared_lines_count_each(spark):
     assert {r.doc_id for r in got if r.kept} == {i for i, _, _ in rows if i >= 1000}
 
 
+def test_a_template_of_a_large_host_is_found(spark):
+    own = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), j -> concat('w', id, 'x', j))) as text", "'hot' as source")
+    template = spark.range(5000, 5040).selectExpr("id as doc_id", "concat('a line of the template ', repeat('and more of it ', 20), '\n', 'own w', id) as text", "'hot' as source")
+    rows = judge_quality(own.unionByName(template), min_words=3).collect()
+    assert {r.doc_id for r in rows if r.removed_words} == set(range(5000, 5040))
+
+
 def test_clean_texts_lack_the_lines_above_the_limits(documents):
     norm = lambda x: tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(x)))
     rows = documents.collect()
