@@ -12,7 +12,10 @@ made, decides which blocks are main text.
 Character references are decoded, white space inside a block becomes one space,
 the ends are trimmed, empty blocks go, and blocks are joined in page order by two
 line feeds. Nothing else is dropped or capped. Unclosed elements end with the
-element around them.
+element around them; those left out (buttons, videos and the like) also at the next
+block-level tag, and a head at its first tag or text that belongs to the body.
+Only scripts, styles and other raw text without an end tag go to the end of the
+page, as in HTML.
 
 Scale: a narrow map over whole pages, nothing moves. Memory follows the largest
 page. The tree is a few hundred bytes.
@@ -65,7 +68,14 @@ LABELLED = np.array(
 
 # Fixed HTML facts.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template head svg math iframe object canvas audio video textarea select button title".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics".split())
+RAW = frozenset("script style iframe textarea title".split())
+QUIET = frozenset("noscript template svg object canvas audio video select button annotation annotation-xml".split())
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
+# Tags that end an unclosed element of ``QUIET``.
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
@@ -82,6 +92,10 @@ HEADERS = frozenset("header masthead".split())
 _NEGATED = frozenset("with has no without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_QUIET = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})\b[^<>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)({'|'.join(sorted(QUIET, key=len, reverse=True))})(?=[\s/>])([^<>]*)>?",
+    re.S | re.I,
+)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -102,11 +116,29 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return any(_names_boilerplate(t, hints) for t in tokens)
 
 
+def _quiet_ends(html: str) -> dict[int, int]:
+    """Where each element of ``QUIET`` that has an end tag begins and ends."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for m in _QUIET.finditer(html):
+        if not m[3]:
+            continue
+        own = opened.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not m[4].endswith("/"):
+                own.append(m.start())
+        elif own:
+            ends[own.pop()] = m.end()
+    return ends
+
+
 def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in boilerplate, in an article, heading) of each block that has text."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, and the three places that hold inside it
     boiler = article = heading = link = False
+    quiet = head = False  # inside an unclosed element of QUIET; inside the head
+    ends: dict[int, int] | None = None
     parts: list[tuple[str, bool]] = []
 
     def close_block() -> None:
@@ -122,7 +154,9 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     while at < n:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else n]
-        if text:
+        if head and text.strip():
+            head = False
+        if text and not quiet and not head:
             parts.append((html_lib.unescape(text), link))
         if not m:
             break
@@ -131,16 +165,35 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not name:
             continue
         name = name.lower()
+        if name == "head":
+            head = not closing and not attributes.endswith("/")
+            continue
+        if name not in IN_HEAD:
+            head = False
+        if name in MATH:
+            if name in ("mtr", "mtd"):
+                parts.append((" ", False))
+            continue
         if name in INLINE:
             if name == "a":
                 link = not closing
             elif name == "br":
                 parts.append((" ", False))
             continue
-        if not closing and name in SKIPPED and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\s*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(html, at)
+        if not closing and name in RAW and not attributes.endswith("/"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
+        if not closing and name in QUIET:
+            if not attributes.endswith("/"):
+                ends = _quiet_ends(html) if ends is None else ends
+                quiet = quiet or m.start() not in ends
+                at = max(at, ends.get(m.start(), at))
+            continue
+        if quiet:
+            if name not in BLOCKS and not (closing and any(e[0] == name for e in stack)):
+                continue
+            quiet = False
         close_block()
         link = False
         if closing:

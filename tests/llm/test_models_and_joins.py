@@ -170,6 +170,22 @@ def test_html_places(html, text):
     assert main_text(html, train_tree()) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><button>Menu<article><p>a</p></article><form><button>Send</button></form>", "a"),
+        ("<head><meta charset=utf-8><title>T</title><style>p{}</style><article><p>a</p></article>", "a"),
+        ("<head><title>T</title><noscript><link rel=x></noscript></head><article><p>a</p></article>", "a"),
+        ("<div><select><option>x<option>y</div><article><p>a <canvas>b<p>c</article>", "a\n\nc"),
+        ("<article><p>area <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> end</p></article>", "area x=2 end"),
+        ("<article><p>a <svg><svg/><text>t</text></svg>b<svg/> c</p><object>x<p>d</p></article>", "a b c\n\nd"),
+        ("<article><button><div>Send</div></button><p>a</p><!-- <video> --><script>'<video>'</script><p>b</p><video></video><script>var x", "a\n\nb"),
+    ],
+)
+def test_html_elements_left_out(html, text):
+    assert main_text(html, train_tree()) == text
+
+
 def test_html_of_pages_without_article_elements():
     para = "<p>" + "a sentence with several words in it " * 6 + "</p>"
     html = "<body><div><a href=/>home</a></div><div><a href=/x>x</a></div>" + para * 3 + "<div><a href=/y>more</a></div></body>"
