@@ -6,16 +6,18 @@ a text's value for a bucket is its share of the text's n-grams times the bucket'
 inverse document frequency.
 
 Training. ``sample_rows`` bounds the labelled rows that the model is fitted on: the
-rows whose doc_id hash is below a threshold that leaves about that many (all rows,
-if there are fewer). Their sparse vectors are made on the executors and fitted on
+rows whose doc_id hash is below a threshold of their language, set from the count of
+its rows. It leaves a language its share of ``sample_rows``, but about
+``LANGUAGE_ROWS`` at least (all rows, if there are fewer), so that rare languages
+are learned whatever the table's size. Document frequencies are the sample's. Their sparse vectors are made on the executors and fitted on
 the driver by follow-the-regularised-leader with an elastic net, a step per batch
-of rows; every fifth row is kept from fitting and sets the temperature that divides
+of rows; every fifth row of a language is kept from fitting and sets the temperature that divides
 the logits (least log loss). Rows whose ``crc32(doc_id) mod 4`` is 2 are never
 learned from. Doc_id, source and lang are no inputs of a prediction.
 
 Scale. Prediction is a narrow map over whole texts: n-gram weights are gathered and
 summed by numpy. The broadcast model has ``2 ** BITS`` floats a language. The driver
-holds the sample's vectors, at most ``sample_rows`` of them.
+holds the sample's vectors, about ``sample_rows`` and ``LANGUAGE_ROWS`` a language at most.
 
 Nulls and odd rows: a null text or one without a letter gets ``und`` and score 0.
 A null doc_id is not held out and not learned from. Repeated rows get the same
@@ -35,6 +37,7 @@ from .textbatch import release_memory, slices
 
 BITS = 18
 SAMPLE_ROWS = 3000
+LANGUAGE_ROWS = 100
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 
@@ -148,7 +151,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model
         return None
     label = {name: i for i, name in enumerate(languages)}
     y = np.array([label[r[0]] for r in rows])
-    held = np.arange(len(rows)) % 5 == 4
+    place = np.empty(len(rows), np.int64)
+    for c in range(len(languages)):
+        place[y == c] = np.arange((y == c).sum())
+    held = place % 5 == 4
     if held.sum() < 20:
         held[:] = False
     df = np.zeros(1 << BITS)
@@ -185,12 +191,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on about ``sample_rows`` labelled rows that aren't held out."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    total = known.select("doc_id").count()
+    """Fit on about ``sample_rows`` labelled rows that aren't held out, some of each language."""
+    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    total = sum(counts.values())
+    if not total:
+        return None
     span = 1 << 32
+    limits = [(name, min(span, span * max(LANGUAGE_ROWS, sample_rows * n // total) // n + 1)) for name, n in counts.items()]
+    below = F.broadcast(documents.sparkSession.createDataFrame(limits, "sampled_lang string, below long"))
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(span))
-    picked = known.where(at < F.lit(min(span, int(span * sample_rows / max(total, 1)) + 1))).select(F.col("lang").cast("string").alias("lang"), at.alias("at"), F.col("text").cast("string").alias("text")).where("text is not null")
+    picked = known.join(below, F.col("lang") == F.col("sampled_lang")).where(at < F.col("below")).select("lang", at.alias("at"), F.col("text").cast("string").alias("text"))
     got = picked.mapInArrow(_vector_map, "lang string, at long, keys binary, values binary").collect()
     got.sort(key=lambda r: (r["at"], r["keys"], r["lang"]))
     return fit([(r["lang"], np.frombuffer(r["keys"], "<i4"), np.frombuffer(r["values"], "<f4").astype(float)) for r in got])

@@ -121,6 +121,19 @@ def test_language_id(spark):
     assert identify(every.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the house and tree with some water there", "fi": "järvi yö hyvä päivää metsä talo kyllä", "is": "það þetta ég ekki góðan daginn vatn"}
+    rng = np.random.default_rng(3)
+    say = lambda lang: " ".join(rng.choice(words[lang].split(), 30))
+    rows = [(i, say(lang), lang) for i in range(4000) for lang in ["fi" if i % 400 == 3 else "is" if i == 1 else "en"]]
+    assert zlib.crc32(b"1") % 4 != 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, sample_rows=300)
+    assert model.languages == ["en", "fi", "is"]
+    got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_ftrl_drops_noise_and_learns():
     rng = np.random.default_rng(0)
     model = FtrlRegression(50, 2)
