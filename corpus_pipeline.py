@@ -1,14 +1,16 @@
 """From raw documents to packed sequences, a stage per operator.
 
 ``STAGES`` holds (name, function); each function takes (spark, docs, sf_dir) and
-works on all that the stage before kept. Documents go by doc_id; rows with a null
-doc_id stand or fall together. ``run`` writes each stage's result as a table in
+works on all that the stage before kept. Each row is judged by itself: operators
+get a 64-bit hash of the row's columns for its doc_id, and rows go by that key, so
+null and shared doc_ids do no harm and only equal rows stand or fall together (as
+would two rows whose hashes collide). ``run`` writes each stage's result as a table in
 the shared folder and reads it again for the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import stage_table, table
@@ -24,42 +26,59 @@ MIN_SCORE = 0.5
 BROADCAST_IDS = 1_000_000
 
 
+KEY = "_row_key"
+
+
+def _key(docs: DataFrame) -> Column:
+    """A hash of all columns; null flags tell nulls in different columns apart."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with their key for a doc_id."""
+    return docs.withColumn("doc_id", _key(docs))
+
+
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The documents whose ids aren't rejected; the ids are broadcast if they are few, else joined by shuffle."""
-    ids = stage_table(rejected.select(F.col("doc_id").alias("rejected_id")).distinct(), name)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti")
+    """The documents whose keys aren't rejected; the keys are broadcast if they are few, else joined by shuffle."""
+    keys = stage_table(rejected.select(F.col("doc_id").alias("rejected_key")).distinct(), name)
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.withColumn(KEY, _key(docs)).join(F.broadcast(keys) if few else keys, F.col(KEY) == F.col("rejected_key"), "left_anti").drop(KEY)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language, told with some confidence."""
-    found = identify(docs, train(docs))
+    found = identify(_keyed(docs), train(docs))
     return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < MIN_SCORE)), "not-told")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted of lines of their own, without the lines above the limits."""
-    measured = measure(docs)
-    kept = _without(docs, judge_quality(docs, measured=measured).where(~F.col("kept")), "low-quality")
+    measured = measure(_keyed(docs))
+    kept = _without(docs, judge_quality(_keyed(docs), measured=measured).where(~F.col("kept")), "low-quality")
     clean = clean_texts(kept, measured=measured)
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None
     return clean if length is None else clean.withColumn("n_chars", length)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id."""
-    found = stage_table(near_duplicates(docs), "classes")
-    kept = _without(docs, found.where("component_id <> doc_id"), "duplicates")
-    repeated = stage_table(found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("repeated_id")), "repeated")
+    """One document of each class of near duplicates: the one with the smallest id, null ids last."""
+    found = stage_table(near_duplicates(_keyed(docs)).groupBy("doc_id", "component_id").agg(F.count("*").alias("times")), "classes")
+    ids = docs.select(_key(docs).alias("key"), F.col("doc_id").alias("id")).distinct()
+    classes = found.join(ids, F.col("doc_id") == F.col("key")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    firsts = stage_table(classes.select(F.col("first.key").alias("doc_id")), "firsts")
+    kept = _without(docs, found.join(firsts, "doc_id", "left_anti"), "duplicates")
+    repeated = stage_table(found.where("times > 1").select(F.col("doc_id").alias("repeated_key")), "repeated")
     if repeated.isEmpty():
         return kept
-    match = kept["doc_id"] == repeated["repeated_id"]
-    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates(["doc_id"]))
+    kept = kept.withColumn(KEY, _key(kept))
+    match = kept[KEY] == repeated["repeated_key"]
+    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([KEY])).drop(KEY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
-    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
+    return _without(docs, find_contamination(_keyed(docs), table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,6 +255,22 @@ def test_pipeline_passes_on_texts_without_common_lines(spark):
     assert got == {i: (t, len(t)) for i, t in texts.items()}
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    long = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, "short", "a"), (None, long(1), "a"), (5, "short", None), (5, long(2), None), (5, long(3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    assert kept == {(None, long(1)), (5, long(2)), (5, long(3))}
+    copies = [(None, long(1), "a"), (None, long(1), "a"), (None, long(1), "b"), (7, long(4), "a"), (None, long(4), "a"), (5, long(2), "a"), (5, long(3), "a")]
+    thinned = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(copies, docs.schema), SF)
+    assert thinned.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in thinned.collect()), key=str) == sorted([(None, long(1)), (7, long(4)), (5, long(2)), (5, long(3))], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    mixed = spark.createDataFrame([(None, item, "a"), (None, long(1), "a"), (5, item, "a"), (5, long(2), "a")], docs.schema)
+    clean = corpus_pipeline.benchmark_decontamination(spark, mixed, SF).collect()
+    assert {(r.doc_id, r.text) for r in clean} == {(None, long(1)), (5, long(2))}
+
+
 def test_repeated_rows_leave_one(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "other " + text[50:]), (4, None)], "doc_id long, text string")
