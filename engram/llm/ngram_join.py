@@ -17,20 +17,23 @@ with each other, links are sought in steps: first each node is held against one
 centre (the node with the fewest tokens of its own among those that share its
 prefix tokens, by most shared); links contract nodes to components. Then every
 remaining candidate pair of different components is verified, so no link between
-components is lost, and pairs inside one can't change the result. Pairs of tokens
-that up to ``HOT_ROWS`` nodes share are joined as rows. Nodes of more frequent
-tokens are gathered by cluster (nodes connected by such tokens), cut into blocks,
-and a task holds two blocks against each other by posting lists; it gives back
-links that connect components only, so no rows of pairs are made.
-
-Scale. Tokens move once, 10 bytes each, packed by chunk and bucket: the map
-packs chunks of documents, a reducer per token bucket finds tokens of two sets
-or more, and replies to the chunks. All later tables hold only sets that can
+components is lost, and pairs inside one can't change the result. Pairs of tokens that up to
+``HOT_ROWS`` nodes share are joined as rows. Nodes of more frequent tokens are
+gathered by cluster (nodes connected by such tokens), cut into blocks of alike
+sizes and tokens, and a task holds two blocks against each other by posting
+lists; it gives back links that connect components only, so no rows of pairs are
+made. Blocks meet only if they share a frequent token and their sizes allow it.
+
+Scale. Texts are read once. Tokens move once, 10 bytes each before compression,
+packed by chunk and bucket: the map packs chunks of documents, a reducer per
+bucket finds tokens of two sets or more, and replies to the chunks. Of a token
+that more than ``CHUNK_OWNERS`` sets of a chunk hold, only the number moves, so
+the most frequent token costs a bucket 12 bytes a chunk of up to ``CHUNK_SETS``
+sets; its owners stay with the chunk. All later tables hold only sets that can
 have a partner. Joins are by shuffle, on keys whose large groups adaptive
-execution may split; links and components stay in tables in the shared folder. A
-cluster of g nodes is sent ``g / BLOCK_ROWS`` times, and compared in as many tasks
-squared; that is the one part whose work grows faster than the input, where many
-sets are alike but not linked.
+execution may split; links and components stay in tables in the shared folder.
+The pairs of blocks are the one part that can grow faster than the input, where
+very many sets of about one size share a frequent token but aren't linked.
 Tokens are 64-bit hashes, set ids 128-bit hashes of sets.
 
 The documents should be a table or another source that deals rows alike each
@@ -43,10 +46,12 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +63,13 @@ WORDS = 5
 PERCENT = 75
 CHUNK_TOKENS = 1_000_000
 CHUNK_SETS = 30_000
+CHUNK_DOCUMENTS = 60_000
+CHUNK_OWNERS = 64
 CHUNK_BITS, SET_BITS = 24, 16  # a node's number: task, chunk of the task, set of the chunk
 STAR_ROUNDS = 1
 HOT_ROWS = 64
 BLOCK_ROWS = 1024
+BLOCK_TOKENS = 2_000_000
 
 _WORD, _FOLD = white_space_separates(), lower_ascii()
 
@@ -90,111 +98,146 @@ def set_id(tokens: np.ndarray) -> bytes:
     return np.array([a, b ^ U64(len(tokens))], "<u8").tobytes()
 
 
-def _ids_map(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, data, offsets in slices(batch.column("text")):
-                sets = document_sets(data, offsets, k)
-                ids = [set_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "sid"])
-        release_memory()
+_PARTS = "bucket int, chunk long, tokens binary, owners binary, freqs binary, held binary, numbers binary, sizes binary, sids binary, doc_ids array<bigint>, doc_sets array<int>"
+_KINDS = {"bucket": pa.int32(), "chunk": pa.int64()} | {c: pa.binary() for c in ("tokens", "owners", "freqs", "held", "numbers", "sizes", "sids")} | {"doc_ids": pa.list_(pa.int64()), "doc_sets": pa.list_(pa.int32())}
+
+
+def _batch(rows: list[dict]) -> pa.Table:
+    return pa.table([pa.array([r.get(c) for r in rows], t) for c, t in _KINDS.items()], names=list(_KINDS))
 
-    return run
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Tokens as planes of their bytes: the high bytes of sorted tokens repeat, which the shuffle's compression uses."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-_PARTS = "bucket int, chunk long, tokens binary, owners binary, sizes binary, sids binary"
-_PART_NAMES = ["bucket", "chunk", "tokens", "owners", "sizes", "sids"]
 
+def _unpacked(parts: list[bytes | None]) -> np.ndarray:
+    found = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view(U64).ravel() for p in parts if p]
+    return np.concatenate(found) if found else np.empty(0, U64)
 
-def _chunk_map(k: int, buckets: int):
-    """Rows (bucket, chunk, tokens, owners): the tokens of a chunk of sets that fall in a bucket, and the sets they are of."""
 
-    def flush(chunk: int, sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate(list(sets.values()))
-        sizes = np.array([len(s) for s in sets.values()], np.int64)
-        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-        bucket = (mix(tokens) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        tokens, owners = tokens[order], owners[order]
-        home = chunk % buckets
-        for part in np.array_split(np.arange(len(found)), max(1, len(found) // 64)):
+def _numbers(parts: list[bytes | None], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(p for p in parts if p), kind).astype(np.int64)
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def _chunk_map(k: int, buckets: int, chunk_tokens: int, chunk_owners: int):
+    """Rows per chunk of documents and bucket of tokens, and a home row per chunk.
+
+    A part row has the chunk's tokens of a bucket with the sets that own them, and
+    tokens of more than ``chunk_owners`` sets (``held``) with their number only: a
+    bucket gets a bounded number of bytes for a token from each chunk. The home row
+    has the owners of these, and the documents.
+    """
+
+    def flush(chunk: int, sets: dict[bytes, np.ndarray], ids: list[int | None], places: list[int]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate(list(sets.values())) if sets else np.empty(0, U64)
+        sizes = np.array([len(s) for s in sets.values()], np.int32)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+        starts = _runs(tokens)
+        count = np.diff(np.append(starts, len(tokens)))
+        many = count > chunk_owners
+        held, number, apart = tokens[starts[many]], count[many].astype(np.uint32), np.repeat(many, count)
+        home = {"bucket": chunk % buckets, "chunk": chunk, "owners": owners[apart].tobytes(), "held": _packed(held), "numbers": number.tobytes(), "sizes": sizes.tobytes(), "sids": b"".join(sets), "doc_ids": ids, "doc_sets": places}
+        tokens, owners = tokens[~apart], owners[~apart]
+        # Buckets are ranges of tokens, which are hashes.
+        limits = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(U64)
+        edges, held_edges = (np.concatenate([[0], np.searchsorted(t, limits), [len(t)]]).tolist() for t in (tokens, held))
+        full = [i for i in range(buckets) if edges[i + 1] > edges[i] or held_edges[i + 1] > held_edges[i]]
+        for part in range(0, len(full), 64):
             rows = []
-            for i in part.tolist():
-                a, b = first[i], first[i + 1] if i + 1 < len(first) else len(tokens)
-                rows.append((int(found[i]), chunk, tokens[a:b].tobytes(), owners[a:b].tobytes(), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)], _PART_NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((home, chunk, None, None, sizes.astype(np.int32).tobytes(), b"".join(sets)), _PART_TYPES, strict=True)], _PART_NAMES)
+            for i in full[part : part + 64]:
+                own, kept = slice(edges[i], edges[i + 1]), slice(held_edges[i], held_edges[i + 1])
+                rows.append({"bucket": i, "chunk": chunk, "tokens": _packed(tokens[own]), "owners": owners[own].tobytes(), "held": _packed(held[kept]), "numbers": number[kept].tobytes()})
+            yield from _batch(rows).to_batches()
+        yield from _batch([home]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << CHUNK_BITS
         sets: dict[bytes, np.ndarray] = {}
+        ids: list[int | None] = []
+        places: list[int] = []
+        index: dict[bytes, int] = {}
         tokens = 0
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
-                for s in document_sets(data, offsets, k):
-                    if len(s) and (sid := set_id(s)) not in sets:
-                        sets[sid] = s
+            for low, high, data, offsets in slices(batch.column("text")):
+                for doc_id, s in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), document_sets(data, offsets, k), strict=True):
+                    ids.append(doc_id)
+                    if not len(s):
+                        places.append(-1)
+                        continue
+                    sid = set_id(s)
+                    if sid not in index:
+                        index[sid], sets[sid] = len(sets), s
                         tokens += len(s)
-                if tokens >= CHUNK_TOKENS or len(sets) >= CHUNK_SETS:
-                    yield from flush(chunk, sets)
-                    chunk, sets, tokens = chunk + 1, {}, 0
-        if sets:
-            yield from flush(chunk, sets)
+                    places.append(index[sid])
+                    if tokens >= chunk_tokens or len(sets) >= CHUNK_SETS or len(ids) >= CHUNK_DOCUMENTS:
+                        yield from flush(chunk, sets, ids, places)
+                        chunk, sets, ids, places, index, tokens = chunk + 1, {}, [], [], {}, 0
+        if ids:
+            yield from flush(chunk, sets, ids, places)
         del sets
         release_memory()
 
     return run
 
 
-_PART_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-_REPLIES = "chunk long, tokens binary, owners binary, freqs binary, sizes binary, sids binary"
-_REPLY_TYPES = [pa.int64(), *[pa.binary()] * 5]
-_REPLY_NAMES = ["chunk", "tokens", "owners", "freqs", "sizes", "sids"]
+_REPLY_NAMES = ["chunk", "tokens", "owners", "freqs", "held", "numbers", "sizes", "sids", "doc_ids", "doc_sets"]
+_REPLIES = _PARTS.removeprefix("bucket int, ")
 
 
 def _share_tokens(table: pa.Table) -> pa.Table:
-    """Of one bucket: tokens that two sets or more hold, with that number, back to their chunks."""
-    rows = [r for r in table.select(["chunk", "tokens", "owners"]).to_pylist() if r["tokens"] is not None]
-    out = [(r["chunk"], None, None, None, r["sizes"], r["sids"]) for r in table.select(["chunk", "sizes", "sids"]).to_pylist() if r["sids"] is not None]
+    """Of one bucket: tokens that two sets or more hold, with that number, back to their chunks; home rows pass."""
+    is_part = table.column("sids").is_null()
+    rows = table.filter(is_part).select(["chunk", "tokens", "owners", "held", "numbers"]).to_pylist()
+    out = []
     if rows:
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-        owners = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in rows])
-        source = np.repeat(np.arange(len(rows)), [len(r["owners"]) // 2 for r in rows])
-        order = np.argsort(tokens)
-        ordered = tokens[order]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        run = np.cumsum(new) - 1
-        freq = np.bincount(run)[run]
+        tokens, held = _unpacked([r["tokens"] for r in rows]), _unpacked([r["held"] for r in rows])
+        owners, number = np.frombuffer(b"".join(r["owners"] for r in rows), np.uint16), _numbers([r["numbers"] for r in rows], np.uint32)
+        every = np.concatenate([tokens, held])
+        order = np.argsort(every, kind="stable")
+        starts = _runs(every[order])
+        weight = np.concatenate([np.ones(len(tokens), np.int64), number])[order]
+        freq = np.empty(len(every), np.int64)
+        freq[order] = np.repeat(np.add.reduceat(weight, starts), np.diff(np.append(starts, len(every))))
+        freq, held_freq = np.split(freq.astype(np.uint32), [len(tokens)])
         keep = freq >= 2
-        at, freq = order[keep], freq[keep]
-        by = np.argsort(source[at], kind="stable")
-        at, freq = at[by], freq[by]
-        edges = np.searchsorted(source[at], np.arange(len(rows) + 1))
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        ends = np.cumsum([len(r["owners"]) // 2 for r in rows])
+        at, held_at = np.concatenate([[0], kept[ends]]).tolist(), np.concatenate([[0], np.cumsum([len(r["held"]) // 8 for r in rows])]).tolist()
+        tokens, owners, freq = tokens[keep], owners[keep], freq[keep]
         for i, r in enumerate(rows):
-            a, b = edges[i], edges[i + 1]
-            if b > a:
-                out.append((r["chunk"], tokens[at[a:b]].tobytes(), owners[at[a:b]].tobytes(), freq[a:b].astype(np.uint32).tobytes(), None, None))
-    columns = list(zip(*out, strict=True)) if out else [()] * 6
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, _REPLY_TYPES, strict=True)], names=_REPLY_NAMES)
+            own, its = slice(at[i], at[i + 1]), slice(held_at[i], held_at[i + 1])
+            if own.stop > own.start or its.stop > its.start:
+                out.append({"chunk": r["chunk"], "tokens": _packed(tokens[own]), "owners": owners[own].tobytes(), "freqs": freq[own].tobytes(), "held": _packed(held[its]), "numbers": held_freq[its].tobytes()})
+    return pa.concat_tables([_batch(out).select(_REPLY_NAMES), table.filter(pc.invert(is_part)).select(_REPLY_NAMES).cast(_batch([]).select(_REPLY_NAMES).schema)])
 
 
-_SETS = "sid binary, node long, n int, own int, tokens array<long>, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>"
+_SETS = "sid binary, node long, n int, own int, tokens array<long>, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>, doc_ids array<bigint>, doc_sizes array<int>, doc_sids array<binary>"
 
 
 def _alive_sets(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one chunk: the sets whose prefix holds shared tokens."""
+        """Of one chunk: the sets whose prefix holds shared tokens, and a row with the documents."""
         rows = table.to_pylist()
         home = next(r for r in rows if r["sids"] is not None)
         sizes = np.frombuffer(home["sizes"], np.int32).astype(np.int64)
-        rows = [r for r in rows if r["tokens"] is not None]
+        rows = [r for r in rows if r["sids"] is None]
         out: list[tuple] = []
         if rows:
-            tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-            owners = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in rows]).astype(np.int64)
-            freqs = np.concatenate([np.frombuffer(r["freqs"], np.uint32) for r in rows]).astype(np.int64)
+            held, number = _unpacked([home["held"]]), _numbers([home["numbers"]], np.uint32)
+            told, told_freq = _unpacked([r["held"] for r in rows]), _numbers([r["numbers"] for r in rows], np.uint32)
+            held_freq = told_freq[np.argsort(told)][np.searchsorted(np.sort(told), held)]
+            tokens = np.concatenate([_unpacked([r["tokens"] for r in rows]), np.repeat(held, number)])
+            owners = np.concatenate([_numbers([r["owners"] for r in rows], np.uint16), _numbers([home["owners"]], np.uint16)])
+            freqs = np.concatenate([_numbers([r["freqs"] for r in rows], np.uint32), np.repeat(held_freq, number)])
             step = np.log2(freqs).astype(np.int64)
             orders = [np.lexsort((mix(tokens * U64(salt)), key, owners)) for salt, key in ((3, freqs), (5, step), (7, step // 2))]
             sorted_ = np.lexsort((tokens, owners))
@@ -205,23 +248,27 @@ def _alive_sets(percent: int):
                 left = prefix_length(n, percent) - own
                 if left > 0:
                     prefixes = [tokens[o[a : min(b, a + left)]].view(np.int64) for o in orders]
-                    out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, n, own, tokens[sorted_[a:b]].view(np.int64), *prefixes))
-        columns = list(zip(*out, strict=True)) if out else [()] * 8
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["sid", "node", "n", "own", "tokens", "prefix_1", "prefix_2", "prefix_3"])
+                    out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, n, own, tokens[sorted_[a:b]].view(np.int64), *prefixes, None, None, None))
+        sids = [home["sids"][16 * i : 16 * i + 16] if i >= 0 else None for i in home["doc_sets"]]
+        out.append((*[None] * 8, home["doc_ids"], [int(sizes[i]) if i >= 0 else 0 for i in home["doc_sets"]], sids))
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.int32()), pa.list_(pa.binary())]
+        names = [f.split()[0] for f in _SETS.split(", ")]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that pass the filters of all orders and link."""
-    wide = ["node", "n", "tokens", "prefix_2", "prefix_3"]
-    left = nodes.select(*(F.col(c).alias(f"x_{c}") for c in wide))
-    right = nodes.select(*(F.col(c).alias(f"y_{c}") for c in wide))
-    both = pairs.join(left, F.col("x") == F.col("x_node")).join(right, F.col("y") == F.col("y_node"))
-    passed = both.where(F.arrays_overlap("x_prefix_2", "y_prefix_2") & F.arrays_overlap("x_prefix_3", "y_prefix_3"))
+    """The pairs (x, y) that pass the filters of all orders and link; tokens are fetched for those that pass only."""
+
+    def joined(rows: DataFrame, *columns: str) -> DataFrame:
+        for side in ("x", "y"):
+            rows = rows.join(nodes.select(F.col("node").alias(f"{side}_node"), *(F.col(c).alias(f"{side}_{c}") for c in columns)), F.col(side) == F.col(f"{side}_node"))
+        return rows
+
+    passed = joined(pairs, "prefix_2", "prefix_3").where(F.arrays_overlap("x_prefix_2", "y_prefix_2") & F.arrays_overlap("x_prefix_3", "y_prefix_3")).select("x", "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens")).cast("long")
-    counted = passed.select("x", "y", "x_n", "y_n", shared.alias("shared"))
+    counted = joined(passed, "n", "tokens").select("x", "y", "x_n", "y_n", shared.alias("shared"))
     return counted.where(100 * F.col("shared") >= percent * (F.col("x_n") + F.col("y_n") - F.col("shared"))).select("x", "y")
 
 
@@ -302,7 +349,7 @@ def _block_links(percent: int):
         """Of two blocks of a cluster (or one and itself): links that connect components."""
         table = table.combine_chunks()
         node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        block, low, high = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        is_low, is_high = (np.asarray(table.column(c)) for c in ("is_low", "is_high"))
         lists = lambda c: [np.asarray(v.values) for v in table.column(c)]
         sets = _Postings(lists("tokens"))
         prefixes = [_Postings(lists(f"prefix_{k}")) for k in (1, 2, 3)]
@@ -314,9 +361,9 @@ def _block_links(percent: int):
             return c
 
         out = []
-        for i in np.flatnonzero(block == low).tolist():
-            fits = (block == high) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if low == high:
+        for i in np.flatnonzero(is_low).tolist():
+            fits = is_high & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if is_high[i]:  # a block and itself
                 fits[: i + 1] = False
             for p in prefixes:
                 if not fits.any():
@@ -335,30 +382,60 @@ def _block_links(percent: int):
     return run
 
 
+def _blocks(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, comp, cluster, block) of the nodes of frequent tokens, and the pairs of blocks (cluster, low, high) to compare.
+
+    A cluster is connected by tokens: each node joins its first frequent token with
+    its others, and components are sought among tokens only. In large clusters a
+    block holds nodes of about one size and alike first tokens. Two blocks are
+    compared if they share a token, of which one of them holds a node outside the
+    token's largest component, and if their sizes are within the length bound.
+    """
+    members = stage_table(held.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("f")).select("node", "comp", "n", F.col("f.token").alias("first")), "members")
+    others = held.join(members.select("node", "first"), "node").where("token <> first").select(F.col("first").alias("x"), F.col("token").alias("y")).distinct()
+    chained = components(others).select(F.col("node").alias("first"), "label")
+    placed = members.join(chained, "first", "left").withColumn("cluster", F.coalesce("label", "first"))
+    step = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")  # nodes that can link are at most one step apart
+    wanted = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_TOKENS)
+    parts = placed.groupBy("cluster").agg(F.ceil(wanted).cast("int").alias("parts"))
+    placed = placed.join(parts, "cluster").withColumn("step", F.when(F.col("parts") > 1, step).otherwise(0))
+    heap = placed.groupBy("cluster", "step").agg(F.ceil(wanted).cast("int").alias("heaps"))
+    first = placed.groupBy("cluster", "step", "first").agg(F.ceil(wanted).cast("int").alias("salts"))
+    placed = placed.join(heap, ["cluster", "step"]).join(first, ["cluster", "step", "first"])
+    salt = F.pmod(F.xxhash64("node"), F.col("salts"))
+    placed = stage_table(placed.select("node", "comp", "n", "cluster", F.struct("step", F.pmod(F.xxhash64("first", salt), F.col("heaps")).cast("int").alias("heap")).alias("block")), "blocks")
+
+    held = held.select("token", "node", (F.col("comp") != F.col("main")).alias("other"))
+    seen = held.join(placed.select("node", "n", "cluster", "block"), "node").groupBy("cluster", "token", "block").agg(F.max("other").alias("other"), F.min("n").alias("least"), F.max("n").alias("most"))
+    a = seen.select("cluster", "token", *(F.col(c).alias(f"x_{c}") for c in ("block", "other", "least", "most")))
+    b = seen.select("cluster", "token", *(F.col(c).alias(f"y_{c}") for c in ("block", "other", "least", "most")))
+    near = (100 * F.col("x_most").cast("long") >= percent * F.col("y_least").cast("long")) & (100 * F.col("y_most").cast("long") >= percent * F.col("x_least").cast("long"))
+    pairs = a.join(b, ["cluster", "token"]).where((F.col("x_block") <= F.col("y_block")) & (F.col("x_other") | F.col("y_other")) & near)
+    return placed.drop("n"), pairs.select("cluster", F.col("x_block").alias("low"), F.col("y_block").alias("high")).distinct()
+
+
 def _links_in_clusters(entries: DataFrame, hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) between components among the nodes of frequent tokens."""
-    edges = stage_table(entries.join(hot.select("token"), "token").select(F.col("token").alias("x"), F.col("node").alias("y"), "comp"), "hot-entries")
-    clusters = components(edges)
-    comps = edges.select(F.col("y").alias("node"), "comp").distinct()
-    members = stage_table(comps.join(clusters, "node").select("node", "comp", F.col("label").alias("cluster")), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    held = stage_table(entries.join(hot.select("token", "main"), "token").select("token", "node", "comp", "n", "place", "main"), "hot-entries")
+    placed, pairs = _blocks(held, percent)
+    pairs = stage_table(pairs, "block-pairs")
+    ends = pairs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    sent = placed.join(ends, ["cluster", "block"])
     rows = sent.join(nodes.select("node", "n", "tokens", "prefix_1", "prefix_2", "prefix_3"), "node")
-    return rows.groupBy("cluster", "low", "high").applyInArrow(_block_links(percent), "x long, y long")
+    wide = rows.select("node", "n", "comp", "tokens", "prefix_1", "prefix_2", "prefix_3", "cluster", "low", "high", (F.col("block") == F.col("low")).alias("is_low"), (F.col("block") == F.col("high")).alias("is_high"))
+    return wide.groupBy("cluster", "low", "high").applyInArrow(_block_links(percent), "x long, y long")
 
 
 def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: the size of its set, and the smallest doc_id of its class."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    listed = stage_table(docs.mapInArrow(_ids_map(words), "doc_id long, n_shingles long, sid binary"), "sets")
-    classes = stage_table(listed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "classes")
-
     buckets = 4 * max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
-    parts = docs.select("text").mapInArrow(_chunk_map(words, buckets), _PARTS)
-    replies = parts.groupBy("bucket").applyInArrow(_share_tokens, _REPLIES)
-    alive = stage_table(replies.groupBy("chunk").applyInArrow(_alive_sets(percent), _SETS), "alive")
+    replies = docs.mapInArrow(_chunk_map(words, buckets, CHUNK_TOKENS, CHUNK_OWNERS), _PARTS).groupBy("bucket").applyInArrow(_share_tokens, _REPLIES)
+    told = stage_table(replies.groupBy("chunk").applyInArrow(_alive_sets(percent), _SETS), "alive")
+    listed = told.where("doc_ids is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_sizes", "doc_sids"))).toDF("doc_id", "n_shingles", "sid").withColumn("n_shingles", F.col("n_shingles").cast("long"))
+    classes = stage_table(listed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "classes")
+    alive = told.where("node is not null").drop("doc_ids", "doc_sizes", "doc_sids")
     # Equal sets of several chunks: the first stands for all.
     nodes = stage_table(alive.groupBy("sid").agg(F.min("node").alias("node")), "nodes")
 

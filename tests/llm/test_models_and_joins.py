@@ -80,6 +80,29 @@ def test_links_without_star_rounds(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, star_rounds=0).collect()} == brute_classes(rows)
 
 
+def test_a_shingle_of_every_document_moves_as_a_number(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_OWNERS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, "a line that all have " + " ".join(f"w{x}" for x in rng.integers(0, 40, 4)) + " " + t) for i, t in near_copies(6, 200, 24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute_classes(rows)
+    parts = df.mapInArrow(ngram_join._chunk_map(5, 4, 10**6, 3), ngram_join._PARTS).where("sids is null").collect()
+    assert sum(len(p.held) for p in parts) > 0
+    for p in parts:
+        own = ngram_join._unpacked([p.tokens])
+        assert np.unique(own, return_counts=True)[1].max(initial=0) <= 3
+        assert len(p.owners) == 2 * len(own)
+
+
+def test_exactly_three_quarters_link(spark):
+    shared = [f"s{i}" for i in range(19)]
+    # 15 shingles are shared; with 5 of its own the other set has 20, the union 20: 75 %.
+    rows = [(1, " ".join(shared)), (2, " ".join([*shared, *(f"t{i}" for i in range(5))])), (3, " ".join([*shared, *(f"u{i}" for i in range(6))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert found == brute_classes(rows) == {1: (15, 1), 2: (20, 1), 3: (21, 3)}
+
+
 @pytest.mark.parametrize(("hot", "block"), [(2, 1024), (3, 4)])
 def test_links_in_blocks(spark, monkeypatch, hot, block):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
