@@ -13,12 +13,14 @@ replacements, ``\\l`` first, undo it. Merged texts stay apart by ``<part>``, so
 single turns can be read back. The loss mask covers the texts of assistant
 turns, without markers.
 
-Method: turn structs are collected per conversation and sorted, folded into
-blocks by an array aggregation, and concatenated. ``read_back`` parses a
+Method: turn structs are collected per conversation and sorted; the places where
+the role changes cut them into blocks, whose texts an array aggregation merges,
+and the blocks are concatenated, in time linear in the turns but for the sort. ``read_back`` parses a
 formatted string into turns again.
 
 Scale: one shuffle by conversation. A formatted conversation is one string, so
-its size bounds a task's memory; a conversation is never spread over rows.
+its size (2 GB at most, as any string of Spark) bounds a task's memory; a
+conversation is never spread over rows.
 
 Nulls and odd rows: a null text is empty, a null role is the empty role. Turns
 sort by (turn, role, text), null turns first; repeated rows are turns of their
@@ -50,27 +52,22 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\g"), F.lit(">")))
 
 
-def _merge(turns: Column) -> Column:
-    """Blocks (role, texts) from sorted turns: a turn joins the last block if that has its role."""
-    block = "struct<role:string,text:string>"
-
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == t["role"])
-        joined = F.struct(t["role"].alias("role"), F.concat(last["text"], F.lit("<part>"), t["text"]).alias("text"))
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(joined))).otherwise(F.concat(blocks, F.array(F.struct(t["role"].alias("role"), t["text"].alias("text")))))
-
-    return F.aggregate(turns, F.array().cast(f"array<{block}>"), add)
-
-
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, formatted) of each conversation."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), _escape_role(role).alias("role"), escape(text).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = F.transform(_merge(F.col("turns")), lambda b: F.concat(F.lit("<turn "), b["role"], F.lit(">\n"), b["text"], F.lit("</turn>\n")))
-    return turns.select("conv_id", F.array_join(blocks, "").alias("formatted"))
+    # Where blocks begin; a column of its own, so that it isn't computed for each block again.
+    opens = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
+    opened = turns.select("conv_id", "turns", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), opens).alias("starts"))
+
+    def block(start: Column, k: Column) -> Column:
+        own = F.slice("turns", start + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - start)
+        merged = F.array_join(F.transform(own, lambda t: t["text"]), "<part>")
+        return F.concat(F.lit("<turn "), F.get("turns", start)["role"], F.lit(">\n"), merged, F.lit("</turn>\n"))
+
+    return opened.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:

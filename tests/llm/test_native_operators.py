@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.llm.chat import chat_digests, format_chats
@@ -32,13 +34,19 @@ def test_urls(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'y' as rule")
     keys = spark.createDataFrame([(k,) for k in [*listed, listed[0]]], "key string")
     expected = {i: judged(u, set(listed)) for i, u in enumerate(urls)}
-    for bits in (1 << 24, 1):  # the cascade, and the join beyond its bound
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, keys, max_bits=bits).collect()}
-        assert got == expected
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, keys).collect()} == expected
+    with pytest.raises(ValueError, match="bits"):
+        judge_urls(pages, keys, max_bits=1)
     assert judge_urls(pages.limit(0), keys).count() == 0
     assert {r.verdict for r in judge_urls(pages.where("page_id = 13"), keys.limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_urls(spark):
+    rows = [(1, "http://" + "a." * 3000 + "free-bets.example.com/" + "x" * 10**6), (2, "http://www.example.org/es/" + "y" * 10**6), (3, "z" * 10**6 + "://org/")]
+    got = {r.page_id: (r.verdict, r.rule, len(r.host), len(r.path)) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k,) for k in LISTED], "key string")).collect()}
+    assert got == {1: ("block", None, 6021, 10**6 + 1), 2: ("block", "example.org/es/", 15, 10**6 + 4), 3: ("allow", "org/", 3, 1)}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 7 = 0")
@@ -66,3 +74,25 @@ def test_chats(spark):
     merged = format_chats(table).where("conv_id = 1").first().formatted
     assert merged.count("<turn assistant>") == 1 and merged.count("<part>") == 1
     assert chat_digests(format_chats(table.limit(0))).count() == 0
+
+
+def test_long_conversations_take_linear_time(spark):
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <b> "), "id").alias("text"))
+        began = time.perf_counter()
+        found = chat_digests(format_chats(rows)).first()
+        assert found.n_turns == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 4 * seconds(10_000) + 3
+
+
+def test_very_long_texts_and_repeated_turns(spark):
+    long = "</turn> \\l <part> é" * 100_000
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 1, "assistant", ""), (1, 1, None, None), (None, 0, "assistant", long)]
+    found = {r.conv_id: r for r in chat_digests(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert (found[1].n_turns, found[1].loss_chars, found[None].loss_chars) == (4, 0, len(long))
+    assert found[None].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    told = "".join(f"{r}\n{t}\n" for r, t in [("user", long), ("user", long), ("", ""), ("assistant", "")])
+    assert found[1].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
