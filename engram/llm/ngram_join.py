@@ -53,7 +53,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage_table
@@ -394,16 +394,18 @@ def _blocks(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     members = stage_table(held.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.min(F.struct("place", "token")).alias("f")).select("node", "comp", "n", F.col("f.token").alias("first")), "members")
     others = held.join(members.select("node", "first"), "node").where("token <> first").select(F.col("first").alias("x"), F.col("token").alias("y")).distinct()
     chained = components(others).select(F.col("node").alias("first"), "label")
-    placed = members.join(chained, "first", "left").withColumn("cluster", F.coalesce("label", "first"))
     step = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")  # nodes that can link are at most one step apart
-    wanted = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_TOKENS)
-    parts = placed.groupBy("cluster").agg(F.ceil(wanted).cast("int").alias("parts"))
-    placed = placed.join(parts, "cluster").withColumn("step", F.when(F.col("parts") > 1, step).otherwise(0))
-    heap = placed.groupBy("cluster", "step").agg(F.ceil(wanted).cast("int").alias("heaps"))
-    first = placed.groupBy("cluster", "step", "first").agg(F.ceil(wanted).cast("int").alias("salts"))
-    placed = placed.join(heap, ["cluster", "step"]).join(first, ["cluster", "step", "first"])
+    base = stage_table(members.join(chained, "first", "left").select("node", "comp", "n", "first", F.coalesce("label", "first").alias("cluster"), step.alias("step")), "clusters")
+    sizes = base.groupBy("cluster", "step", "first").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+
+    def wanted(*keys: str) -> Column:
+        own = Window.partitionBy(*keys)
+        return F.ceil(F.greatest(F.sum("rows").over(own) / BLOCK_ROWS, F.sum("tokens").over(own) / BLOCK_TOKENS)).cast("int")
+
+    cut = stage_table(sizes.select("cluster", "step", "first", wanted("cluster").alias("parts"), wanted("cluster", "step").alias("heaps"), wanted("cluster", "step", "first").alias("salts")), "cuts")
     salt = F.pmod(F.xxhash64("node"), F.col("salts"))
-    placed = stage_table(placed.select("node", "comp", "n", "cluster", F.struct("step", F.pmod(F.xxhash64("first", salt), F.col("heaps")).cast("int").alias("heap")).alias("block")), "blocks")
+    block = F.struct(F.when(F.col("parts") > 1, F.col("step")).otherwise(0).alias("step"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("first", salt), F.col("heaps")).cast("int")).otherwise(0).alias("heap"))
+    placed = stage_table(base.join(cut, ["cluster", "step", "first"]).select("node", "comp", "n", "cluster", block.alias("block")), "blocks")
 
     held = held.select("token", "node", (F.col("comp") != F.col("main")).alias("other"))
     seen = held.join(placed.select("node", "n", "cluster", "block"), "node").groupBy("cluster", "token", "block").agg(F.max("other").alias("other"), F.min("n").alias("least"), F.max("n").alias("most"))
