@@ -14,10 +14,14 @@ positional bound (the window that the token's place implies lies in the
 document), and compares all words. Windows with a shingle that the corpus
 lacks are dropped after the first pass.
 
-Scale. Both passes are maps over the documents: no document moves. Only the
-benchmark is broadcast, in blocks of at most ``block_bytes`` of text; where
-there are several blocks the hits of each are merged by document. What reaches
-the driver is one block and its shingle counts.
+Scale. The documents are read twice, whatever the size of the benchmark. Up to
+``block_bytes`` of item texts are indexed on the driver and broadcast, and both
+passes are maps: no document moves. A larger benchmark stays distributed: its
+windows are a table; a bit table of their tokens (a false hit costs work only) lets
+the first pass send counts of possible tokens, and one of the prefixes lets the
+second send places of possible prefixes with the words around them, which are
+joined to the windows by token and compared. Keys of that join are the rarest
+tokens of windows; adaptive execution may split one that is frequent nevertheless.
 
 Nulls and odd rows: a null or empty text has no words, ``n_hit`` 0 and is not
 contaminated. Repeated document rows give repeated results. Repeated items
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +50,10 @@ SHARE = 20  # contaminated if at least one word in so many is hit
 
 _WORD, _FOLD = alphanumeric_words(), lower_ascii()
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_BLOCK_SCHEMA = "row long, doc_id long, n_words long, spans binary, items array<string>"
 
 
 class BenchmarkIndex:
-    """The windows of one block of items, by word hashes."""
+    """The windows of a benchmark of bounded size, by word hashes."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         texts = pa.array([t for _, t in items], pa.large_string())
@@ -202,43 +206,111 @@ def _judge_map(shared):
     return run
 
 
-def _block_map(shared):
+def _window_map(window: int):
+    """Items to rows (item, words, tokens), one per window: the hashes of its words and of its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets, _WORD)
-                h, n = words.hashes(_FOLD), high - low
-                start, window = _hits(index, words, h)
-                spans: list[bytes] = [b""] * n
-                items: list[list[str]] = [[]] * n
-                row = words.rows[start] if len(start) else start
-                for r in np.unique(row).tolist():
-                    own = row == r
-                    places = np.unique(np.stack([start[own] - words.first[r], index.lengths[window[own]]], 1), axis=0)
-                    spans[r] = places.astype("<i8").tobytes()
-                    items[r] = sorted(set().union(*(index.owners[w] for w in np.unique(window[own]).tolist())))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(low, n), batch.column("doc_id").slice(low, n), pa.array(words.counts, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                    ["row", "doc_id", "n_words", "spans", "items"],
-                )
+                h = words.hashes(_FOLD)
+                ids = batch.column("item_id").slice(low, high - low).to_pylist()
+                for row in range(high - low):
+                    own = h[words.first[row] : words.first[row + 1]]
+                    cut = [own[at : at + window] for at in range(max(1, len(own) - window + 1) if len(own) else 0)]
+                    tokens = [shingle_hashes(w, min(SHINGLE, len(w))).view(np.int64) for w in cut]
+                    columns = [pa.array([ids[row]] * len(cut), pa.string()), pa.array([w.tobytes() for w in cut], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["item", "words", "tokens"])
+
+    return run
+
+
+def _bit_table(tokens: DataFrame):
+    """A broadcast bit table of the tokens, sixteen bits for each, 128 MB at most."""
+    size = 1 << min(30, max(16, int(tokens.count() * 16).bit_length()))
+    bits = np.zeros(size // 64, np.int64)
+    at = F.col("token").bitwiseAND(F.lit(size - 1))
+    words = tokens.groupBy(F.floor(at / 64).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast((token & {size - 1}) % 64 as int)))").alias("v"))
+    for w, v in words.toLocalIterator():
+        bits[w] = v
+    return tokens.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool))
+
+
+def _possible(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(bits[(tokens & U64(len(bits) - 1)).astype(np.int64)])
+
+
+def _possible_counts(shared, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets, _WORD)
+                h = words.hashes(_FOLD)
+                for k in sizes:
+                    if len(h) >= k:
+                        tokens = shingle_hashes(h, k)[inside(words.first, k)]
+                        token, n = np.unique(tokens[_possible(shared.value, tokens)], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+    return run
+
+
+def _possible_places(shared, sizes: list[int], window: int):
+    """A row per document, and one per place of a possible prefix: its token, place, and the words around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, row = ["row", "doc_id", "n_words", "token", "place", "before", "around"], TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for low, high, data, offsets in slices(batch.column("text")):
+                n, words = high - low, Words(data, offsets, _WORD)
+                h, rows = words.hashes(_FOLD), words.rows
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id").slice(low, n), pa.array(words.counts, pa.int64()), none, none, none, pa.nulls(n, pa.binary())], names)
+                for k in sizes:
+                    spots = inside(words.first, k)
+                    tokens = shingle_hashes(h, k)[spots] if len(h) >= k else h[:0]
+                    at = _possible(shared.value, tokens)
+                    for part in np.array_split(at, max(1, len(at) // 4096)):
+                        pos = spots[part]
+                        own = rows[pos]
+                        begin, end = np.maximum(words.first[own], pos - window + 1), np.minimum(words.first[own + 1], pos + window)
+                        around = [h[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                        columns = [row + own, words.counts[own], tokens[part].view(np.int64), pos - words.first[own], pos - begin]
+                        r, c, t, p, b = (pa.array(x, pa.int64()) for x in columns)
+                        yield pa.RecordBatch.from_arrays([r, pa.nulls(len(pos), pa.int64()), c, t, p, b, pa.array(around, pa.binary())], names)
+                row += n
 
     return run
 
 
-def _merge_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x in batch.to_pylist():
-            places = np.frombuffer(b"".join(x["spans"]), "<i8").reshape(-1, 2)
-            hit = int(_covered(x["n_words"], places[:, 0], places[:, 1]).sum()) if len(places) else 0
-            items = set().union(*x["items"])
-            out.append({"doc_id": x["doc_id"], "n_words": x["n_words"], "n_hit": hit, "n_items": len(items), "items_sha256": _digest(items), "contaminated": hit > 0 and SHARE * hit >= x["n_words"]})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))
+def _by_shuffle(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """The same result with the windows as a distributed table."""
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    listed = stage_table(texts.mapInArrow(_window_map(window), "item string, words binary, tokens array<long>").distinct(), "windows")
+    tokens = stage_table(listed.select("words", "tokens").distinct().select("words", F.posexplode("tokens").alias("offset", "token")), "tokens")
+    sizes = [r[0] for r in listed.select(F.least(F.lit(SHINGLE), F.length("words") / 8).cast("int")).distinct().collect()]
+    counts = docs.select("text").mapInArrow(_possible_counts(_bit_table(tokens.select("token").distinct()), sizes), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rarest = tokens.join(counts, "token", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("p"))
+    prefixes = stage_table(rarest.where("p.n > 0").select("words", "p.token", "p.offset"), "prefixes")
+    found = stage_table(docs.mapInArrow(_possible_places(_bit_table(prefixes.select("token").distinct()), sizes, window), "row long, doc_id long, n_words long, token long, place long, before long, around binary"), "places")
+
+    start, length = F.col("place") - F.col("offset"), (F.length("words") / 8).cast("long")
+    same = F.substring("around", (8 * (F.col("before") - F.col("offset")) + 1).cast("int"), F.length("words")) == F.col("words")
+    pairs = found.where("token is not null").join(prefixes, "token").where((start >= 0) & (start + length <= F.col("n_words")) & same)
+    hits = stage_table(pairs.select("row", start.alias("start"), length.alias("length"), "words"), "hits")
+    end = lambda x: x["start"] + x["length"]
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    join = lambda acc, x: F.struct(F.greatest(acc["end"], end(x)).alias("end"), (acc["n"] + F.greatest(F.lit(0), end(x) - F.greatest(acc["end"], x["start"]))).alias("n"))
+    spans = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    covered = spans.select("row", F.aggregate("spans", zero, join)["n"].alias("n_hit"))
+    owners = hits.select("row", "words").distinct().join(listed.select("words", "item"), "words").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    told = found.where("token is null").select("row", "doc_id", "n_words").join(covered, "row", "left").join(owners, "row", "left")
+    n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return told.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def _shared_index(documents: DataFrame, items: list, window: int):
-    """Build a block's index, count its shingles over the corpus, choose the prefixes and broadcast the result."""
+    """Build the index, count its shingles over the corpus, choose the prefixes and broadcast the result."""
     context = documents.sparkSession.sparkContext
     index = BenchmarkIndex(items, window)
     counted = context.broadcast(index)
@@ -255,14 +327,6 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    if blocks == 1:
-        return docs.mapInArrow(_judge_map(_shared_index(docs, [tuple(r) for r in items.collect()], window)), SCHEMA)
-    docs = stage_table(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(blocks))
-    found = None
-    for k in range(blocks):
-        one = docs.mapInArrow(_block_map(_shared_index(docs, [tuple(r) for r in items.where(part == k).collect()], window)), _BLOCK_SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return merged.mapInArrow(_merge_map, SCHEMA)
+    if total > block_bytes:
+        return _by_shuffle(docs, items, window)
+    return docs.mapInArrow(_judge_map(_shared_index(docs, [tuple(r) for r in items.collect()], window)), SCHEMA)
