@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import SHARE, WINDOW
+from .ngram_join import PERCENT
+from .ngram_join import WORDS as SHINGLE
+from .quality import KEEP_SHARE, LINE_DOCUMENTS, MIN_WORDS
 from .sharding import ROW_BYTES, SHARDS
 from .url_filter import LISTED, RULES
 
@@ -59,3 +63,79 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length(safe) + CASE WHEN opens = 1 THEN length('<turn >') + length(role) + 1 + length('</turn>') + 1 ELSE length('<part>') END)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+DECONTAMINATION = rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, len, array_to_string(w[p:p + len - 1], ' ') AS win
+  FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS len, unnest(range(1, greatest(1, len(w) - {WINDOW} + 1) + 1)) AS p FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), spots AS (
+  SELECT doc_id, p, len, array_to_string(w[p:p + len - 1], ' ') AS win
+  FROM (SELECT doc_id, w, l.len, unnest(range(1, len(w) - l.len + 2)) AS p FROM doc_words, (SELECT DISTINCT len FROM windows) AS l)
+), hits AS (
+  SELECT doc_id, p, len, item_id FROM spots JOIN windows USING (len, win)
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + len)) AS place FROM (SELECT DISTINCT doc_id, p, len FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND {SHARE} * n_hit >= len(w), false) AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+NGRAM_JACCARD = rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, least({SHINGLE}, len(w)) AS k, unnest(range(1, greatest(1, len(w) - {SHINGLE} + 1) + 1)) AS p FROM doc_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * same >= {PERCENT} * (a.n + b.n - same)
+), ends AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT x, y FROM ends UNION SELECT r.x, e.y FROM reached r JOIN ends e ON r.y = e.x
+), least AS (
+  SELECT x, min(y) AS y FROM reached GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON x = doc_id
+"""
+
+QUALITY_RULES = rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS times FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM docs)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS place FROM windows WHERE times > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, source, text, line, regexp_extract_all(line, '{_WORDS}') AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+), norms AS (
+  SELECT *, translate(array_to_string(lw, ' '), {_LOWER}) AS norm FROM lines WHERE len(lw) > 0
+), twice AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line)) AS n FROM norms GROUP BY doc_id
+), common AS (
+  SELECT source, norm FROM norms GROUP BY source, norm HAVING count(DISTINCT text) > {LINE_DOCUMENTS}
+), gone AS (
+  SELECT doc_id, sum(len(lw)) AS n FROM norms JOIN common ON common.norm = norms.norm AND common.source IS NOT DISTINCT FROM norms.source GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(twice.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+  FROM docs LEFT JOIN twice USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= {KEEP_SHARE} * n_words AS kept
+FROM counted
+"""

@@ -85,7 +85,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
     "op2_url_filter": oracles.URL_FILTER,
     "op3_sharding": oracles.SHARDING,
+    "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op7_quality_rules": oracles.QUALITY_RULES,
     "op8_chat_formatting": oracles.CHAT_FORMATTING,
 }
