@@ -1,16 +1,27 @@
 """From raw documents to packed sequences, a stage per operator.
 
 ``STAGES`` holds (name, function); each function takes (spark, docs, sf_dir) and
-works on all that the stage before kept. Each row is judged by itself: operators
-get a 64-bit hash of the row's columns for its doc_id, and rows go by that key, so
-null and shared doc_ids do no harm and only equal rows stand or fall together (as
-would two rows whose hashes collide). ``run`` writes each stage's result as a table in
-the shared folder and reads it again for the next.
+works on all that the stage before kept. Each row is judged by itself: a stage
+numbers its rows by file and place in the file, gives operators that number for a
+doc_id, and rows go by it, so null and shared doc_ids and repeated rows do no harm.
+Documents that aren't a table of files are numbered in a copy in the shared folder.
+``run`` writes each stage's result as a table in the shared folder and reads it
+again for the next.
+
+Nulls and odd rows: a null or empty text is rejected by language ID (no letter) and,
+where a stage is used alone, by the base rules of the quality stage; the other two
+filters keep it, and packing gives it one piece. Very long texts are handled whole.
+Of repeated rows and near copies the n-gram stage keeps one, the smallest doc_id,
+null ids last. Extra columns pass all filters, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import count
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import stage_table, table
@@ -24,38 +35,61 @@ from engram.llm.token_counts import read_tokenizer
 
 MIN_SCORE = 0.5
 BROADCAST_IDS = 1_000_000
+ROW_BITS = 40  # rows of a file
+
 
+def _is_of_files(docs: DataFrame) -> bool:
+    """Whether each row is a row of a Parquet file: a scan, or columns or rows picked from one."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    try:
+        return node.nodeName() == "LogicalRelation" and bool(docs.select(docs.metadataColumn("_metadata")["row_index"]).columns)
+    except AnalysisException:
+        return False
 
-KEY = "_row_key"
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number of their own for each row, and the name of its column.
 
-def _key(docs: DataFrame) -> Column:
-    """A hash of all columns; null flags tell nulls in different columns apart."""
-    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    Rows of files are numbered by file (these are as many as the driver lists to read the table, 16 bytes each
+    here) and row of the file, so each plan over ``docs`` numbers them alike.
+    """
+    free = (name for k in count() if not {name := f"_row{k}", f"{name}_file", f"{name}_at", f"{name}_number"} & {c.lower() for c in docs.columns})
+    key = next(free)
+    file, at, number = f"{key}_file", f"{key}_at", f"{key}_number"
+    if not _is_of_files(docs):
+        return stage_table(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    where = docs.metadataColumn("_metadata")
+    placed = docs.select(*docs.columns, F.xxhash64(where["file_path"]).alias(file), where["row_index"].alias(at))
+    found = sorted(r[0] for r in placed.select(file).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(found)], f"{file} long, {number} long")
+    return placed.join(F.broadcast(numbers), file).select(*docs.columns, (F.shiftleft(number, ROW_BITS) + F.col(at)).alias(key)), key
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with their key for a doc_id."""
-    return docs.withColumn("doc_id", _key(docs))
+def _as_id(numbered: DataFrame, key: str) -> DataFrame:
+    return numbered.withColumn("doc_id", F.col(key)).drop(key)
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The documents whose keys aren't rejected; the keys are broadcast if they are few, else joined by shuffle."""
-    keys = stage_table(rejected.select(F.col("doc_id").alias("rejected_key")).distinct(), name)
-    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.withColumn(KEY, _key(docs)).join(F.broadcast(keys) if few else keys, F.col(KEY) == F.col("rejected_key"), "left_anti").drop(KEY)
+def _without(numbered: DataFrame, key: str, rejected: DataFrame, name: str) -> DataFrame:
+    """The documents whose numbers aren't rejected; the numbers are broadcast if they are few, else joined by shuffle."""
+    gone = stage_table(rejected.select(F.col("doc_id").alias(f"{key}_number")), name)
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return numbered.join(F.broadcast(gone) if few else gone, F.col(key) == F.col(f"{key}_number"), "left_anti").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language, told with some confidence."""
-    found = identify(_keyed(docs), train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < MIN_SCORE)), "not-told")
+    rows, key = _numbered(docs)
+    found = identify(_as_id(rows, key), train(docs))
+    return _without(rows, key, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < MIN_SCORE)), "not-told")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted of lines of their own, without the lines above the limits."""
-    measured = measure(_keyed(docs))
-    kept = _without(docs, judge_quality(_keyed(docs), measured=measured).where(~F.col("kept")), "low-quality")
+    rows, key = _numbered(docs)
+    measured = measure(_as_id(rows, key))
+    kept = _without(rows, key, judge_quality(rows, measured=measured).where(~F.col("kept")), "low-quality")
     clean = clean_texts(kept, measured=measured)
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None
     return clean if length is None else clean.withColumn("n_chars", length)
@@ -63,22 +97,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id, null ids last."""
-    found = stage_table(near_duplicates(_keyed(docs)).groupBy("doc_id", "component_id").agg(F.count("*").alias("times")), "classes")
-    ids = docs.select(_key(docs).alias("key"), F.col("doc_id").alias("id")).distinct()
-    classes = found.join(ids, F.col("doc_id") == F.col("key")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
-    firsts = stage_table(classes.select(F.col("first.key").alias("doc_id")), "firsts")
-    kept = _without(docs, found.join(firsts, "doc_id", "left_anti"), "duplicates")
-    repeated = stage_table(found.where("times > 1").select(F.col("doc_id").alias("repeated_key")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    kept = kept.withColumn(KEY, _key(kept))
-    match = kept[KEY] == repeated["repeated_key"]
-    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([KEY])).drop(KEY)
+    rows, key = _numbered(docs)
+    found = stage_table(near_duplicates(_as_id(rows, key)).select("doc_id", "component_id"), "classes")
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").alias("id"))
+    firsts = found.join(ids, F.col("doc_id") == F.col("key")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    return _without(rows, key, found.join(firsts.select(F.col("first.key").alias("doc_id")), "doc_id", "left_anti"), "duplicates")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
-    return _without(docs, find_contamination(_keyed(docs), table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
+    rows, key = _numbered(docs)
+    found = find_contamination(_as_id(rows, key), table(spark, sf_dir, "benchmark"))
+    return _without(rows, key, found.where("contaminated"), "contaminated")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
