@@ -103,13 +103,6 @@ def compression_ratio(represented: Column, vectors: Column) -> Column:
     return F.when(vectors == 0, F.lit(0.0)).otherwise(represented / vectors)
 
 
-def clean_label(label: str) -> str:
-    s = label.replace("_", " ").strip()
-    for prefix in LABEL_PREFIXES:
-        s = s.removeprefix(prefix)
-    return s.strip()
-
-
 def clean_label_column(label: Column) -> Column:
     s = F.trim(F.replace(label, F.lit("_"), F.lit(" ")))
     for prefix in LABEL_PREFIXES:
@@ -124,26 +117,12 @@ def common_terms(labels: DataFrame, keys: list[str], label: str, count: str, k:
     """The k most frequent content words of each key's labels, weighted by count."""
     from pyspark.sql import Window
 
-    words = labels.select(*keys, F.col(count).alias("_n"), F.explode(F.regexp_extract_all(F.lower(label), F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
-    kept = words.where((F.char_length("term") >= 4) & ~F.col("term").isin(*STOP_WORDS)).groupBy(*keys, "term").agg(F.sum("_n").cast("long").alias("n"))
+    words = labels.select(*keys, F.col(count).alias("_n"), F.explode(terms_column(F.col(label))).alias("term"))
+    kept = words.groupBy(*keys, "term").agg(F.sum("_n").cast("long").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "term"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def terms_of(text: str) -> list[str]:
-    return [t for t in re.findall(_TERM, text.lower()) if len(t) >= 4 and t not in STOP_WORDS]
-
-
-def sparkline(values: list[float]) -> str:
-    """Eight heights; the middle one for a flat series."""
-    bars = "▁▂▃▄▅▆▇█"
-    if not values:
-        return ""
-    low, span = min(values), max(values) - min(values)
-    if span < 1e-9:
-        return bars[4] * len(values)
-    return "".join(bars[min(7, int((v - low) / span * 7))] for v in values)
-
-
-def format_ratio(ratio: float) -> str:
-    return f"compresión {ratio / 1000:.1f}k:1" if ratio >= 1000 else f"compresión {ratio:.1f}:1"
+def terms_column(text: Column) -> Column:
+    """The content words of a text, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"), F.lit(1)), lambda t: (F.char_length(t) >= 4) & ~t.isin(*STOP_WORDS))

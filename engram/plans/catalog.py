@@ -588,6 +588,14 @@ def stream_breaths(spark, sf_dir):
 
 @query
 def stream_pressure(spark, sf_dir):
+    """Breaths of the event stream by the number of pending perceptions."""
+    from ..streaming.breath import stream_by_pressure
+
+    return stream_by_pressure(spark, f"{sf_dir}/events.parquet")
+
+
+@query
+def stream_living(spark, sf_dir):
     """Perceptions per subject after the stream ran dry, by a stateful operator with expiry."""
     from ..streaming.breath import stream_living
 

@@ -263,7 +263,8 @@ SELECT conv_id, turn, words, CASE WHEN text = '' THEN 0 ELSE greatest(1, round_e
     "snapshot_names": f"WITH {P0}, t AS (SELECT DISTINCT subject FROM p) SELECT subject, regexp_replace(subject, '[^0-9A-Za-z]', '_', 'g')[1:48] || '-' || lpad(lower(to_hex(({_FNV.format('subject')})::UBIGINT)), 16, '0') || '.json' AS name FROM t",
     "clean_labels": f"WITH {P0} SELECT DISTINCT 'act ' || label || '_x ' AS raw, label || ' x' AS label FROM p",
     "stream_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived FROM p GROUP BY 1",
-    "stream_pressure": f"WITH {ALIVE} SELECT subject, count(*) AS living, round(sum(w), 6) AS weight FROM alive GROUP BY 1",
+    "stream_pressure": f"WITH {P0} SELECT seq // 256 AS breath, count(*) AS arrived, round(max(tick), 3) AS tick FROM p GROUP BY 1",
+    "stream_living": f"WITH {ALIVE} SELECT subject, count(*) AS living, round(sum(w), 6) AS weight FROM alive GROUP BY 1",
 }
 for _name, (_, _sql) in PREDICATES.items():
     ORACLES[_name] = f"WITH {P0} SELECT seq, subject FROM p WHERE tick <= {NOW} AND ({_sql})"

@@ -1,15 +1,14 @@
 """A session: the tables of one memory, a logical clock, and the verbs on them.
 
-Tables are DataFrames replaced as a whole by each verb; a result is written to the
-session's working folder before the next verb uses it, so lineages stay short and a
-read that touches facts happens once.
+Perceptions are appended, facts are rewritten by buckets of subjects, archetypes and
+swept perceptions as a whole; a result is committed to the session's store before the
+next verb uses it, so lineages stay short and a read that touches facts happens once.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,7 +20,7 @@ from .functions.text import heuristic_tokens, seconds, word_count
 from .mql import ast, parse, validate
 from .operators import arc, archetype, consolidate, evoke, facts, retrieval
 from .operators.predicate import compile_predicate, fact_scope, perception_scope
-from .prose import to_prose
+from .prose import SPAN, to_prose
 from .sources import ingest, store
 from .sources.embedder import CachingEmbedder, Embedder, HashingEmbedder
 
@@ -30,6 +29,7 @@ SALIENCE, HALFLIFE = 0.7, 7 * physics.DAY
 FACT_SALIENCE, FACT_HALFLIFE = 0.9, 30 * physics.DAY
 INSIGHT_SALIENCE, INSIGHT_HALFLIFE = 0.9, 90 * physics.DAY
 EVOKE_BUDGET, UNIFIED_BUDGET = 800, (800, 200)
+FACT_BUCKETS = 64
 FACTS_K, THETA_DEDUP = facts.DEFAULT_K, facts.THETA_DEDUP
 
 
@@ -42,22 +42,12 @@ class Result:
     value: Any = None
 
 
-def _working_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/session"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "file://" + tempfile.mkdtemp(prefix="session-", dir="/tmp/checkpoints")
-
-
 class Session:
     def __init__(self, spark: SparkSession, embedder: Embedder | None = None, *, theta_fade: float = physics.THETA_FADE, theta_dedup: float = THETA_DEDUP, resilience: str = "high", folder: str | None = None):
         self.spark, self.embedder = spark, CachingEmbedder(embedder or HashingEmbedder())
         self.theta_fade, self.theta_dedup, self.resilience = theta_fade, theta_dedup, resilience
         self.now = 0.0
-        self.tables = store.TableStore(spark, folder or _working_folder(spark) + f"/{id(self):x}-{os.getpid()}")
+        self.tables = store.TableStore(spark, folder or f"{store.shared_folder(spark)}/session-{uuid.uuid4().hex}")
         self.retriever = retrieval.Retriever()
         self._arrivals: list[tuple] = []
         self._seq = 0
@@ -78,7 +68,7 @@ class Session:
         """Write what has been perceived since the last read, in one go."""
         if self._arrivals:
             rows, self._arrivals = self._arrivals, []
-            self.tables.write("perceptions", self.tables.read("perceptions", ingest.SCHEMA).unionByName(self.spark.createDataFrame(rows, ingest.SCHEMA)))
+            self.tables.append("perceptions", self.spark.createDataFrame(rows, ingest.SCHEMA))
 
     def tick(self, by: float) -> float:
         if by < 0:
@@ -120,9 +110,11 @@ class Session:
     def fade(self, where: ast.Predicate | str | None = None) -> int:
         p = self.perceptions()
         drop = None if where is None else compile_predicate(where, perception_scope(self.now))
-        before = p.count()
-        self.tables.write("perceptions", consolidate.sweep(p, self.now, drop))
-        return before - self.tables.read("perceptions", ingest.SCHEMA).count()
+        left = consolidate.sweep(p, self.now, drop)
+        gone = p.count() - left.count()
+        if gone:
+            self.tables.write("perceptions", left)
+        return gone
 
     def consolidate(self, subject: str, amount: float) -> bool:
         a = self.archetypes()
@@ -140,13 +132,15 @@ class Session:
         found = evoke.evoke(mine, evoke.Request(budget, detail, since, query=vector), self.now).first()
         return found.asDict(recursive=True) if found else None
 
-    def prompt(self, subject: str, budget: int = EVOKE_BUDGET, span_label: str = "el período observado") -> str | None:
-        found = self.evoke(subject, budget)
-        return None if found is None else to_prose(found, span_label)
+    def prompt(self, subject: str, budget: int = EVOKE_BUDGET, span_label: str = SPAN) -> str | None:
+        """The context of a subject as a note for a language model."""
+        mine = self.archetypes().where(F.col("subject") == subject)
+        found = to_prose(evoke.evoke(mine, evoke.Request(budget), self.now), span_label).first()
+        return found.prose if found else None
 
     def evoke_unified(self, subject: str, query: str, budget: int = UNIFIED_BUDGET[0], fact_budget: int = UNIFIED_BUDGET[1]) -> dict | None:
         vector = self.embedder.embed(query)
-        own = facts.scored(self.facts().where(F.col("subject") == subject), F.lit(vector), self.now, self.theta_fade).withColumn("cost", word_count(F.col("text")))
+        own = facts.scored(self._facts_of(subject), F.lit(vector), self.now, self.theta_fade).withColumn("cost", word_count(F.col("text")))
         found = evoke.evoke_unified(self.archetypes().where(F.col("subject") == subject), own, evoke.Request(budget), fact_budget, self.now).first()
         return found.asDict(recursive=True) if found else None
 
@@ -159,14 +153,22 @@ class Session:
         """Remember rows (subject, text, vector, provenance) in order; says of each whether it was inserted or merged."""
         ids = [self._next() for _ in rows]
         new = self.spark.createDataFrame([(i, s, t, [float(x) for x in v], p, self.now, salience, halflife) for i, (s, t, v, p) in zip(ids, rows, strict=True)], "seq bigint, subject string, text string, embedding array<double>, provenance string, tick double, salience double, halflife double")
-        self.tables.write("facts", facts.remember(self.facts(), new, theta=self.theta_dedup))
-        kept = {r.seq for r in self.facts().where(F.col("seq").isin(ids)).select("seq").collect()}
+        only = store.buckets_of([r[0] for r in rows], FACT_BUCKETS)
+        self._replace_facts(facts.remember(self.tables.read("facts", facts.SCHEMA, only), new, theta=self.theta_dedup), only)
+        kept = {r.seq for r in self.tables.read("facts", facts.SCHEMA, only).where(F.col("seq").isin(ids)).select("seq").collect()}
         return ["inserted" if i in kept else "merged" for i in ids]
 
+    def _facts_of(self, subject: str) -> DataFrame:
+        return self.tables.read("facts", facts.SCHEMA, store.buckets_of([subject], FACT_BUCKETS)).where(F.col("subject") == subject)
+
+    def _replace_facts(self, rows: DataFrame, only: list[int] | None = None) -> None:
+        """Write all facts, or those of some buckets."""
+        self.tables.commit({"facts": rows}, buckets={"facts": FACT_BUCKETS}, only=None if only is None else {"facts": only})
+
     def search(self, subject: str, query: str, k: int = FACTS_K, where: ast.Predicate | str | None = None) -> list[dict]:
         """The k best living facts, untouched."""
         vector = self.embedder.embed(query)
-        rows = facts.scored(self.facts().where(F.col("subject") == subject), F.lit(vector), self.now, self.theta_fade)
+        rows = facts.scored(self._facts_of(subject), F.lit(vector), self.now, self.theta_fade)
         if where is not None:
             rows = rows.where(compile_predicate(where, fact_scope(self.now, F.col("resonance"))))
         return [r.asDict() for r in rows.orderBy(F.desc("score"), "seq").limit(k).select("seq", "text", "provenance", "score").collect()]
@@ -176,13 +178,16 @@ class Session:
         found = self.search(subject, query, k)
         if found:
             ids = self.spark.createDataFrame([(f["seq"],) for f in found], "seq bigint")
-            self.tables.write("facts", facts.reinforce(self.facts(), ids, self.now))
+            only = store.buckets_of([subject], FACT_BUCKETS)
+            self._replace_facts(facts.reinforce(self.tables.read("facts", facts.SCHEMA, only), ids, self.now), only)
         return found
 
     def fade_facts(self) -> int:
-        before = self.facts().count()
-        self.tables.write("facts", facts.fade(self.facts(), self.now, self.theta_fade))
-        return before - self.facts().count()
+        left = facts.fade(self.facts(), self.now, self.theta_fade)
+        gone = self.facts().count() - left.count()
+        if gone:
+            self._replace_facts(left)
+        return gone
 
     # reflection and retrieval ------------------------------------------------
 
@@ -222,7 +227,7 @@ class Session:
     def load(self, folder: str) -> int:
         self.tables.write("archetypes", store.load_snapshots(self.spark, folder))
         rows, self.theta_dedup = store.load_facts(self.spark, folder)
-        self.tables.write("facts", rows)
+        self._replace_facts(rows)
         self._seq = max(self._seq, rows.agg(F.max("seq")).first()[0] or 0)
         return self.archetypes().count()
 
@@ -258,40 +263,40 @@ class Session:
             case ast.Perceive():
                 words = " ".join(f"{k} {s.traits[k]}" for k in sorted(s.traits))
                 self.perceive_traits(s.subject, s.traits, self.embedder.embed(words), ingest.SALIENCE if s.salience is None else s.salience, s.halflife or ingest.HALFLIFE)
-                return Result("perceived", f"· percibido «{s.subject}»")
+                return Result("perceived", f"heard: {s.subject}")
             case ast.Distill():
                 r = self.breathe([s.subject], s.where)
-                return Result("dreamed", f"· soñado: {r['distilled_subjects']} sujeto(s) consolidado(s), {r['perceptions_absorbed']} percepción(es) absorbida(s), {r['faded']} desvanecida(s)", r)
+                return Result("dreamed", "breath: " + ", ".join(f"{k}={v}" for k, v in r.items()), r)
             case ast.Evoke():
                 return self._evoke(s)
             case ast.Fade():
                 n = self.fade(s.where)
-                return Result("faded", f"· desvanecidas {n} percepción(es)", n)
+                return Result("faded", f"forgot perceptions: {n}", n)
             case ast.Imprint():
                 if not self.consolidate(s.archetype, archetype.IMPRINT_CONSOLIDATION[s.resilience]):
                     return self._unknown(s.archetype)
-                return Result("imprinted", f"· grabado «{s.archetype}» (esencia consolidada)")
+                return Result("imprinted", f"strengthened: {s.archetype}")
             case ast.Recall():
                 found = self.search(s.subject, " ".join(s.resonating), s.k, s.where)
-                listed = ", ".join(f"«{f['text']}» ({f['score']:.2f})" for f in found)
-                return Result("recalled", f"· recuperado(s) {len(found)} hecho(s): {listed}" if found else "· recall: sin hechos que resuenen", found)
+                listed = "; ".join(f"{f['score']:.2f} {f['text']}" for f in found)
+                return Result("recalled", f"facts: {listed or 'none'}", found)
             case ast.Reinforce():
                 n = len(self.recall(s.subject, " ".join(s.resonating), s.k))
-                return Result("reinforced", f"· reforzado(s) {n} hecho(s) (decay reseteado)", n)
+                return Result("reinforced", f"strengthened facts: {n}", n)
         raise TypeError(s)
 
     def _evoke(self, s: ast.Evoke) -> Result:
         if s.budget is None:
-            return Result("error", "⚠ EVOKE requiere WITHIN budget N tokens")
+            return Result("error", "failed: a budget is missing (WITHIN budget N tokens)")
         told = {"arc": "full", "point": "none", "summary": "summary"}.get(s.resolution) or {"snapshot": "none"}.get(s.projecting, "full")
         c = self.evoke(s.subject, s.budget, detail=told, span=s.span, query=" ".join(s.resonating) or None)
         if c is None:
             return self._unknown(s.subject)
-        return Result("evoked", f"· evocado «{c['subject']}»: {c['represented']} eventos → {c['vectors_returned']} vectores · ~{c['token_estimate']} tokens · compresión {c['compression_ratio']:.1f}:1", c)
+        return Result("evoked", f"context of {c['subject']}: perceptions={c['represented']}, vectors={c['vectors_returned']}, tokens={c['token_estimate']}", c)
 
     @staticmethod
     def _unknown(subject: str) -> Result:
-        return Result("error", f"⚠ ningún arquetipo vivo para «{subject}»")
+        return Result("error", f"failed: nothing alive is known of {subject}")
 
 
 def duration(text: str) -> float:

@@ -1,16 +1,23 @@
 """Stores: snapshots of JSON per subject, and versioned Parquet tables.
 
-A versioned store keeps each version in its own folder and a small pointer file that
-is replaced last, so readers see a whole version or the one before. All paths go
-through Spark's file systems, so any that Spark reads will do.
+A versioned store is a folder of immutable Parquet parts and a numbered series of
+small manifests, each of which lists the parts of all tables. A commit writes its
+parts first and then creates the next manifest, which never replaces another one;
+the newest complete manifest counts. So readers see a whole commit or none of it,
+whatever fails in between, and one commit can change several tables at once. All
+paths go through Spark's file systems, so any that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -22,6 +29,7 @@ from ..operators.facts import THETA_DEDUP
 
 SNAPSHOT_VERSION = 1
 FACTS_FILE = "facts.json"
+MAX_PARTS = 64
 
 # Names in the snapshot format.
 _TRACE = "trace struct<salience:double,lambda:double,reinforcement:double,last_touch:double>"
@@ -42,16 +50,27 @@ class _Files:
         return fs.exists(p)
 
     def write(self, path: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
+        """Write beside the target, then rename over it; for exports, which have no readers meanwhile."""
         fs, p = self._at(path)
         _, temp = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(temp, True)
-        out.write(text.encode())
-        out.close()
+        self.create(str(temp), text)
         if fs.exists(p):
             fs.delete(p, False)
         fs.rename(temp, p)
 
+    def create(self, path: str, text: str) -> bool:
+        """Write a new file; false if there is one of that name."""
+        fs, p = self._at(path)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(text.encode())
+        out.close()
+        return True
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)
@@ -159,34 +178,111 @@ def load_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, float]:
 
 
 class TableStore:
-    """Named tables under a folder, each a series of immutable versions."""
+    """Named tables under a folder; ``marks`` are small values that are committed with them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.files = spark, folder.rstrip("/"), _Files(spark)
 
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names(f"{self.folder}/_versions") if n.endswith(".json"))
+
+    def _newest(self) -> tuple[int, dict]:
+        """The last number used, and the newest complete manifest."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            try:
+                found = json.loads(self.files.read(f"{self.folder}/_versions/{n:020}.json"))
+            except json.JSONDecodeError:  # its writer failed or is still at it
+                continue
+            if found.get("complete"):
+                return numbers[-1], found
+        return (numbers[-1] if numbers else 0), {"tables": {}, "marks": {}}
+
+    def marks(self) -> dict:
+        return self._newest()[1]["marks"]
+
     def version(self, name: str) -> str | None:
-        pointer = f"{self.folder}/{name}/CURRENT"
-        return self.files.read(pointer) if self.files.exists(pointer) else None
+        """What changes with each change of the table; none if there is no such table."""
+        found = self._newest()[1]["tables"].get(name)
+        return None if found is None else found["version"]
+
+    def _put(self, name: str, rows: DataFrame, buckets: int | None) -> list[dict]:
+        """Write parts; with buckets, one for each bucket of subjects that has rows."""
+        path = f"{name}/{uuid.uuid4().hex}"
+        if not buckets:
+            rows.write.parquet(f"{self.folder}/{path}")
+            return [{"path": path, "bucket": None}]
+        rows.withColumn("bucket", bucket_of(F.col("subject"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{path}")
+        found = [n for n in self.files.names(f"{self.folder}/{path}") if n.startswith("bucket=")]
+        return [{"path": f"{path}/{n}", "bucket": int(n.removeprefix("bucket="))} for n in found]
+
+    def commit(self, replaced: dict[str, DataFrame] | None = None, *, appended: dict[str, DataFrame] | None = None, marks: dict | None = None, buckets: dict[str, int] | None = None, only: dict[str, list[int]] | None = None) -> str:
+        """Replace tables and add rows to others, all at once; ``only`` replaces just these buckets of a table.
+
+        Raises RuntimeError if another commit has changed a table to be replaced since this one began.
+        """
+        buckets, only = buckets or {}, only or {}
+        seen = self._newest()[1]["tables"]
+        new = {name: self._put(name, rows, buckets.get(name)) for name, rows in (replaced or {}).items()}
+        more = {name: self._put(name, rows, buckets.get(name)) for name, rows in (appended or {}).items()}
+        schemas = {name: rows.schema.json() for name, rows in ((replaced or {}) | (appended or {})).items()}
+        while True:
+            number, now = self._newest()
+            if any(now["tables"].get(name) != seen.get(name) for name in new):
+                raise RuntimeError("another commit has changed a table")
+            version, tables = uuid.uuid4().hex, dict(now["tables"])
+            for name, parts in new.items():
+                kept = [p for p in tables[name]["parts"] if p["bucket"] not in only[name]] if name in only and name in tables else []
+                tables[name] = {"version": version, "parts": kept + parts, "schema": schemas[name]}
+            for name, parts in more.items():
+                tables[name] = {"version": version, "parts": (tables[name]["parts"] if name in tables else []) + parts, "schema": schemas[name]}
+            text = json.dumps({"tables": tables, "marks": now["marks"] | (marks or {}), "complete": True})
+            if self.files.create(f"{self.folder}/_versions/{number + 1:020}.json", text):
+                return version
 
     def write(self, name: str, rows: DataFrame, buckets: int | None = None) -> str:
-        """A new version; ``buckets`` partitions it by a hash of the subject, so lookups read one part."""
-        version = uuid.uuid4().hex
-        path = f"{self.folder}/{name}/{version}"
-        if buckets:
-            rows.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(path)
-        else:
-            rows.write.parquet(path)
-        self.files.write(f"{self.folder}/{name}/CURRENT", version)
-        return version
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        """The current version; an absent table is empty."""
-        version = self.version(name)
-        if version is None:
+        """Replace a table; ``buckets`` parts it by a hash of the subject, so lookups read one part."""
+        return self.commit({name: rows}, buckets={name: buckets} if buckets else None)
+
+    def append(self, name: str, rows: DataFrame) -> str:
+        """Add rows; earlier parts stay as they are. Many small parts are put together now and then."""
+        found = self._newest()[1]["tables"].get(name)
+        if found is not None and len(found["parts"]) >= MAX_PARTS:
+            return self.write(name, self.read(name, "").unionByName(rows))
+        return self.commit(appended={name: rows})
+
+    def read(self, name: str, schema: str, only: list[int] | None = None) -> DataFrame:
+        """The current rows, or those of some buckets; an absent table is empty."""
+        found = self._newest()[1]["tables"].get(name)
+        if found is None:
             return empty(self.spark, schema)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
+        kind = StructType.fromJson(json.loads(found["schema"]))
+        paths = [f"{self.folder}/{p['path']}" for p in found["parts"] if only is None or p["bucket"] is None or p["bucket"] in only]
+        if not paths:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).option("recursiveFileLookup", True).parquet(*paths)
 
     def upsert(self, name: str, schema: str, rows: DataFrame, key: str = "subject") -> str:
         """Replace the rows whose keys come in ``rows`` and add the others."""
         old = self.read(name, schema)
         return self.write(name, old.join(rows.select(key), key, "left_anti").unionByName(rows))
+
+
+def bucket_of(subject: Column, buckets: int) -> Column:
+    return (F.crc32(subject.cast("binary")) % buckets).cast("int")
+
+
+def buckets_of(subjects: list[str], buckets: int) -> list[int]:
+    """The same on the driver."""
+    return sorted({zlib.crc32(s.encode()) % buckets for s in subjects})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local master may go without the setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    os.makedirs("/tmp/checkpoints", exist_ok=True)
+    return "file://" + tempfile.mkdtemp(prefix="engram-", dir="/tmp/checkpoints")

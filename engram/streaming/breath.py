@@ -1,12 +1,14 @@
 """Breaths over streams: by time, by pressure, and per-subject state with expiry.
 
 A breath is a consolidation cycle. By time, micro-batches are aggregated per day of
-event time; by pressure, ``foreachBatch`` runs a cycle for every rate-limited batch.
+event time; by pressure, a cycle runs once enough perceptions are pending.
 Late rows are taken in order of arrival; elapsed time never counts below 0.
 """
 
 from __future__ import annotations
 
+import math
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -14,29 +16,30 @@ from dataclasses import asdict, dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import physics
 from ..sources import fixtures as fx
-from ..sources.store import is_folder
+from ..operators.archetype import SCHEMA as ARCHETYPES
+from ..sources.ingest import SCHEMA as PERCEPTIONS
+from ..sources.store import is_folder, shared_folder
 
 # Defaults of the runtime.
 BREATH_SECONDS, WATERMARK, QUEUE = 60.0, 256, 1024
 
-# Metric names, help texts and kinds of the exposition format.
-METRICS = (
-    ("breaths_total", "Ciclos de sueño ejecutados.", "counter", "breaths"),
-    ("breaths_basal_total", "Sueños por intervalo basal.", "counter", "breaths_basal"),
-    ("breaths_pressure_total", "Sueños por backpressure.", "counter", "breaths_pressure"),
-    ("breaths_ondemand_total", "Sueños a demanda.", "counter", "breaths_ondemand"),
-    ("distilled_subjects_total", "Sujetos consolidados.", "counter", "distilled_subjects"),
-    ("perceptions_absorbed_total", "Percepciones absorbidas en arquetipos.", "counter", "perceptions_absorbed"),
-    ("faded_total", "Percepciones barridas por FADE.", "counter", "faded"),
-    ("pending", "Percepciones sin consolidar (presión actual).", "gauge", "pending"),
-    ("short_term_len", "Tamaño de la memoria de corto plazo.", "gauge", "short_term_len"),
-    ("long_term_len", "Arquetipos vivos.", "gauge", "long_term_len"),
-)
+# The names of the metrics. Names of counters end in "total".
+METRICS = {
+    "breaths_total": "Cycles run so far, of any cause.",
+    "breaths_basal_total": "Cycles begun by the clock.",
+    "breaths_pressure_total": "Cycles begun because enough was pending.",
+    "breaths_ondemand_total": "Cycles begun by a call.",
+    "distilled_subjects_total": "Subjects taken up by cycles, each time anew.",
+    "perceptions_absorbed_total": "Perceptions taken into archetypes, each time anew.",
+    "faded_total": "Perceptions forgotten.",
+    "pending": "Perceptions that no cycle has seen yet.",
+    "short_term_len": "Perceptions held.",
+    "long_term_len": "Archetypes held.",
+}
 
 
 @dataclass
@@ -61,27 +64,11 @@ class Stats:
 
     def prometheus(self, prefix: str = "engram") -> str:
         """Text exposition: help, type and value of each metric."""
-        values = asdict(self)
-        return "".join(f"# HELP {prefix}_{name} {said}\n# TYPE {prefix}_{name} {kind}\n{prefix}_{name} {values[key]}\n" for name, said, kind, key in METRICS)
-
-
-class StatsListener(StreamingQueryListener):
-    """Keeps the rows not yet consolidated of running queries as ``pending``."""
-
-    def __init__(self, stats: Stats):
-        self.stats = stats
-
-    def onQueryStarted(self, event) -> None:  # noqa: N802
-        return
-
-    def onQueryProgress(self, event) -> None:  # noqa: N802
-        self.stats.pending = event.progress.numInputRows
-
-    def onQueryIdle(self, event) -> None:  # noqa: N802
-        return
-
-    def onQueryTerminated(self, event) -> None:  # noqa: N802
-        self.stats.pending = 0
+        values, out = asdict(self), []
+        for name, said in METRICS.items():
+            kind = "counter" if name.endswith("_total") else "gauge"
+            out += [f"# HELP {prefix}_{name} {said}", f"# TYPE {prefix}_{name} {kind}", f"{prefix}_{name} {values[name.removesuffix('_total')]}"]
+        return "\n".join(out) + "\n"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -95,13 +82,22 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream until its source has no more, and give back what it wrote."""
-    name = f"engram_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream until its source has no more, and give back its result, or all its updates with their ``batch``.
+
+    Batches are written to the shared folder, each to a folder of its own that a repeated batch replaces.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception() is not None:
         raise run.exception()
-    return stream.sparkSession.table(name)
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return found if mode == "update" else found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def basal(perceptions: DataFrame, span: float = fx.CYCLE_SECONDS) -> DataFrame:
@@ -114,6 +110,16 @@ def stream_basal(spark: SparkSession, path: str) -> DataFrame:
     return _drained(basal(event_stream(spark, path)), "complete")
 
 
+def pressure(perceptions: DataFrame, watermark: int = WATERMARK) -> DataFrame:
+    """Arrivals by the breath that their number brings on; ``seq`` counts arrivals. In batch or streaming."""
+    breath = F.floor(F.col("seq") / watermark)
+    return perceptions.groupBy(breath.alias("breath")).agg(F.count("*").alias("arrived"), F.round(F.max("tick"), 3).alias("tick"))
+
+
+def stream_by_pressure(spark: SparkSession, path: str) -> DataFrame:
+    return _drained(pressure(event_stream(spark, path)), "complete")
+
+
 _STATE = "ticks array<double>, saliences array<double>, lambdas array<double>"
 _OUTPUT = "subject string, living bigint, weight double"
 
@@ -146,43 +152,68 @@ def stream_living(spark: SparkSession, path: str, now: float) -> DataFrame:
     """Living perceptions per subject after the stream ran dry; the last state of each subject counts."""
     rows = event_stream(spark, path).select("subject", "tick", "salience", "lambda")
     states = rows.groupBy("subject").applyInPandasWithState(living_state(now), _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
-    last = _drained(states, "update").groupBy("subject").agg(F.max_by("living", "living").alias("living"), F.max_by("weight", "living").alias("weight"))
+    last = _drained(states, "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"), F.max_by("weight", "batch").alias("weight"))
     return last.where("living > 0")
 
 
 class BreathingStream:
-    """A stream of perceptions consolidated by pressure: every micro-batch is one breath.
+    """A stream of perceptions that breathes by pressure or by the clock.
 
-    Batches are limited by the source's rate (files or rows per trigger), which plays the
-    part of the watermark. Each breath writes the next version of the tables in ``store``.
+    A batch is appended; once ``watermark`` rows are pending, or ``span`` seconds have
+    passed with any, it brings on a breath, which replaces archetypes and perceptions in
+    the same commit. The commit also holds the batch's number and the pending rows, so a
+    batch that is tried again after a failure counts once. Clock ticks that were missed are skipped.
     """
 
-    def __init__(self, store, stats: Stats | None = None, cause: str = "pressure"):
-        self.store, self.stats, self.cause = store, stats or Stats(), cause
+    def __init__(self, store, stats: Stats | None = None, *, watermark: int = WATERMARK, span: float | None = None, clock: Callable[[], float] = time.monotonic):
+        self.store, self.stats, self.watermark, self.span, self.clock = store, stats or Stats(), watermark, span, clock
+        self.next_tick = None if span is None else clock() + span
+
+    def _is_due(self) -> bool:
+        if self.next_tick is None or (now := self.clock()) < self.next_tick:
+            return False
+        self.next_tick += self.span * (math.floor((now - self.next_tick) / self.span) + 1)
+        return True
 
     def breathe(self, batch: DataFrame, batch_id: int) -> None:
+        """Take in one batch of the stream."""
+        marks = self.store.marks()
+        if marks.get("batch", -1) >= batch_id:
+            return
+        batch = batch.select(*(f.split()[0] for f in PERCEPTIONS.split(", "))).persist()
+        try:
+            pending, due = marks.get("pending", 0) + batch.count(), self._is_due()
+            cause = "pressure" if pending >= self.watermark else "basal" if due and pending else None
+            self._take(batch, cause, {"batch": batch_id}, pending)
+        finally:
+            batch.unpersist()
+
+    def breathe_now(self) -> None:
+        """A breath on demand."""
+        self._take(None, "ondemand", {}, 0)
+
+    def _take(self, batch: DataFrame | None, cause: str | None, marks: dict, pending: int) -> None:
         from ..operators import consolidate
-        from ..operators.archetype import SCHEMA as ARCHETYPES
-        from ..sources.ingest import SCHEMA as PERCEPTIONS
 
-        if batch.isEmpty():
+        known = self.store.read("perceptions", PERCEPTIONS)
+        if cause is None:
+            self.store.commit(appended={"perceptions": batch}, marks=marks | {"pending": pending})
+            self.stats.pending, self.stats.short_term_len = pending, known.count() + batch.count()
             return
-        names = [f.split()[0] for f in PERCEPTIONS.split(", ")]
-        known = self.store.read("perceptions", PERCEPTIONS).unionByName(batch.select(*names))
+        known = known if batch is None else known.unionByName(batch)
         now = known.agg(F.max("tick")).first()[0]
+        if now is None:
+            return
         old = self.store.read("archetypes", ARCHETYPES) if self.store.version("archetypes") else None
-        self.store.write("archetypes", consolidate.breathe(old, known, now))
         live = known.where((F.col("tick") <= now) & (F.col("expires_at") >= now))
-        told = live.agg(F.countDistinct("subject"), F.count("*")).first()
+        subjects, absorbed = live.agg(F.countDistinct("subject"), F.count("*")).first()
         total = known.count()
-        left = consolidate.sweep(known, now)
-        self.store.write("perceptions", left)
+        self.store.commit({"archetypes": consolidate.breathe(old, known, now), "perceptions": consolidate.sweep(known, now)}, marks=marks | {"pending": 0})
         kept = self.store.read("perceptions", PERCEPTIONS).count()
-        self.stats.add(self.cause, told[0], told[1], total - kept)
-        self.stats.short_term_len = kept
-        self.stats.long_term_len = self.store.read("archetypes", ARCHETYPES).count()
+        self.stats.add(cause, subjects, absorbed, total - kept)
+        self.stats.pending, self.stats.short_term_len, self.stats.long_term_len = 0, kept, self.store.read("archetypes", ARCHETYPES).count()
 
     def start(self, stream: DataFrame, checkpoint: str, every: float | None = None):
-        """Run until drained, or with ``every`` seconds between breaths."""
+        """Run until drained, or with ``every`` seconds between batches."""
         writer = stream.writeStream.foreachBatch(self.breathe).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()

@@ -14,7 +14,7 @@ from engram.sources import fixtures as fx
 from engram.sources import store
 from engram.sources.embedder import CachingEmbedder, HashingEmbedder
 from engram.sources.ingest import perceptions, perceptions_of_texts
-from engram.streaming.breath import BreathingStream, Stats, event_stream
+from engram.streaming.breath import BreathingStream, event_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -137,7 +137,7 @@ def test_session(memory):
     assert (s.short_term_len(), s.long_term_len(), s.subjects()) == (6, 1, ["user:x"])
     context = s.evoke("user:x", 800, query="trail running")
     assert context["represented"] == 12 and len(context["arc_points"]) == 2 and "trail" in context["resonating_mode"] and s.evoke("nobody") is None
-    assert "≈ MEMORIA DESTILADA" in s.prompt("user:x") and s.resonate("trail running") == ["user:x"]
+    assert s.prompt("user:x").startswith("# Memory of user:x") and s.prompt("nobody") is None and s.resonate("trail running") == ["user:x"]
     assert s.remember("user:x", "likes hills") == "inserted" and s.remember("user:x", "likes hills") == "merged" and s.remember("user:x", "owns a dog") == "inserted"
     before = s.search("user:x", "hills", 1)[0]
     assert before["text"] == "likes hills" and s.recall("user:x", "hills", 1)[0]["text"] == "likes hills" and s.search("user:x", "hills", 1)[0]["score"] > before["score"]
@@ -172,27 +172,125 @@ def test_snapshots(spark, memory, tmp_path):
 
 def test_versioned_tables(spark, tmp_path):
     tables = store.TableStore(spark, str(tmp_path / "t"))
-    assert tables.read("x", "subject string, n int").count() == 0
+    assert tables.read("x", "subject string, n int").count() == 0 and tables.version("x") is None
     first = tables.write("x", spark.createDataFrame([("a", 1), ("b", 2)], "subject string, n int"))
     second = tables.upsert("x", "subject string, n int", spark.createDataFrame([("b", 3), ("c", 4)], "subject string, n int"))
     assert first != second == tables.version("x")
-    assert sorted(map(tuple, tables.read("x", "").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    rows = lambda name="x", only=None: sorted(map(tuple, tables.read(name, "", only).collect()))
+    assert rows() == [("a", 1), ("b", 3), ("c", 4)]
+    tables.append("x", spark.createDataFrame([("d", 5)], "subject string, n int"))
+    assert rows() == [("a", 1), ("b", 3), ("c", 4), ("d", 5)]
+    tables.write("y", tables.read("x", ""), buckets=8)
+    only = store.buckets_of(["b"], 8)
+    assert ("b", 3) in rows("y", only) and rows("y") == rows()
+    tables.commit({"y": spark.createDataFrame([("b", 9)], "subject string, n int")}, buckets={"y": 8}, only={"y": only})
+    assert rows("y", only) == [("b", 9)] and ("b", 3) not in rows("y") and {r for r in rows() if store.buckets_of([r[0]], 8) != only} < set(rows("y"))
+
+
+def test_a_failure_between_any_two_steps_of_a_commit_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    tables = store.TableStore(spark, str(tmp_path / "t"))
+    one, two = (spark.createDataFrame([(k,) for k in ks], "n int") for ks in ([1], [2, 3]))
+    tables.commit({"a": one, "b": one}, marks={"batch": 1})
+    told = lambda: [sorted(r.n for r in tables.read(t, "").collect()) for t in "ab"] + [tables.marks()["batch"]]
+    before = told()
+    put, create = store.TableStore._put, store._Files.create
+
+    def fails(after):
+        done = []
+
+        def run(self, *given):
+            if len(done) == after:
+                raise OSError("lost")
+            done.append(given)
+            return put(self, *given)
+
+        return run
+
+    for after in (0, 1):  # before the parts of the first table, and of the second
+        with monkeypatch.context() as m:
+            m.setattr(store.TableStore, "_put", fails(after))
+            with pytest.raises(OSError, match="lost"):
+                tables.commit({"a": two, "b": two}, marks={"batch": 2})
+        assert told() == before
+
+    def half(self, path, text):
+        create(self, path, text[: len(text) // 2])
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # within the manifest
+        m.setattr(store._Files, "create", half)
+        with pytest.raises(OSError, match="lost"):
+            tables.commit({"a": two, "b": two}, marks={"batch": 2})
+    assert told() == before
+    tables.commit({"a": two, "b": two}, marks={"batch": 2})
+    assert told() == [[2, 3], [2, 3], 2]
+
+
+def test_commits_that_meet(spark, tmp_path, monkeypatch):
+    tables = store.TableStore(spark, str(tmp_path / "t"))
+    one = spark.createDataFrame([(1,)], "n int")
+    tables.write("a", one)
+    put = store.TableStore._put
+
+    def meets(name):
+        def run(self, *given):
+            monkeypatch.setattr(store.TableStore, "_put", put)
+            tables.append(name, one)
+            return put(self, *given)
+
+        return run
+
+    monkeypatch.setattr(store.TableStore, "_put", meets("a"))
+    with pytest.raises(RuntimeError, match="another commit"):
+        tables.write("a", one)
+    for way in (tables.append, tables.write):
+        monkeypatch.setattr(store.TableStore, "_put", meets("b"))
+        way("a" if way == tables.write else "b", one)
+    assert tables.read("a", "").count() == 1 and tables.read("b", "").count() == 3
 
 
 def test_shell(memory):
     shell = Shell(memory)
-    assert shell.eval("") == "" and shell.eval(":quit") is None and shell.eval(":tick -1").startswith("uso") and "comando desconocido" in shell.eval(":x")
-    assert shell.eval(":tick 60").startswith("⏱") and shell.eval(":save").startswith("uso") and ":tick" in shell.eval(":help")
-    assert shell.eval("NOPE").startswith("⚠ error de sintaxis") and "presupuesto" in shell.eval('EVOKE essence OF "u" WITHIN budget 0 tokens')
-    assert shell.eval('EVOKE essence OF "zz" WITHIN budget 100 tokens') == "⚠ ningún arquetipo vivo para «zz»"
-
-
-def test_pressure_stream(spark, tmp_path):
-    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 60")
-    events.orderBy("event_id").coalesce(1).where("event_id < 30").write.parquet(str(tmp_path / "in"))
-    events.where("event_id >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run = BreathingStream(store.TableStore(spark, str(tmp_path / "tables")))
-    rows = event_stream(spark, str(tmp_path / "in")).withColumn("embedding", fx.one_hot())
-    run.start(rows, str(tmp_path / "checkpoint")).awaitTermination()
-    assert run.stats.breaths == run.stats.breaths_pressure == 2 and run.stats.short_term_len + run.stats.faded == 60 and run.stats.perceptions_absorbed > run.stats.short_term_len and run.stats.long_term_len > 0
-    assert run.stats.prometheus().count("\n") == 30 and "engram_breaths_total 2" in Stats(breaths=2).prometheus()
+    assert shell.eval("") == "" and shell.eval(":quit") is shell.eval(":q") is None and shell.eval(":tick -1").startswith(":tick SECONDS") and shell.eval(":x").startswith("no such command")
+    assert shell.eval(":tick 60").startswith("time: ") and shell.eval(":save").startswith(":save [FOLDER]") and shell.eval(":help").count("\n") == 7
+    assert shell.eval("NOPE").startswith("not understood: ") and "budget" in shell.eval('EVOKE essence OF "u" WITHIN budget 0 tokens')
+    assert shell.eval('EVOKE essence OF "zz" WITHIN budget 100 tokens') == "failed: nothing alive is known of zz"
+
+
+@pytest.fixture
+def arrivals(spark, tmp_path):
+    """Three batches of 30 perceptions."""
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 90")
+    for k in range(3):
+        events.where(f"event_id div 30 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return event_stream(spark, str(tmp_path / "in")).withColumn("embedding", fx.one_hot())
+
+
+@pytest.mark.parametrize(("watermark", "breaths", "pending"), [(30, 3, 0), (60, 1, 30), (256, 0, 90)])
+def test_pressure_counts_pending_rows(spark, tmp_path, arrivals, watermark, breaths, pending):
+    run = BreathingStream(store.TableStore(spark, str(tmp_path / "tables")), watermark=watermark)
+    run.start(arrivals, str(tmp_path / "checkpoint")).awaitTermination()
+    s = run.stats
+    assert (s.breaths, s.breaths_pressure, s.pending, s.short_term_len + s.faded) == (breaths, breaths, pending, 90)
+    assert (s.long_term_len > 0) == (breaths > 0) and s.prometheus().count("\n") == 30 and f"engram_pending {pending}\n" in s.prometheus()
+    if pending:
+        run.breathe_now()
+        assert (s.breaths_ondemand, s.pending) == (1, 0)
+
+
+def test_a_batch_tried_again_counts_once_and_missed_ticks_are_skipped(spark, tmp_path):
+    p = fx.perceptions_onehot(spark, SF)
+    time = [0.0]
+    run = BreathingStream(store.TableStore(spark, str(tmp_path / "tables")), span=60, clock=lambda: time[0])
+    run.breathe(p.where("seq < 10"), 0)
+    time[0] = 200.0  # three ticks have passed: one breath
+    run.breathe(p.where("seq between 10 and 19"), 1)
+    held = lambda: (sum(r.represented for r in run.store.read("archetypes", "").collect()), run.store.read("perceptions", "").count(), run.stats.breaths)
+    before = held()
+    assert before[2] == run.stats.breaths_basal == 1 and run.next_tick == 240.0
+    run.breathe(p.where("seq between 10 and 19"), 1)
+    again = BreathingStream(run.store, run.stats)  # a new driver
+    again.breathe(p.where("seq < 10"), 0)
+    assert held() == before
+    run.breathe(p.where("seq between 20 and 24"), 2)
+    assert run.stats.pending == 5 and held()[1:] == (before[1] + 5, 1)
