@@ -380,10 +380,6 @@ def facts_dedup(spark, sf_dir):
     return f.select("seq", "subject", "text", r6("created_at"), r6("reinforcement"), F.round(F.col("lambda") * 1e6, 9).alias("lambda_e6"), r6("last_touch"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), vectors.as_double(F.col("embedding")).alias("q"), vectors.norm(F.col("embedding")).alias("q_norm"))
-
-
 @query
 def facts_search(spark, sf_dir):
     """The three best facts of each subject for the first vector."""
@@ -395,14 +391,10 @@ def facts_search(spark, sf_dir):
 @query
 def facts_recall_topk(spark, sf_dir):
     """Ten nearest living facts for every twentieth vector: a stated query set against all rows."""
-    rows = facts.living(fx.facts_vec(spark, sf_dir), oracles.FACTS_NOW).withColumn("norm", vectors.norm(F.col("embedding")))
-    asked = _asked(spark, sf_dir)
-    n = asked.count()
-    pairs = rows.crossJoin(F.broadcast(asked) if n <= 10_000 else asked)
-    near = vectors.cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm"))
-    scored = pairs.select("query", "seq", (F.greatest(near, F.lit(0.0)) * F.col("weight")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "seq"))
-    return scored.withColumn("rank", rank).where("rank <= 10").select("query", "rank", "seq", r6("score"))
+    rows = facts.living(fx.facts_vec(spark, sf_dir), oracles.FACTS_NOW)
+    asked = fx.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    found = retrieval.nearest_exact(rows, "seq", "embedding", asked, "vec_id", "embedding", 10, weight=F.col("weight"))
+    return found.select("query", "rank", F.col("id").alias("seq"), r6("score"))
 
 
 @query
@@ -442,15 +434,15 @@ def resonate_modes(spark, sf_dir):
 
 @query
 def resonate_ann(spark, sf_dir):
-    """Ten nearest by locality-sensitive hashing for every twentieth vector, all vectors indexed."""
+    """Ten nearest by an index of cells for every twentieth vector, all vectors indexed."""
     rows = fx.read(spark, sf_dir, "embeddings")
-    index = retrieval.LshIndex(rows, "vec_id", "embedding")
+    index = retrieval.CellIndex(rows, "vec_id", "embedding")
     return index.join(rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", "rank", "id", r6("cosine"))
 
 
 @query
 def resonate_subjects(spark, sf_dir):
-    return retrieval.Retriever(flat_limit=10).resonate_subjects(archetypes(spark, sf_dir).cache(), oracles.QUERY_5, 5, 31 * fx.CYCLE_SECONDS)
+    return retrieval.Retriever(flat_limit=10).resonate_subjects(archetypes(spark, sf_dir), oracles.QUERY_5, 5, 31 * fx.CYCLE_SECONDS)
 
 
 @query

@@ -3,10 +3,13 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
+from engram.operators.retrieval import CellIndex, nearest_exact
 from engram.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +58,29 @@ def test_ann_recall(spark):
     got = {(r.query, r.id) for r in QUERIES["resonate_ann"](spark, SF).collect()}
     want = {(q, i) for q, ids in best.items() for i in ids[:10]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clustered", 0.15), ("structureless", 0.85)])
+def test_index_of_cells_prunes_and_finds(spark, kind, most):
+    """20,000 vectors of 48 places: recall of the ten nearest, and the share of pairs compared."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (20_000, 48)) if kind == "structureless" else rng.normal(0, 1, (200, 48))[rng.integers(0, 200, 20_000)] + rng.normal(0, 0.35, (20_000, 48))
+    rows = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "v": list(x)}))
+    queries = rows.where("id % 400 = 0")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {int(q): set(np.argsort(-(unit[q] @ unit.T))[:10].tolist()) for q in range(0, len(x), 400)}
+    index = CellIndex(rows, "id", "v")
+    found = {}
+    for r in index.join(queries, "id", "v", 10).collect():
+        found.setdefault(r.query, set()).add(r.id)
+    assert sum(len(found[q] & best[q]) for q in best) >= 0.9 * 10 * len(best)
+    assert all(len(f) == 10 for f in found.values())
+    share = index.candidate_share(queries, "id", "v")
+    print(kind, "candidate share", share)
+    assert share <= most
+    exact = {}
+    for r in nearest_exact(rows, "id", "v", queries, "id", "v", 10).collect():
+        exact.setdefault(r.query, set()).add(r.id)
+    assert exact == best
+    one = [r.id for r in index.nearest(x[400].tolist(), 10).collect()]
+    assert set(one) == found[400]
