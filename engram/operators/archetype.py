@@ -8,7 +8,6 @@ order of cycles and are kept by a fold with bounded state per subject.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from .distill import HISTOGRAM, THETA_MODE, ranked_labels
-from .ordered import Row, ordered_fold
+from .ordered import Row
 
 # Fixed values of the memory model.
 CONSOLIDATION = 0.1
@@ -59,6 +58,15 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a[:n] @ b[:n]) / both if both else 0.0
 
 
+def cosines(rows: list, v: np.ndarray) -> np.ndarray:
+    """The cosine of each row to ``v``."""
+    if any(len(r) != len(v) for r in rows):
+        return np.array([cosine(np.asarray(r, float), v) for r in rows])
+    x = np.array(rows, float).reshape(len(rows), -1)
+    both = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(v @ v)
+    return np.divide(x @ v, both, out=np.zeros(len(x)), where=both > 0)
+
+
 @dataclass
 class Archetype:
     """State of one subject: created by its first cycle, evolved by each later one."""
@@ -100,11 +108,11 @@ class Archetype:
 
     def _join_or_add(self, seed: Row, now: float) -> None:
         v = np.asarray(seed["centroid"], float)
-        near = [(c, i) for i, m in enumerate(self.modes) if (c := cosine(np.asarray(m["centroid"]), v)) >= THETA_MODE]
-        if not near:
+        near = cosines([m["centroid"] for m in self.modes], v)
+        if not len(near) or near.max() < THETA_MODE:
             self.modes.append(self._mode(seed, self.trace.lam, now))
             return
-        mode = self.modes[max(near)[1]]  # the last of equals
+        mode = self.modes[len(near) - 1 - int(near[::-1].argmax())]  # the last of equals
         total = mode["absorbed"] + seed["absorbed"]
         if total and len(mode["centroid"]) == len(v):
             mode["centroid"] = ((np.asarray(mode["centroid"]) * mode["absorbed"] + v * seed["absorbed"]) / total).tolist()
@@ -140,18 +148,6 @@ class Archetype:
         return cls(r["subject"], np.asarray(r["core"], float), r.get("core_label") or "", list(r.get("anomalies") or []), list(r.get("anomaly_labels") or []), r["represented"], arc, modes, Trace.of(r))
 
 
-def evolve(cycles: DataFrame, resilience: str = "high") -> DataFrame:
-    """Archetypes after all cycles; rows (subject, cycle, tick, intention, seeds) are folded in cycle order."""
-
-    def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
-        state = Archetype(key[0])
-        for r in own:
-            state.absorb(r, r["tick"], resilience)
-        yield state.row()
-
-    return ordered_fold(cycles, ["subject"], ["cycle"], fold, SCHEMA)
-
-
 def running_core(cycles: DataFrame) -> DataFrame:
     """Core, volume and trace after each cycle in closed form; rows (subject, cycle, tick, absorbed, centroid)."""
     upto = Window.partitionBy("subject", "pos").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,28 +2,139 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import physics, vectors
 from .archetype import SCHEMA, Archetype
-from .distill import cluster_modes, intentions
+from .distill import INTENTION, THETA_ANOMALY, THETA_REDUNDANCY, Leaders, cluster_modes, ranked_labels
 from .ordered import Row, ordered_fold
 
 
+def _in_order(live: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each subject by cycle and arrival, after a row with the cycle's centroid (summed before, map-side first).
+
+    Rows without a vector don't take part.
+    """
+    live = live.where(F.col("embedding").isNotNull())
+    marks = vectors.centroids(live, keys).select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("centroid").alias("v"), F.lit(None).cast("string").alias("label"))
+    rows = live.select(*keys, F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), vectors.as_double(F.col("embedding")).alias("v"), "label")
+    return marks.unionByName(rows).repartition("subject").sortWithinPartitions(*keys, "kind", "seq")
+
+
+class _Cycle:
+    """The intention vector of one cycle, from its centroid and then its rows in order."""
+
+    def __init__(self, centroid: np.ndarray):
+        self.centroid, self.size = centroid, float(np.sqrt(centroid @ centroid))
+        self.absorbed = self.redundant = 0
+        self.anomalies: list[list[float]] = []
+        self.anomaly_labels: list[str] = []
+        self.labels: Counter = Counter()
+        self.leaders = Leaders()
+
+    def add(self, rows: list[np.ndarray], labels: list[str | None]) -> None:
+        for same in _alike(rows):
+            x = np.stack([rows[i] for i in same])
+            n = min(x.shape[1], len(self.centroid))
+            sizes = np.sqrt(np.einsum("ij,ij->i", x, x))
+            both = sizes * self.size
+            near = np.divide(x[:, :n] @ self.centroid[:n], both, out=np.zeros(len(x)), where=both > 0)
+            redundant = near >= THETA_REDUNDANCY
+            self.redundant += int(redundant.sum())
+            for k in np.flatnonzero(~redundant & (near <= THETA_ANOMALY)).tolist():
+                self.anomalies.append(x[k].tolist())
+                self.anomaly_labels.append(labels[same[k]])
+            for k, i in enumerate(same):
+                self.leaders.add(x[k], labels[i], float(sizes[k]))
+        self.absorbed += len(rows)
+        self.labels.update(x for x in labels if x)
+
+    def row(self) -> Row:
+        ranked = ranked_labels(self.labels)
+        return {
+            "centroid": self.centroid.tolist(), "absorbed": self.absorbed, "redundant": self.redundant, "anomalies": self.anomalies, "anomaly_labels": self.anomaly_labels,
+            "label_histogram": ranked, "core_label": ranked[0]["label"] if ranked else "", "seeds": list(self.leaders.seeds()),
+        }
+
+
+def _alike(rows: list[np.ndarray]) -> Iterator[list[int]]:
+    """Runs of rows of one length."""
+    start = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or len(rows[i]) != len(rows[start]):
+            yield list(range(start, i))
+            start = i
+
+
+def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Row]]:
+    """(subject, cycle, intention vector) of each cycle; memory holds one cycle's state, never its rows."""
+    key, state = None, None
+    for batch in batches:
+        subject, cycle, kind, label = (batch.column(c).to_pylist() for c in ("subject", "cycle", "kind", "label"))
+        v = batch.column("v")
+        flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(v.value_lengths().fill_null(0))]).tolist()
+        at, n = 0, batch.num_rows
+        while at < n:
+            here = (subject[at], cycle[at])
+            if kind[at] == 0:
+                if state is not None:
+                    yield (*key, state.row())
+                key, state = here, _Cycle(flat[ends[at] : ends[at + 1]].copy())
+                at += 1
+                continue
+            if here != key:  # a cycle of vectors of several lengths has no centroid and is left out
+                at += 1
+                continue
+            stop = at
+            while stop < n and kind[stop] and (subject[stop], cycle[stop]) == here:
+                stop += 1
+            state.add([flat[ends[i] : ends[i + 1]] for i in range(at, stop)], label[at:stop])
+            at = stop
+    if state is not None:
+        yield (*key, state.row())
+
+
+def _written(rows: Iterator[Row], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 512)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+
 def cycles_of(live: DataFrame, tick: Column) -> DataFrame:
-    """Intention vectors with seeds per (subject, cycle), from rows alive in each cycle."""
-    keys = ["subject", "cycle"]
-    return intentions(live, keys).join(cluster_modes(live, keys), keys).withColumn("tick", tick)
+    """Intention vectors with seeds per (subject, cycle), from rows alive in each cycle, in one ordered pass."""
+    schema = _parse_datatype_string(f"subject string, cycle int, {INTENTION}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _written(({"subject": s, "cycle": c} | iv for s, c, iv in _cycles(batches)), arrow)
+
+    return _in_order(live, ["subject", "cycle"]).mapInArrow(run, schema).withColumn("tick", tick)
+
+
+def replay(live: DataFrame, span: float, resilience: str = "high") -> DataFrame:
+    """Archetypes after all cycles of ``live`` rows (subject, cycle, seq, embedding, label), in the same ordered pass."""
+    schema = _parse_datatype_string(SCHEMA)
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[Row]:
+            for subject, own in groupby(_cycles(batches), key=lambda x: x[0]):
+                state = Archetype(subject)
+                for _, cycle, iv in own:
+                    state.absorb(iv, cycle * span, resilience)
+                yield state.row()
 
-def replay(live: DataFrame, span: float) -> DataFrame:
-    """Archetypes after all cycles of ``live`` rows (subject, cycle, seq, embedding, label)."""
-    from .archetype import evolve
+        yield from _written(rows(), arrow)
 
-    return evolve(cycles_of(live, F.col("cycle") * span))
+    return _in_order(live, ["subject", "cycle"]).mapInArrow(run, schema)
 
 
 def breathe(archetypes: DataFrame | None, perceptions: DataFrame, now: float, *, resilience: str = "high", theta: float = physics.THETA_FADE, where: Column | None = None, subjects: list[str] | None = None) -> DataFrame:

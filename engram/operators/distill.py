@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +21,7 @@ MAX_MODES = 8
 
 HISTOGRAM = "array<struct<label:string,n:bigint>>"
 SEED = f"struct<mode:int,centroid:array<double>,label:string,label_histogram:{HISTOGRAM},absorbed:bigint>"
+INTENTION = f"centroid array<double>, absorbed bigint, redundant bigint, anomalies array<array<double>>, anomaly_labels array<string>, label_histogram {HISTOGRAM}, core_label string, seeds array<{SEED}>"
 
 
 def label_counts(rows: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -71,28 +73,33 @@ class Leaders:
 
     def __init__(self, theta: float = THETA_MODE, max_modes: int = MAX_MODES):
         self.theta, self.max_modes = theta, max_modes
-        self.sums: list[np.ndarray] = []
+        self.sums = np.zeros((0, 0))  # a row per leader
+        self.squares: list[float] = []
+        self.sizes = np.zeros(0)  # their lengths, without end where 0, so that cosines to a zero vector are 0
         self.counts: list[int] = []
         self.labels: list[Counter] = []
 
-    def add(self, vector: Sequence[float], label: str | None) -> None:
+    def add(self, vector: Sequence[float], label: str | None, size: float | None = None) -> None:
         v = np.asarray(vector, float)
-        if self.sums and len(v) != len(self.sums[0]):
+        if self.counts and len(v) != self.sums.shape[1]:
             return
-        best, at = -2.0, -1
-        size = np.sqrt(v @ v)
-        for i, s in enumerate(self.sums):
-            both = size * np.sqrt(s @ s)
-            c = float(v @ s / both) if both else 0.0
-            if c > best:
-                best, at = c, i
-        if at < 0 or best < self.theta and len(self.sums) < self.max_modes:
-            self.sums.append(v.copy())
+        size = math.sqrt(v @ v) if size is None else size
+        at, dots = -1, None
+        if self.counts:
+            dots = self.sums @ v
+            near = dots / (self.sizes * (size or math.inf))
+            at = int(near.argmax())
+        if at < 0 or near[at] < self.theta and len(self.counts) < self.max_modes:
+            self.sums = np.vstack([self.sums, v]) if self.counts else v[None, :].copy()
+            self.sizes = np.append(self.sizes, size or math.inf)
+            self.squares.append(size * size)
             self.counts.append(1)
             self.labels.append(Counter())
-            at = len(self.sums) - 1
+            at = len(self.counts) - 1
         else:
             self.sums[at] += v
+            self.squares[at] += 2.0 * float(dots[at]) + size * size
+            self.sizes[at] = math.sqrt(max(self.squares[at], 0.0)) or math.inf
             self.counts[at] += 1
         if label:
             self.labels[at][label] += 1
