@@ -5,9 +5,9 @@ Documents of more than ``capacity`` ids are cut into pieces of ``capacity``;
 only the first piece may be shorter.
 
 Method. Only lengths matter for packing, so the plan is made on the counts per
-length. From the longest length down, the gap that a piece leaves is looked up
-among single lengths, then sums of two, then of three, each only as often as
-pieces are left; such sequences are full. What stays is placed best-fit, longest
+length. From the longest length down, the gap that a piece leaves is looked up in
+an index of the sums of one, two and three available lengths, each used only as
+often as pieces are left; such sequences are full. What stays is placed best-fit, longest
 first, into the open sequence with the smallest gap that holds it. The plan is a
 list of patterns (lengths side by side) with a number of copies. It decides
 nothing about single documents: the piece of rank r among those of its length
@@ -35,7 +35,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -54,58 +54,73 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class SumIndex:
+    """Sums of one, two and three lengths that are still available, hashed by sum.
+
+    For each sum the index holds the largest member with which a pair, or a triple,
+    may still make it. Lengths only run out, so an entry is moved on past members
+    that can't make the sum any more and never back; each is passed once in all.
+    """
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        self.pairs: dict[int, int] = {}
+        self.triples: dict[int, int] = {}
+
+    def single(self, total: int, used: Sequence[int]) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] > used.count(total) else None
+
+    def pair(self, total: int, used: Sequence[int]) -> tuple[int, ...] | None:
+        """The pair of that sum with the longest member, besides the lengths in ``used``."""
+        left, a, at_head = self.left, self.pairs.get(total, total - 1), True
+        while 2 * a >= total:
+            b = total - a
+            if left[a] > (a == b) and left[b] > 0:
+                at_head = False
+                if left[a] > used.count(a) + (a == b) and left[b] > used.count(b):
+                    return a, b
+            a -= 1
+            if at_head:
+                self.pairs[total] = a
+        return None
+
+    def triple(self, total: int, used: Sequence[int]) -> tuple[int, ...] | None:
+        left, a, at_head = self.left, self.triples.get(total, total - 2), True
+        while 3 * a >= total:
+            if left[a] > 0:
+                at_head = at_head and self.pair(total - a, ()) is None
+                if left[a] > used.count(a) and (found := self.pair(total - a, (*used, a))):
+                    return a, *found
+            a -= 1
+            if at_head:
+                self.triples[total] = a
+        return None
+
+
 class Plan:
     """Patterns of lengths with copies, from the number of pieces of each length."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity = capacity
-        self.left = np.zeros(capacity + 1, np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
+        self.left = [counts.get(n, 0) for n in range(capacity + 1)]
         self.patterns: list[tuple[tuple[int, ...], int]] = []
         self._exact()
         self._best_fit()
 
-    def _pair(self, gap: int, left: np.ndarray) -> tuple[int, int] | None:
-        """The pair with the longest member that sums to ``gap``."""
-        if gap < 2:
-            return None
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        fits = (left[a] > 0) & (left[gap - a] > 0) & ((2 * a != gap) | (left[a] > 1))
-        at = np.flatnonzero(fits)
-        return (int(a[at[0]]), int(gap - a[at[0]])) if len(at) else None
-
-    def _complement(self, length: int) -> tuple[int, ...] | None:
+    def _complement(self, length: int, index: SumIndex) -> tuple[int, ...] | None:
         """One, two or three lengths that fill the gap beside ``length`` exactly."""
-        gap, left = self.capacity - length, self.left
-        if gap == 0:
-            return ()
-        left[length] -= 1
-        try:
-            if left[gap] > 0:
-                return (gap,)
-            if pair := self._pair(gap, left):
-                return pair
-            for a in (np.flatnonzero(left[: gap - 1] > 0)[::-1]).tolist():
-                if 3 * a < gap:
-                    break
-                left[a] -= 1
-                pair = self._pair(gap - a, left)
-                left[a] += 1
-                if pair:
-                    return (a, *pair)
-            return None
-        finally:
-            left[length] += 1
+        gap, used = self.capacity - length, (length,)
+        return () if gap == 0 else index.single(gap, used) or index.pair(gap, used) or index.triple(gap, used)
 
     def _exact(self) -> None:
+        index = SumIndex(self.left)
         for length in range(self.capacity, 0, -1):
             while self.left[length] > 0:
-                rest = self._complement(length)
+                rest = self._complement(length, index)
                 if rest is None:
                     break
                 need = Counter((length, *rest))
-                copies = int(min(self.left[x] // n for x, n in need.items()))
+                copies = min(self.left[x] // n for x, n in need.items())
                 for x, n in need.items():
                     self.left[x] -= n * copies
                 self.patterns.append(((length, *rest), copies))
@@ -113,7 +128,7 @@ class Plan:
     def _best_fit(self) -> None:
         open_: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
         for length in range(self.capacity, 0, -1):
-            n = int(self.left[length])
+            n = self.left[length]
             while n:
                 gap = min((g for g, x in open_.items() if g >= length and x), default=None)
                 if gap is None:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from engram.llm.decontaminate import find_contamination
-from engram.llm.packing import Plan, cut, pack, sequences
+from engram.llm.packing import Plan, SumIndex, cut, pack, sequences
 from engram.llm.quality import clean_texts, judge_quality
 from engram.llm.sharding import shard
 from engram.llm.token_counts import PrefixCounter, count_tokens, read_tokenizer
@@ -193,6 +193,25 @@ def test_plan_places_every_piece_once(seed):
     assert plan.sequences <= max(1.1 * -(-sum(k * n for k, n in counts.items()) // 64) + 3, 0)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_index_finds_what_is_there(seed):
+    """As lengths run out: a pair or triple is found if and only if there is one, the longest member first."""
+    rng = np.random.default_rng(seed)
+    left = rng.integers(0, 3, 25).tolist()
+    left[0] = 0
+    index = SumIndex(left)
+    while any(left):
+        for total in range(2, 25):
+            used = tuple(rng.choice(np.flatnonzero(left), rng.integers(0, 2)).tolist())
+            fits = lambda c: all(left[x] >= (*used, *c).count(x) for x in c)  # noqa: E731, B023
+            pairs = [(a, total - a) for a in range(total - 1, 0, -1) if 2 * a >= total and fits((a, total - a))]
+            triples = [(a, b, total - a - b) for a in range(total - 2, 0, -1) for b in range(total - a - 1, 0, -1) if 2 * b >= total - a and fits((a, b, total - a - b))]
+            assert index.pair(total, used) == (pairs[0] if pairs else None)
+            found = index.triple(total, used)
+            assert (found is None) == (not [t for t in triples if 3 * t[0] >= total]) and (found is None or fits(found) and sum(found) == total)
+        left[int(rng.choice(np.flatnonzero(left)))] -= 1
+
+
 def test_cut_leaves_the_short_piece_first():
     assert cut(5, 10) == [(0, 5)] and cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and cut(20, 10) == [(0, 10), (10, 10)]
 
