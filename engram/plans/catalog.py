@@ -251,6 +251,13 @@ def archetype_modes(spark, sf_dir):
     return m.select("subject", "mode", "label", "absorbed", r6("reinforcement"), F.round(F.col("lambda") * 1e6, 9).alias("lambda_e6"), r6("drift"))
 
 
+@query
+def mode_drift(spark, sf_dir):
+    """How far each mode has moved from the direction it was born with; vectors lie between 0.5 and 1 within a mode."""
+    a = consolidate.replay(fx.alive_per_cycle(fx.perceptions_graded(spark, sf_dir)), fx.CYCLE_SECONDS)
+    return archetype.mode_rows(a).select("subject", "label", "absorbed", F.round("drift", 5).alias("drift"))
+
+
 @query
 def archetype_summary(spark, sf_dir):
     a = archetypes(spark, sf_dir)
@@ -276,6 +283,14 @@ def breathe_once(spark, sf_dir):
     return a.select("subject", "represented", "core_label", F.size("modes").cast("long").alias("modes"))
 
 
+@query
+def breathe_twice(spark, sf_dir):
+    """A second breath evolves the archetypes of the first one, and creates those of new subjects."""
+    p = fx.perceptions_onehot(spark, sf_dir)
+    a = consolidate.breathe(consolidate.breathe(None, p, oracles.EARLIER), p, NOW)
+    return a.select("subject", "represented", "core_label", F.size("modes").cast("long").alias("modes"), F.size("arc").cast("long").alias("milestones"), r6("reinforcement"), "last_touch")
+
+
 @query
 def basal_breaths(spark, sf_dir):
     """Perceptions by the day whose breath first sees them."""
@@ -554,7 +569,8 @@ def hashed_embeddings(spark, sf_dir):
     from ..sources.embedder import HashingEmbedder, embed
 
     rows = embed(fx.read(spark, sf_dir, "conversations"), "text", HashingEmbedder(64))
-    return rows.select("conv_id", "turn", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+    digest = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("conv_id", "turn", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), r6(digest, "digest"))
 
 
 # statements and streams ------------------------------------------------------------

@@ -11,6 +11,7 @@ FACTS_NOW = 2_000_000.0
 FACTS_FADE_NOW = 12_000_000.0
 TEXT_NOW = 20 * DAY
 FACT_BUDGET = 120
+EARLIER = NOW - 5 * DAY
 THETAS = [100.0, 300.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0]
 QUERY_5 = [0.2, 0.1, 0.9, 0.3, 0.15]
 FACT_PREDICATE = 'resonates > 0.25 AND NOT (weight < 0.3) OR age <= 3600 OR act == "view"'
@@ -134,6 +135,8 @@ def _counts(flag: str, truth: str) -> str:
 
 
 _SWEEP = f"{CONFUSION}, g AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta), " + _metrics(f"SELECT theta, {_counts('score >= theta', 'actual')} FROM t, g GROUP BY theta")
+#: The same over UTF-8 bytes in hex, for texts that aren't ASCII.
+_FNV_HEX = "list_reduce(list_transform(range(1, length({0}), 2), lambda i: ('0x' || {0}[i:i + 1])::BIGINT::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
 _FNV = "list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ord({0}[i])::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
 
 ORACLES: dict[str, str] = {
@@ -174,6 +177,9 @@ SELECT subject, cycle, pos, round(sum(n) OVER w / sum(absorbed) OVER w, 6) AS co
     "archetype_trace": f"""WITH {COUNTS}, t AS (SELECT subject, cycle, row_number() OVER (PARTITION BY subject ORDER BY cycle) - 1 AS n FROM arc)
 SELECT subject, cycle, round({r_of('n')}, 6) AS reinforcement, round(({lam_of(repr(ARCH_LAMBDA), 'n')}) * 1e6, 9) AS lambda_e6 FROM t""",
     "archetype_modes": f"WITH {MODES} SELECT subject, mode, label, absorbed, round({r_of('merges')}, 6) AS reinforcement, round(({lam_of('l0', 'merges')}) * 1e6, 9) AS lambda_e6, 0.0::DOUBLE AS drift FROM modes",
+    "mode_drift": f"""WITH {CYCLES}, g AS (SELECT subject, label, cycle, count(*) AS n, sum(k) / 100.0 AS s FROM live GROUP BY 1, 2, 3),
+m AS (SELECT subject, label, sum(n)::BIGINT AS absorbed, sum(s)::DOUBLE / sum(n) AS c, (min_by(s, cycle) / min_by(n, cycle))::DOUBLE AS o FROM g GROUP BY 1, 2)
+SELECT subject, label, absorbed, round(greatest(1 - (1 + c * o) / (sqrt(1 + c * c) * sqrt(1 + o * o)), 0), 5) AS drift FROM m""",
     "archetype_summary": f"""WITH {SUMMARY} SELECT arch.subject, represented, milestones, m.n AS modes, coalesce(anomalies, 0)::BIGINT AS anomalies, core_label, round({r_of('milestones - 1')}, 6) AS reinforcement, last_touch
 FROM arch JOIN (SELECT subject, count(*) AS n FROM modes GROUP BY 1) m USING (subject) LEFT JOIN odd USING (subject)""",
     "archetype_consolidated": f"""WITH {SUMMARY}, x AS (SELECT subject, milestones - 1 AS n, last_touch, subject = 'user:1' AS mine FROM arch), y AS (SELECT *, {r_of('n')} AS r, {lam_of(repr(ARCH_LAMBDA), 'n')} AS lam FROM x)
@@ -183,6 +189,9 @@ gone AS (SELECT seq, min(cycle) AS cycle FROM p, cyc WHERE tick <= ct AND salien
 SELECT cyc.cycle, coalesce(d, 0) AS distilled_subjects, coalesce(a.n, 0) AS perceptions_absorbed, coalesce(f.n, 0) AS faded FROM cyc LEFT JOIN a USING (cycle) LEFT JOIN f USING (cycle)""",
     "breathe_once": f"""WITH {ALIVE}, c AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, label) AS r FROM (SELECT subject, label, count(*) AS n FROM alive WHERE label <> 'view' GROUP BY 1, 2))
 SELECT subject, sum(n)::BIGINT AS represented, min_by(label, r) AS core_label, count(*) AS modes FROM c GROUP BY 1""",
+    "breathe_twice": f"""WITH {P0}, t AS (SELECT unnest([{EARLIER}, {NOW}])::DOUBLE AS moment), a AS (SELECT subject, label, moment FROM p, t WHERE tick <= moment AND salience * exp(-lam0 * (moment - tick)) >= 0.05),
+c AS (SELECT *, row_number() OVER (PARTITION BY subject, moment ORDER BY n DESC, label) AS r FROM (SELECT subject, moment, label, count(*) AS n FROM a GROUP BY 1, 2, 3))
+SELECT subject, sum(n)::BIGINT AS represented, max_by(label, moment) FILTER (WHERE r = 1) AS core_label, count(DISTINCT label) AS modes, count(DISTINCT moment) AS milestones, (count(DISTINCT moment) - 1)::DOUBLE AS reinforcement, max(moment) AS last_touch FROM c GROUP BY 1""",
     "basal_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived, count(DISTINCT subject) AS subjects FROM p GROUP BY 1",
     "pressure_breaths": f"WITH {P0} SELECT seq // 256 AS breath, count(*) AS arrived, count(DISTINCT subject) AS subjects, round(max(tick), 3) AS tick FROM p GROUP BY 1",
     "predictive_compression": f"""WITH {P0}, o AS (SELECT subject, label, row_number() OVER (PARTITION BY subject ORDER BY seq) AS i, count(*) OVER (PARTITION BY subject) AS n FROM p),
@@ -260,6 +269,12 @@ SELECT tr AS theta_redundancy, ta AS theta_anomaly, round(f1, 6) AS f1_redundanc
     "token_counts": """WITH t AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words FROM conversations)
 SELECT conv_id, turn, words, CASE WHEN text = '' THEN 0 ELSE greatest(1, round_even(greatest(words * 1.333::DOUBLE, length(text) / 4.0::DOUBLE), 0)::BIGINT) END AS tokens FROM t""",
     "fnv1a_tokens": f"WITH {P0}, t AS (SELECT DISTINCT label || '-' || k AS token FROM p) SELECT token, ({_FNV.format('token')})::VARCHAR AS hash FROM t",
+    "hashed_embeddings": f"""WITH w AS (SELECT conv_id, turn, hex(encode(unnest(regexp_extract_all(lower(text), '[^\\s]+')))) AS token FROM conversations WHERE text IS NOT NULL),
+h AS (SELECT conv_id, turn, ({_FNV_HEX.format('token')})::UBIGINT AS h FROM w),
+v AS (SELECT conv_id, turn, (h % 64)::INTEGER AS place, sum(CASE WHEN h >= 9223372036854775808 THEN -1.0 ELSE 1.0 END)::DOUBLE AS x FROM h GROUP BY 1, 2, 3),
+n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS size, sum((place + 1) * x) AS d FROM v GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CASE WHEN text IS NULL THEN NULL WHEN coalesce(size, 0) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS norm, CASE WHEN text IS NULL THEN NULL WHEN coalesce(size, 0) = 0 THEN 0.0 ELSE round(d / size, 6) END::DOUBLE + 0.0 AS digest
+FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn""",
     "snapshot_names": f"WITH {P0}, t AS (SELECT DISTINCT subject FROM p) SELECT subject, regexp_replace(subject, '[^0-9A-Za-z]', '_', 'g')[1:48] || '-' || lpad(lower(to_hex(({_FNV.format('subject')})::UBIGINT)), 16, '0') || '.json' AS name FROM t",
     "clean_labels": f"WITH {P0} SELECT DISTINCT 'act ' || label || '_x ' AS raw, label || ' x' AS label FROM p",
     "stream_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived FROM p GROUP BY 1",
