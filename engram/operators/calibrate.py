@@ -58,6 +58,9 @@ def sweep_semantic(rows: DataFrame, redundancy: Sequence[float] = REDUNDANCY_GRI
     return all_.withColumn("signal_faded", faded).withColumn("objective", F.least("f1_redundancy", "f1_anomaly") * (1.0 - F.col("signal_faded"))).drop("_lost", "_signal")
 
 
+RANGES = 64
+
+
 def sweep_fade(traces: DataFrame, thetas: Sequence[float] = FADE_GRID, horizon: float = HORIZON) -> DataFrame:
     """Traces (salience, lambda, reinforcement, last_touch, is_noise) after ``horizon``: F1 of fading noise, and memory lost."""
     w = physics.weight(horizon, F.col("salience"), F.col("lambda"), F.col("last_touch"), F.col("reinforcement"))
@@ -73,13 +76,17 @@ def pareto_front(rows: DataFrame, x: str, y: str) -> DataFrame:
 
     A row is dominated if the best ``y`` among rows of larger ``x`` reaches its own, or
     the best among equal ``x`` exceeds it. Rows are first cut to the best ``y`` of each
-    ``x``, so only distinct ``x`` values meet in one window.
+    ``x``; these are compared within ranges of ``x``, and with the best of the ranges above.
     """
     from pyspark.sql import Window
 
     best = rows.groupBy(x).agg(F.max(y).alias("_best"))
-    above = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_above", F.max("_best").over(above)).where(F.col("_above").isNull() | (F.col("_best") > F.col("_above")))
+    limits = sorted(set(best.approxQuantile(x, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
+    ranged = best.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda c: c < F.col(x))))
+    beyond = ranged.groupBy("_range").agg(F.max("_best").alias("_most")).withColumn("_beyond", F.max("_most").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy("_range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
+    above = ranged.withColumn("_within", F.max("_best").over(within)).join(beyond.select("_range", "_beyond"), "_range").withColumn("_above", F.greatest("_within", "_beyond"))
+    front = above.where(F.col("_above").isNull() | (F.col("_best") > F.col("_above")))
     return rows.join(front.select(F.col(x).alias("_x"), "_best"), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_best")), "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, vectors
-from .archetype import Trace, cosine
+from .archetype import Trace
 from .ordered import Row, ordered_fold
 
 # Fixed values of the memory model.
@@ -20,11 +20,35 @@ DEFAULT_K = 3
 SCHEMA = "seq bigint, subject string, text string, embedding array<double>, provenance string, created_at double, salience double, lambda double, reinforcement double, last_touch double"
 
 
+class _Units:
+    """Unit vectors of one length with the places of their facts, in a matrix that doubles as it fills."""
+
+    def __init__(self, width: int):
+        self.rows, self.places = np.zeros((8, width)), []
+
+    def add(self, v: np.ndarray, place: int) -> None:
+        if len(self.places) == len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        size = np.sqrt(v @ v)
+        self.rows[len(self.places)] = v / size if size else v
+        self.places.append(place)
+
+    def nearest(self, v: np.ndarray) -> tuple[float, int]:
+        """The best cosine and the place of its fact, the last of equals."""
+        if not self.places:
+            return -2.0, -1
+        size = np.sqrt(v @ v)
+        near = self.rows[: len(self.places)] @ (v / size if size else v)
+        at = len(near) - 1 - int(near[::-1].argmax())
+        return float(near[at]), self.places[at]
+
+
 def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DEDUP) -> DataFrame:
     """Facts after remembering ``new`` rows (seq, subject, text, embedding, provenance, tick, salience, halflife) in order.
 
     A row whose best match among the subject's facts is at least ``theta`` (the last of
     equals, faded or not) touches that fact and is discarded; else it is a new fact.
+    Facts of another length than the row's match nothing.
     """
     rows = new.select("seq", "subject", "text", vectors.as_double(F.col("embedding")).alias("embedding"), "provenance", F.col("tick").alias("created_at"), "salience", physics.lambda_from_halflife(F.col("halflife")).alias("lambda"), F.lit(0.0).alias("reinforcement"), F.col("tick").alias("last_touch"), F.lit(1).alias("_new"))
     if known is not None:
@@ -32,23 +56,19 @@ def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DE
 
     def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
         facts: list[Row] = []
+        units: dict[int, _Units] = {}  # by length
         for r in own:
             v = np.asarray(r["embedding"], float)
-            best, at = -2.0, -1
-            if r.pop("_new"):
-                for i, f in enumerate(facts):
-                    c = cosine(f["_v"], v)
-                    if c >= best:
-                        best, at = c, i
+            same = units.setdefault(len(v), _Units(len(v)))
+            best, at = same.nearest(v) if r.pop("_new") else (-2.0, -1)
             if at >= 0 and best >= theta:
                 trace = Trace.of(facts[at])
                 trace.touch(r["created_at"], CONSOLIDATION)
                 facts[at] |= trace.row()
             else:
-                facts.append(r | {"_v": v})
-        for f in facts:
-            f.pop("_v")
-            yield f
+                same.add(v, len(facts))
+                facts.append(r)
+        yield from facts
 
     return ordered_fold(rows, ["subject"], ["_new", "seq"], fold, SCHEMA)
 

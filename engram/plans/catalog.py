@@ -610,6 +610,14 @@ def stream_living(spark, sf_dir):
     return stream_living(spark, f"{sf_dir}/events.parquet", NOW)
 
 
+@query
+def stream_expiry(spark, sf_dir):
+    """Perceptions per subject that live at the end of the stream, expired by event-time timers."""
+    from ..streaming import breath
+
+    return breath.stream_expiry(spark, f"{sf_dir}/events.parquet")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -279,6 +279,7 @@ FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn"""
     "clean_labels": f"WITH {P0} SELECT DISTINCT 'act ' || label || '_x ' AS raw, label || ' x' AS label FROM p",
     "stream_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived FROM p GROUP BY 1",
     "stream_pressure": f"WITH {P0} SELECT seq // 256 AS breath, count(*) AS arrived, round(max(tick), 3) AS tick FROM p GROUP BY 1",
+    "stream_expiry": f"WITH {P0}, t AS (SELECT floor(max(tick) * 1000) / 1000 AS moment FROM p) SELECT subject, count(*) AS living FROM p, t WHERE salience * exp(-lam0 * greatest(moment - tick, 0)) >= 0.05 GROUP BY 1",
     "stream_living": f"WITH {ALIVE} SELECT subject, count(*) AS living, round(sum(w), 6) AS weight FROM alive GROUP BY 1",
 }
 for _name, (_, _sql) in PREDICATES.items():

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -42,10 +43,19 @@ class Result:
     value: Any = None
 
 
+@dataclass(frozen=True)
+class TokenCount:
+    tokens: int
+    method: str
+
+
 class Session:
-    def __init__(self, spark: SparkSession, embedder: Embedder | None = None, *, theta_fade: float = physics.THETA_FADE, theta_dedup: float = THETA_DEDUP, resilience: str = "high", folder: str | None = None):
+    """``tokenizer`` gives the number of tokens of a text."""
+
+    def __init__(self, spark: SparkSession, embedder: Embedder | None = None, *, tokenizer: Callable[[str], int] | None = None, theta_fade: float = physics.THETA_FADE, theta_dedup: float = THETA_DEDUP, resilience: str = "high", folder: str | None = None):
         self.spark, self.embedder = spark, CachingEmbedder(embedder or HashingEmbedder())
         self.theta_fade, self.theta_dedup, self.resilience = theta_fade, theta_dedup, resilience
+        self.tokenizer = tokenizer
         self.now = 0.0
         self.tables = store.TableStore(spark, folder or f"{store.shared_folder(spark)}/session-{uuid.uuid4().hex}")
         self.retriever = retrieval.Retriever()
@@ -243,8 +253,14 @@ class Session:
     def cache_stats(self) -> dict[str, float]:
         return self.embedder.stats()
 
-    def count_tokens(self, text: str) -> int:
-        return self.spark.range(1).select(heuristic_tokens(F.lit(text)).alias("n")).first().n
+    def count_tokens(self, text: str) -> TokenCount:
+        """Tokens of a text by the session's tokenizer, else by the heuristic, and which of the two it was."""
+        if self.tokenizer is not None:
+            return TokenCount(self.tokenizer(text), "tokenizer")
+        return TokenCount(self.spark.range(1).select(heuristic_tokens(F.lit(text)).alias("n")).first().n, "heuristic")
+
+    def fits(self, text: str, budget: int) -> bool:
+        return self.count_tokens(text).tokens <= budget
 
     # statements ---------------------------------------------------------------
 

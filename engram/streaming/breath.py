@@ -156,6 +156,41 @@ def stream_living(spark: SparkSession, path: str, now: float) -> DataFrame:
     return last.where("living > 0")
 
 
+_EXPIRING = "expires array<double>"
+_LEFT = "subject string, living bigint"
+
+
+def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps when a subject's perceptions expire; a timer at the next of these drops it once event time has come there."""
+    held = list(state.get[0]) if state.exists else []
+    for b in batches:
+        held += b["expires"].tolist()
+    now = state.getCurrentWatermarkMs()
+    held = [x for x in held if x * 1000 >= now]
+    if held:
+        state.update((held,))
+        state.setTimeoutTimestamp(max(int(min(held) * 1000) + 1, now + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"subject": [key[0]], "living": [len(held)]})
+
+
+def expiring(perceptions: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """Updates (subject, living) of a stream: with each arrival, and when event time passes an expiry.
+
+    State holds living perceptions only. Rows later than ``lateness`` are left out, as everywhere behind a watermark.
+    """
+    epoch = lambda c: F.col(c) + fx.EPOCH_START
+    rows = perceptions.where(F.col("expires_at").isNotNull()).select("subject", epoch("tick").cast("timestamp").alias("at"), epoch("expires_at").alias("expires"))
+    return rows.withWatermark("at", lateness).groupBy("subject").applyInPandasWithState(_expire, _LEFT, _EXPIRING, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_expiry(spark: SparkSession, path: str) -> DataFrame:
+    """Perceptions per subject that live at the end of the stream's event time."""
+    last = _drained(expiring(event_stream(spark, path)), "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"))
+    return last.where("living > 0")
+
+
 class BreathingStream:
     """A stream of perceptions that breathes by pressure or by the clock.
 

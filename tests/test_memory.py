@@ -14,7 +14,7 @@ from engram.sources import fixtures as fx
 from engram.sources import store
 from engram.sources.embedder import CachingEmbedder, HashingEmbedder
 from engram.sources.ingest import perceptions, perceptions_of_texts
-from engram.streaming.breath import BreathingStream, event_stream
+from engram.streaming.breath import BreathingStream, event_stream, stream_expiry
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +92,13 @@ def test_knapsack_skips_and_goes_on(spark):
     assert facts.pack_budget(rows, 0).count() == 0
 
 
+def test_pareto_over_many_ranges(spark):
+    rng = np.random.default_rng(2)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 400, (600, 2)) / 400)]
+    front = {i for i, a, b in points if not any(c >= a and d >= b and (c > a or d > b) for _, c, d in points)}
+    assert {r.i for r in calibrate.pareto_front(spark.createDataFrame(points, "i int, x double, y double"), "x", "y").collect()} == front
+
+
 def test_pareto(spark):
     rows = spark.createDataFrame([(0, 0.9, 0.2), (1, 0.2, 0.9), (2, 0.5, 0.5), (3, 0.6, 0.6)], "i int, x double, y double")
     assert sorted(r.i for r in calibrate.pareto_front(rows, "x", "y").collect()) == [0, 1, 3]
@@ -144,6 +151,9 @@ def test_session(memory):
     assert [f["text"] for f in s.search("user:x", "hills", 5, "resonates > 0.5")] == ["likes hills"]
     both = s.evoke_unified("user:x", "hills", 800, 2)
     assert [f["text"] for f in both["facts"]] == ["likes hills"] and both["gist"]["represented"] == 12 and both["total_tokens"] == 2 + both["gist"]["token_estimate"]
+    assert s.count_tokens("a text of words").method == "heuristic" and s.fits("", 0) and not s.fits("a text of words", 1)
+    s.tokenizer = lambda text: len(text)
+    assert (s.count_tokens("abc").tokens, s.count_tokens("abc").method, s.fits("abc", 2), s.fits("abc", 3)) == (3, "tokenizer", False, True)
     assert s.reflect("user:x") == [] and s.dream_reflect("user:x") == 0
     s.tick(400 * 86_400)
     assert s.fade() == 6 and s.fade_facts() >= 1
@@ -294,3 +304,13 @@ def test_a_batch_tried_again_counts_once_and_missed_ticks_are_skipped(spark, tmp
     assert held() == before
     run.breathe(p.where("seq between 20 and 24"), 2)
     assert run.stats.pending == 5 and held()[1:] == (before[1] + 5, 1)
+
+
+def test_timers_expire_perceptions_as_event_time_passes(spark, tmp_path):
+    p = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 900")
+    for k in range(3):  # in order of time
+        p.where(f"event_id div 300 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {r.subject: r.living for r in stream_expiry(spark, str(tmp_path / "in")).collect()}
+    rows = fx.perceptions_of(p)
+    end = rows.agg(F.max("tick")).first()[0]
+    assert got == {r.subject: r["count"] for r in rows.where(F.col("expires_at") >= end - 1e-3).groupBy("subject").count().collect()}
