@@ -61,7 +61,7 @@ from .textbatch import U64, Words, lower_ascii, mix, release_memory, shingle_has
 
 WORDS = 5
 PERCENT = 75
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 700_000
 CHUNK_SETS = 30_000
 CHUNK_DOCUMENTS = 60_000
 CHUNK_OWNERS = 64
@@ -233,22 +233,26 @@ def _alive_sets(percent: int):
         out: list[tuple] = []
         if rows:
             held, number = _unpacked([home["held"]]), _numbers([home["numbers"]], np.uint32)
-            told, told_freq = _unpacked([r["held"] for r in rows]), _numbers([r["numbers"] for r in rows], np.uint32)
+            told, told_freq = _unpacked([r["held"] for r in rows]), np.frombuffer(b"".join(r["numbers"] or b"" for r in rows), np.uint32)
             held_freq = told_freq[np.argsort(told)][np.searchsorted(np.sort(told), held)]
             tokens = np.concatenate([_unpacked([r["tokens"] for r in rows]), np.repeat(held, number)])
-            owners = np.concatenate([_numbers([r["owners"] for r in rows], np.uint16), _numbers([home["owners"]], np.uint16)])
-            freqs = np.concatenate([_numbers([r["freqs"] for r in rows], np.uint32), np.repeat(held_freq, number)])
-            step = np.log2(freqs).astype(np.int64)
-            orders = [np.lexsort((mix(tokens * U64(salt)), key, owners)) for salt, key in ((3, freqs), (5, step), (7, step // 2))]
-            sorted_ = np.lexsort((tokens, owners))
-            edges = np.searchsorted(owners[sorted_], np.arange(len(sizes) + 1))
-            for i in np.flatnonzero(np.diff(edges)).tolist():
-                a, b, n = int(edges[i]), int(edges[i + 1]), int(sizes[i])
-                own = n - (b - a)
-                left = prefix_length(n, percent) - own
-                if left > 0:
-                    prefixes = [tokens[o[a : min(b, a + left)]].view(np.int64) for o in orders]
-                    out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, n, own, tokens[sorted_[a:b]].view(np.int64), *prefixes, None, None, None))
+            owners = np.frombuffer(b"".join([*(r["owners"] or b"" for r in rows), home["owners"]]), np.uint16)
+            freqs = np.concatenate([np.frombuffer(b"".join(r["freqs"] or b"" for r in rows), np.uint32), np.repeat(held_freq, number)])
+            rows = None
+            edges = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(np.bincount(owners, minlength=len(sizes)), out=edges[1:])
+            shared = np.diff(edges)
+            left = prefix_length(sizes, percent) - (sizes - shared)
+            alive = np.flatnonzero((shared > 0) & (left > 0)).tolist()
+            step = np.log2(freqs).astype(np.uint8)
+            prefixes = []
+            for salt, key in ((3, freqs), (5, step), (7, step // 2)):
+                order = np.lexsort((mix(tokens * U64(salt)), key, owners))
+                prefixes.append([tokens[order[edges[i] : min(edges[i + 1], edges[i] + left[i])]].view(np.int64) for i in alive])
+            order = np.lexsort((tokens, owners))
+            for k, i in enumerate(alive):
+                own = tokens[order[edges[i] : edges[i + 1]]].view(np.int64)
+                out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, int(sizes[i]), int(sizes[i] - shared[i]), own, *(p[k] for p in prefixes), None, None, None))
         sids = [home["sids"][16 * i : 16 * i + 16] if i >= 0 else None for i in home["doc_sets"]]
         out.append((*[None] * 8, home["doc_ids"], [int(sizes[i]) if i >= 0 else 0 for i in home["doc_sets"]], sids))
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.int32()), pa.list_(pa.binary())]
