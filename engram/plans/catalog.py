@@ -102,11 +102,8 @@ def vector_norms(spark, sf_dir):
 
 @query
 def pairwise_cosine(spark, sf_dir):
-    rows = fx.read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", vectors.norm(F.col("embedding")).alias("norm"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    near = vectors.cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.norm"), F.col("b.norm"))
-    return pairs.select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), r6(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), "dot"), r6(near, "cosine"))
+    rows = fx.read(spark, sf_dir, "embeddings")
+    return retrieval.all_pairs(rows, "label", "vec_id", "embedding").select("left_id", "right_id", r6("dot"), r6("cosine"))
 
 
 @query

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
+from engram.operators import retrieval
 from engram.operators.retrieval import CellIndex, nearest_exact
 from engram.plans import catalog
 
@@ -60,6 +61,15 @@ def test_ann_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 120").select("vec_id", "label", "embedding")
+    a, b = rows.alias("a"), rows.alias("b")
+    want = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select("a.vec_id", "b.vec_id", F.round(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), 6), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6))
+    got = retrieval.all_pairs(rows, "label", "vec_id", "embedding").select("left_id", "right_id", F.round("dot", 6), F.round("cosine", 6))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize(("kind", "most"), [("clustered", 0.15), ("structureless", 0.85)])
 def test_index_of_cells_prunes_and_finds(spark, kind, most):
     """20,000 vectors of 48 places: recall of the ten nearest, and the share of pairs compared."""
