@@ -26,7 +26,8 @@ tokens of windows; adaptive execution may split one that is frequent nevertheles
 Nulls and odd rows: a null or empty text has no words, ``n_hit`` 0 and is not
 contaminated. Repeated document rows give repeated results. Repeated items
 count once by id; an item with a null id marks words but is in no item list.
-An empty benchmark leaves all documents clean. Extra columns are ignored.
+An empty benchmark leaves all documents clean. Very long texts are read whole, one at
+a time. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ holds the sample's vectors, about ``sample_rows`` and ``LANGUAGE_ROWS`` a langua
 
 Nulls and odd rows: a null text or one without a letter gets ``und`` and score 0.
 A null doc_id is not held out and not learned from. Repeated rows get the same
-result. Without any labelled row all texts are ``und``. Extra columns are ignored.
+result. Very long texts are read whole. Without any labelled row all texts are ``und``. Extra columns are ignored.
 """
 
 from __future__ import annotations

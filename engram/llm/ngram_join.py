@@ -40,7 +40,8 @@ The documents should be a table or another source that deals rows alike each
 time it is read.
 
 Nulls and odd rows: a null text, or one without words, has an empty set and is
-its own class. Repeated rows are in one class. An empty table gives no rows.
+its own class. Repeated rows are in one class. Very long texts have all their
+shingles; one text is the least that a task holds. An empty table gives no rows.
 Extra columns are ignored.
 """
 

@@ -21,7 +21,7 @@ plan only: at most ``capacity`` counts and the patterns made from them, whatever
 the number of documents.
 
 Nulls and odd rows: a null text is empty, one piece with ``end_id`` alone.
-Repeated rows are packed each. An empty table gives no rows. Extra columns are
+Repeated rows are packed each. Very long texts are encoded whole, then cut. An empty table gives no rows. Extra columns are
 ignored.
 
 The vocabulary comes as the JSON file of the tokenizers library. Ids are made by

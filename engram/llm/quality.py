@@ -25,8 +25,8 @@ texts; beyond ``broadcast_lines`` each text is joined to its own removed lines.
 ``measure`` makes the tables that both share, to be made once.
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null
-host is a host of its own. Repeated rows get the same result each. Extra
-columns are ignored, an empty table gives no rows.
+host is a host of its own. Repeated rows get the same result each. Very long texts
+are read whole. Extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ are an error, never another method.
 
 Nulls and odd rows: a null url, or one without ``://``, has empty host and path,
 fits no rule and isn't listed: allowed. Repeated rows are judged each. With an
-empty list only rules block. Extra columns are ignored.
+empty list only rules block. Very long urls are judged whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
