@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
-from .textbatch import U64, Words, alphanumeric_words, inside, lower_ascii, shingle_hashes, slices
+from .textbatch import U64, Words, alphanumeric_words, inside, lower_ascii, release_memory, shingle_hashes, slices
 
 WINDOW = 13
 SHINGLE = 3
@@ -136,6 +136,7 @@ def _count_map(shared):
                 for k in index.sizes:
                     _, which = _lookup(index.tokens, bits, shingle_hashes(h, k)[inside(words.first, k)] if len(h) >= k else h[:0])
                     total += np.bincount(which, minlength=len(total))
+        release_memory()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
 
@@ -203,6 +204,7 @@ def _judge_map(shared):
                     [ids.slice(low, n), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array((hit > 0) & (SHARE * hit >= count))],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
+        release_memory()
 
     return run
 

@@ -218,6 +218,8 @@ def _share_tokens(table: pa.Table) -> pa.Table:
             own, its = slice(at[i], at[i + 1]), slice(held_at[i], held_at[i + 1])
             if own.stop > own.start or its.stop > its.start:
                 out.append({"chunk": r["chunk"], "tokens": _packed(tokens[own]), "owners": owners[own].tobytes(), "freqs": freq[own].tobytes(), "held": _packed(held[its]), "numbers": held_freq[its].tobytes()})
+    tokens = held = owners = every = order = weight = freq = held_freq = keep = kept = rows = None
+    release_memory()
     return pa.concat_tables([_batch(out).select(_REPLY_NAMES), table.filter(pc.invert(is_part)).select(_REPLY_NAMES).cast(_batch([]).select(_REPLY_NAMES).schema)])
 
 
@@ -254,6 +256,8 @@ def _alive_sets(percent: int):
             for k, i in enumerate(alive):
                 own = tokens[order[edges[i] : edges[i + 1]]].view(np.int64)
                 out.append((home["sids"][16 * i : 16 * i + 16], (home["chunk"] << SET_BITS) + i, int(sizes[i]), int(sizes[i] - shared[i]), own, *(p[k] for p in prefixes), None, None, None))
+        tokens = owners = freqs = step = order = None
+        release_memory()
         sids = [home["sids"][16 * i : 16 * i + 16] if i >= 0 else None for i in home["doc_sets"]]
         out.append((*[None] * 8, home["doc_ids"], [int(sizes[i]) if i >= 0 else 0 for i in home["doc_sets"]], sids))
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.int32()), pa.list_(pa.binary())]
