@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import SHARE, WINDOW
+from .divergence import LEAST_DOCUMENTS, TOP, UNIT
+from .licenses import RARE, TEMPLATES
 from .ngram_join import PERCENT
 from .ngram_join import WORDS as SHINGLE
 from .quality import KEEP_SHARE, LINE_DOCUMENTS, MIN_WORDS
@@ -139,3 +141,107 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_f
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= {KEEP_SHARE} * n_words AS kept
 FROM counted
 """
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, {t.label!r}, {t.base}, {t.slack}, {t.words!r}, {t.phrases!r})" for k, t in enumerate(TEMPLATES))
+
+LICENSE_SCAN = rf"""
+WITH templates(t, label, base, slack, tw, phrases) AS (VALUES {_TEMPLATE_ROWS}
+), docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), spelled AS (
+  SELECT t, j, tw[j + 1] AS word FROM (SELECT t, tw, unnest(range(len(tw))) AS j FROM templates)
+), total AS (
+  SELECT count(*) AS n FROM docs
+), spots AS (
+  SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM docs) WHERE w[i + 1] IN (SELECT word FROM spelled)
+), holding AS (
+  SELECT word, count(DISTINCT doc_id) AS df FROM spots GROUP BY word
+), weighed AS (
+  SELECT t, j, word, coalesce(df, 0) AS df, length(bin((n + 1) // (coalesce(df, 0) + 1))) AS weight FROM spelled LEFT JOIN holding USING (word), total
+), entries AS (
+  SELECT t, word, place FROM (
+    SELECT t, word, place, row_number() OVER (PARTITION BY t ORDER BY df, place) AS k FROM (SELECT t, word, min(j) AS place, min(df) AS df FROM weighed GROUP BY t, word)
+  ) WHERE k <= {RARE}
+), candidates AS (
+  SELECT doc_id, t, i - place AS start FROM spots JOIN entries USING (word) JOIN (SELECT t, (count(*) + 1) // 2 AS need FROM entries GROUP BY t) USING (t)
+  GROUP BY doc_id, t, i - place HAVING count(*) >= min(need)
+), read AS (
+  SELECT doc_id, t, start, label, base, phrases, tw, w,
+         ' ' || array_to_string(w[greatest(start - slack, 0) + 1:greatest(start - slack, 0) + len(tw) + 2 * slack], ' ') || ' ' AS around
+  FROM candidates JOIN templates USING (t) JOIN docs USING (doc_id) WHERE start >= 0 OR slack > 0
+), found AS (
+  SELECT doc_id, t, start, label, base FROM read WHERE len(list_filter(phrases, lambda k: NOT contains(around, k))) = 0
+), scored AS (
+  SELECT doc_id, t, start, any_value(label) AS label, any_value(base) AS base, (coalesce(sum(weight) FILTER (WHERE start + j >= 0 AND w[start + j + 1] = word), 0))::DOUBLE / sum(weight)::DOUBLE AS score
+  FROM found JOIN weighed USING (t) JOIN docs USING (doc_id) GROUP BY doc_id, t, start
+), sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM scored GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN sums USING (doc_id)
+"""
+
+#: CRC-32 of the decimal conv_id as in SHARDING; nodes are told apart by the text of their turns.
+PREFIX_TRIE = """
+WITH table_of AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, xor(list_reduce(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), table_of
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS d, role, text FROM (
+    SELECT c.conv_id, 0 AS own, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.head AND place <= h
+    UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h)
+), told AS (
+  SELECT conv_id, d, length(text) AS chars, list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rebuilt
+), openings AS (
+  SELECT conv_id, d, chars, path FROM told UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM convs
+), sizes AS (
+  SELECT conv_id, max(d) AS size FROM openings GROUP BY conv_id
+), nodes AS (
+  SELECT path, any_value(d) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = size) AS ends
+  FROM openings JOIN sizes USING (conv_id) GROUP BY path
+), kids AS (
+  SELECT path[:len(path) - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)
+), sums AS (
+  SELECT a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved FROM full_nodes a JOIN full_nodes b ON b.path[:a.depth] = a.path GROUP BY a.path
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_nodes f JOIN sums USING (path) LEFT JOIN full_nodes p ON f.depth > 0 AND p.path = f.path[:f.depth - 1]
+"""
+
+SOURCE_DIVERGENCE = rf"""
+WITH cut AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sources_of AS (
+  SELECT DISTINCT lang, source FROM cut
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM cut) GROUP BY lang, term HAVING count(*) >= {LEAST_DOCUMENTS}
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM cut) JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), filled AS (
+  SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM sources_of JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), weighed AS (
+  SELECT lang, source, term, n, 1 + ({UNIT}::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang, source))::HUGEINT + 2 * v) AS p FROM filled JOIN v USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + ({UNIT}::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang))::HUGEINT + 2 * v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM filled GROUP BY lang, term) JOIN v USING (lang)
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM sources_of a JOIN sources_of b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM weighed x JOIN weighed y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM weighed JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
+"""

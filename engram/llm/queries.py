@@ -11,10 +11,13 @@ from . import oracles
 from .chat import chat_digests, format_chats
 from .common import table
 from .decontaminate import find_contamination
+from .divergence import audit_sources
 from .html_text import extract_main_text
 from .language_id import identify, train
+from .licenses import license_digests, scan_licenses
 from .ngram_join import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie, share_openings, turn_sequences
 from .quality import judge_quality
 from .sharding import shard
 from .token_counts import count_tokens, read_tokenizer
@@ -71,6 +74,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digests(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_openings(turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_license_scan": op11_license_scan,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op7_quality_rules": oracles.QUALITY_RULES,
     "op8_chat_formatting": oracles.CHAT_FORMATTING,
+    "op11_license_scan": oracles.LICENSE_SCAN,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }

@@ -68,6 +68,13 @@ def alphanumeric_words() -> np.ndarray:
     return word
 
 
+def letters_only() -> np.ndarray:
+    """True for bytes of words ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+``."""
+    word = alphanumeric_words()
+    word[0x30:0x3A] = False
+    return word
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         size = max(n, SLICE_BYTES * 2)

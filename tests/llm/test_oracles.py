@@ -24,5 +24,5 @@ def test_query_equals_oracle(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
