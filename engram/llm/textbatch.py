@@ -23,8 +23,6 @@ except (OSError, AttributeError):
     _LIBC = None
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def release_memory() -> None:
@@ -43,7 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+_STEP = U64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def lower_ascii() -> np.ndarray:
@@ -75,16 +74,6 @@ def letters_only() -> np.ndarray:
     return word
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=U64)
-    return _POWERS[0], _POWERS[1]
-
-
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of consecutive rows; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,12 +122,21 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the spans' bytes after ``fold``."""
-    codes = _BYTE_CODES if fold is None else _BYTE_CODES[fold]
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
+    """64-bit hashes of the spans' bytes after ``fold``; spans aren't empty.
+
+    Eight bytes at a time are mixed with their place in the span, so that no rule
+    of the bytes (as of Thue-Morse words under powers of a base) carries over to the sum.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data if fold is None else fold[data]
+    blocks = (end - start + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + 8 * place
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))[at] & _LOW_BYTES[np.minimum(np.repeat(end, blocks) - at, 8)]
+    sums = np.zeros(len(at) + 1, U64)
+    np.cumsum(mix(eight + (place + 1).astype(U64) * _STEP), out=sums[1:])
+    return mix(sums[first + blocks] - sums[first] + (end - start).astype(U64))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
