@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics, text, vectors
 from ..operators import arc as arcs
-from ..operators import archetype, calibrate, consolidate, distill, evoke, facts, retrieval
+from ..operators import archetype, calibrate, consolidate, distill, evoke, facts, retrieval, tree_index
 from ..operators.predicate import compile_predicate, fact_scope, perception_scope
 from ..sources import fixtures as fx
 from . import oracles
@@ -446,15 +446,15 @@ def resonate_modes(spark, sf_dir):
 
 @query
 def resonate_ann(spark, sf_dir):
-    """Ten nearest by an index of cells for every twentieth vector, all vectors indexed."""
+    """Ten nearest by the tree of centroids for every twentieth vector, all vectors indexed."""
     rows = fx.read(spark, sf_dir, "embeddings")
-    index = retrieval.CellIndex(rows, "vec_id", "embedding")
+    index = tree_index.TreeIndex(rows, "vec_id", "embedding")
     return index.join(rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", "rank", "id", r6("cosine"))
 
 
 @query
 def resonate_subjects(spark, sf_dir):
-    return retrieval.Retriever(flat_limit=10).resonate_subjects(archetypes(spark, sf_dir), oracles.QUERY_5, 5, 31 * fx.CYCLE_SECONDS)
+    return tree_index.Retriever(flat_limit=10).resonate_subjects(archetypes(spark, sf_dir), oracles.QUERY_5, 5, 31 * fx.CYCLE_SECONDS)
 
 
 @query

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import physics
 from .functions.text import heuristic_tokens, seconds, word_count
 from .mql import ast, parse, validate
-from .operators import arc, archetype, consolidate, evoke, facts, retrieval
+from .operators import arc, archetype, consolidate, evoke, facts, retrieval, tree_index
 from .operators.predicate import compile_predicate, fact_scope, perception_scope
 from .prose import SPAN, to_prose
 from .sources import ingest, store
@@ -58,7 +58,7 @@ class Session:
         self.tokenizer = tokenizer
         self.now = 0.0
         self.tables = store.TableStore(spark, folder or f"{store.shared_folder(spark)}/session-{uuid.uuid4().hex}")
-        self.retriever = retrieval.Retriever()
+        self.retriever = tree_index.Retriever()
         self._arrivals: list[tuple] = []
         self._seq = 0
 

@@ -286,3 +286,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     os.makedirs("/tmp/checkpoints", exist_ok=True)
     return "file://" + tempfile.mkdtemp(prefix="engram-", dir="/tmp/checkpoints")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _Files(spark)._at(path)
+    fs.delete(p, True)
