@@ -56,8 +56,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, formatted) of each conversation."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), _escape_role(role).alias("role"), escape(text).alias("text")).alias("t"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
+    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = ordered.select("conv_id", F.transform("turns", lambda t: F.struct(_escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     # Where blocks begin; a column of its own, so that it isn't computed for each block again.
     opens = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
     opened = turns.select("conv_id", "turns", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), opens).alias("starts"))

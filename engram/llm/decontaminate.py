@@ -236,11 +236,12 @@ def _bit_table(tokens: DataFrame):
     words = tokens.groupBy(F.floor(at / 64).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast((token & {size - 1}) % 64 as int)))").alias("v"))
     for w, v in words.toLocalIterator():
         bits[w] = v
-    return tokens.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool))
+    return tokens.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
 
 def _possible(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(bits[(tokens & U64(len(bits) - 1)).astype(np.int64)])
+    at = (tokens & U64(8 * len(bits) - 1)).astype(np.int64)
+    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
 
 
 def _possible_counts(shared, sizes: list[int]):

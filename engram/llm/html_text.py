@@ -26,7 +26,8 @@ time linear in their length. Memory follows the largest page. The tree is a few
 hundred bytes.
 
 Nulls and odd rows: a null or empty html gives the empty text, as does a page
-without main text. Repeated rows are treated each. Extra columns are ignored.
+without main text. Repeated rows are treated each. Bytes that aren't UTF-8 become
+replacement characters. Very long pages are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbatch import texts_of
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "paragraph", "heading", "article", "boilerplate")
 
 # Pages labelled by hand. A block of main text begins with the mark; ``~9`` stands for nine words.
@@ -352,7 +355,7 @@ def _extract_map(tree: DecisionTree):
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                texts = [main_text(h.as_py(), tree) for h in part.column("html")]
+                texts = [main_text(h, tree) for h in texts_of(part.column("html"))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run

@@ -65,10 +65,15 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Bucket 0 marks an n-gram without a letter.
     """
-    codes = _letters()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    whole = data.tobytes()
+    text = whole.decode("utf-8", "replace")
     begins = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
     rows = begins[offsets]
+    if len(text) != begins[-1] or ((data[offsets[:-1][offsets[:-1] < len(data)]] & 0xC0) == 0x80).any():  # a text isn't UTF-8: one by one, so that it changes no other
+        texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        text, rows = "".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    codes = _letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     letters = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(codes != 0, out=letters[1:])
     found = []

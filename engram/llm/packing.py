@@ -22,7 +22,7 @@ the number of documents.
 
 Nulls and odd rows: a null text is empty, one piece with ``end_id`` alone.
 Repeated rows are packed each. Very long texts are encoded whole, then cut. An empty table gives no rows. Extra columns are
-ignored.
+ignored. Bytes that aren't UTF-8 are encoded as replacement characters.
 
 The vocabulary comes as the JSON file of the tokenizers library. Ids are made by
 tiktoken from that same vocabulary, which is several times as fast; tests hold
@@ -44,8 +44,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage_table
-from .textbatch import release_memory
+from .textbatch import release_memory, texts_of
 
+BROADCAST_COUNTS = 1_000_000
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY_BYTES = 64 << 20
@@ -215,8 +216,8 @@ def _piece_map(shared, capacity: int, end_id: int, with_ids: bool):
         end = np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7 + with_ids)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([encode(text.as_py(), allowed_special="all"), end]) if text.is_valid else end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                ids = np.concatenate([encode(text, allowed_special="all"), end]) if text is not None else end
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length].astype("<u4")
                     for column, value in zip(rows, (doc_id, piece, start, length, zlib.crc32(own.tobytes()), task, ranks[length], own.tolist() if with_ids else None), strict=False):
@@ -259,6 +260,8 @@ def pack(documents: DataFrame, vocabulary: bytes, *, capacity: int = CAPACITY, e
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = context.broadcast(Plan(lengths, capacity).places())
     kinds = SCHEMA.replace(", sequence_id", more + ", sequence_id")
+    if with_ids and counts.count() <= BROADCAST_COUNTS:  # so that ids stay where they are
+        before = F.broadcast(before)
     return pieces.join(before, ["task", "length"]).mapInArrow(_place_map(places, with_ids), kinds)
 
 

@@ -93,6 +93,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, one at a time; bytes that aren't UTF-8 become replacement characters."""
+    for value in column.cast(pa.binary()):
+        yield value.as_py().decode("utf-8", "replace") if value.is_valid else None
+
+
 class Words:
     """Word spans of a slice: ``start`` and ``end`` bytes, and ``first``, the word index at which each row begins."""
 

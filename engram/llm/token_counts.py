@@ -24,7 +24,8 @@ kept in a cache of bounded size in each Python worker. Segments longer than
 ``long_segment`` characters are handled alike but not kept.
 
 Nulls and odd rows: a null text counts as empty, 0 tokens. Rows are judged one
-by one, so repeated rows give repeated results. Extra columns are ignored.
+by one, so repeated rows give repeated results. Bytes that aren't UTF-8 count as
+replacement characters. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbatch import texts_of
+
 LIMIT = 4096
 MODEL_BYTES = 64 << 20
 CACHE_SEGMENTS = 1_000_000
@@ -161,7 +164,7 @@ def _count_map(shared, limit: int):
             _COUNTERS.clear()
             counter = _COUNTERS[hash(frozenset(scores))] = PrefixCounter(scores)
         for batch in batches:
-            counts = [counter.count(t.as_py()) if t.is_valid else 0 for t in batch.column("text")]
+            counts = [0 if t is None else counter.count(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run

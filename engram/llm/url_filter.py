@@ -51,6 +51,7 @@ LISTED = tuple(
     for name in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets", "ad-track", "spam-farms", "casino-wins", "adult-xx", "cheap-pill", "free-bet")
     for top in ("com", "net", "org")
 )
+MAX_LEVELS = 80
 MAX_BITS = 1 << 30
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,7 +101,7 @@ class Level:
         self.data = F.lit(bytes(data))
 
     def _places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(j)), F.lit(self.bits)).cast("long") for j in range(self.hashes)]
+        return [F.pmod(F.xxhash64(F.lit(self.number), F.lit(j), key), F.lit(self.bits)).cast("long") for j in range(self.hashes)]
 
     def passes(self, key: Column) -> Column:
         found = None
@@ -125,6 +126,8 @@ class Cascade:
         rate = min(0.5, math.sqrt(0.5) * n / m) if n and m else 0.5
         while n:
             self.bits += math.ceil(1.4427 * n * -math.log2(rate))
+            if len(self.levels) > MAX_LEVELS:
+                raise ValueError("two keys, one listed and one not, agree at every level")
             if self.bits > max_bits:
                 raise ValueError(f"the list needs more than {max_bits} bits for the keys that the corpus has")
             self.levels.append(level := Level(len(self.levels), encoded, n, rate))
