@@ -112,8 +112,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents with their sequences."""
-    return pack(docs, read_tokenizer(BYTE_VOCABULARY))
+    """The pieces of the remaining documents with their sequences and token ids."""
+    return pack(docs, read_tokenizer(BYTE_VOCABULARY), with_ids=True)
 
 
 STAGES = [
