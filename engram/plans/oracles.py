@@ -211,7 +211,7 @@ FROM r JOIN shares x ON x.subject = r.subject AND x.label = r.label WHERE rank <
     "predict_next": f"WITH {STEPS} SELECT subject, a AS current, b AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY subject, a ORDER BY n DESC, b) AS r FROM (SELECT subject, a, b, count(*) AS n FROM steps GROUP BY 1, 2, 3)) WHERE r = 1",
     "revivals": f"WITH {STEPS} SELECT * FROM back",
     "reflect_insights": f"WITH {STEPS} SELECT subject, 'transition' AS kind, from_label, to_label, support, NULL AS domain FROM moved UNION ALL SELECT subject, 'revival', NULL, NULL, NULL, domain FROM back",
-    "dream_facts": f"""WITH {STEPS}, i AS (SELECT subject, 'transition' AS kind, to_label AS label, 'transición de comportamiento: ' || from_label || ' → ' || to_label AS text FROM moved UNION ALL SELECT subject, 'revival', domain, 'comportamiento recurrente (revival): ' || domain FROM back)
+    "dream_facts": f"""WITH {STEPS}, i AS (SELECT subject, 'transition' AS kind, to_label AS label, 'moves most often from ' || from_label || ' to ' || to_label AS text FROM moved UNION ALL SELECT subject, 'revival', domain, 'came back after it had faded: ' || domain FROM back)
 SELECT subject, kind, text, list_position({list(LABELS)}, label)::BIGINT AS place FROM i""",
     "arc_reading": f"""WITH {COUNTS}, d AS (SELECT subject, cycle, tick, round(drift, 9) AS drift FROM drift), e AS (SELECT *, drift - lag(drift) OVER (PARTITION BY subject ORDER BY cycle) AS x FROM d),
 g AS (SELECT *, x * lag(x) OVER (PARTITION BY subject ORDER BY cycle) < 0 AS turn FROM e),

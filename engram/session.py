@@ -56,11 +56,16 @@ class Session:
         self.spark, self.embedder = spark, CachingEmbedder(embedder or HashingEmbedder())
         self.theta_fade, self.theta_dedup, self.resilience = theta_fade, theta_dedup, resilience
         self.tokenizer = tokenizer
-        self.now = 0.0
         self.tables = store.TableStore(spark, folder or f"{store.shared_folder(spark)}/session-{uuid.uuid4().hex}")
+        found = self.tables.marks()
+        self.now = found.get("now", 0.0)
         self.retriever = tree_index.Retriever()
         self._arrivals: list[tuple] = []
-        self._seq = 0
+        self._seq = found.get("seq", 0)
+
+    def _marks(self) -> dict[str, float]:
+        """The clock and the last number given, committed with whatever they date and number; a session on the same folder goes on from there."""
+        return {"now": self.now, "seq": self._seq}
 
     # tables ------------------------------------------------------------
 
@@ -77,8 +82,9 @@ class Session:
     def _flush(self) -> None:
         """Write what has been perceived since the last read, in one go."""
         if self._arrivals:
-            rows, self._arrivals = self._arrivals, []
-            self.tables.append("perceptions", self.spark.createDataFrame(rows, ingest.SCHEMA))
+            rows = list(self._arrivals)
+            self.tables.append("perceptions", self.spark.createDataFrame(rows, ingest.SCHEMA), marks=self._marks())
+            del self._arrivals[: len(rows)]  # once they are committed, not before
 
     def tick(self, by: float) -> float:
         if by < 0:
@@ -114,7 +120,7 @@ class Session:
         distilled, absorbed = live.agg(F.countDistinct("subject"), F.count("*")).first()
         if absorbed:
             old = self.archetypes() if self.tables.version("archetypes") else None
-            self.tables.write("archetypes", consolidate.breathe(old, p, self.now, resilience=self.resilience, where=keep, subjects=subjects))
+            self.tables.write("archetypes", consolidate.breathe(old, p, self.now, resilience=self.resilience, where=keep, subjects=subjects), marks=self._marks())
         return {"distilled_subjects": distilled, "perceptions_absorbed": absorbed, "faded": self.fade()}
 
     def fade(self, where: ast.Predicate | str | None = None) -> int:
@@ -123,14 +129,14 @@ class Session:
         left = consolidate.sweep(p, self.now, drop)
         gone = p.count() - left.count()
         if gone:
-            self.tables.write("perceptions", left)
+            self.tables.write("perceptions", left, marks=self._marks())
         return gone
 
     def consolidate(self, subject: str, amount: float) -> bool:
         a = self.archetypes()
         if a.where(F.col("subject") == subject).isEmpty():
             return False
-        self.tables.write("archetypes", archetype.consolidate(a, subject, self.now, amount))
+        self.tables.write("archetypes", archetype.consolidate(a, subject, self.now, amount), marks=self._marks())
         return True
 
     # evoking --------------------------------------------------------------
@@ -173,7 +179,7 @@ class Session:
 
     def _replace_facts(self, rows: DataFrame, only: list[int] | None = None) -> None:
         """Write all facts, or those of some buckets."""
-        self.tables.commit({"facts": rows}, buckets={"facts": FACT_BUCKETS}, only=None if only is None else {"facts": only})
+        self.tables.commit({"facts": rows}, buckets={"facts": FACT_BUCKETS}, only=None if only is None else {"facts": only}, marks=self._marks())
 
     def search(self, subject: str, query: str, k: int = FACTS_K, where: ast.Predicate | str | None = None) -> list[dict]:
         """The k best living facts, untouched."""
@@ -235,10 +241,10 @@ class Session:
         return store.save_snapshots(self.archetypes(), folder)
 
     def load(self, folder: str) -> int:
-        self.tables.write("archetypes", store.load_snapshots(self.spark, folder))
+        self.tables.write("archetypes", store.load_snapshots(self.spark, folder), marks=self._marks())
         rows, self.theta_dedup = store.load_facts(self.spark, folder)
-        self._replace_facts(rows)
         self._seq = max(self._seq, rows.agg(F.max("seq")).first()[0] or 0)
+        self._replace_facts(rows)
         return self.archetypes().count()
 
     def subjects(self) -> list[str]:

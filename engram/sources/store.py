@@ -240,16 +240,16 @@ class TableStore:
             if self.files.create(f"{self.folder}/_versions/{number + 1:020}.json", text):
                 return version
 
-    def write(self, name: str, rows: DataFrame, buckets: int | None = None) -> str:
+    def write(self, name: str, rows: DataFrame, buckets: int | None = None, marks: dict | None = None) -> str:
         """Replace a table; ``buckets`` parts it by a hash of the subject, so lookups read one part."""
-        return self.commit({name: rows}, buckets={name: buckets} if buckets else None)
+        return self.commit({name: rows}, buckets={name: buckets} if buckets else None, marks=marks)
 
-    def append(self, name: str, rows: DataFrame) -> str:
+    def append(self, name: str, rows: DataFrame, marks: dict | None = None) -> str:
         """Add rows; earlier parts stay as they are. Many small parts are put together now and then."""
         found = self._newest()[1]["tables"].get(name)
         if found is not None and len(found["parts"]) >= MAX_PARTS:
-            return self.write(name, self.read(name, "").unionByName(rows))
-        return self.commit(appended={name: rows})
+            return self.write(name, self.read(name, "").unionByName(rows), marks=marks)
+        return self.commit(appended={name: rows}, marks=marks)
 
     def read(self, name: str, schema: str, only: list[int] | None = None) -> DataFrame:
         """The current rows, or those of some buckets; an absent table is empty."""
