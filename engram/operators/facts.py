@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, vectors
+from ..sources.shared import staged
 from .archetype import Trace
+from .links import groups_of
 from .ordered import Row, ordered_fold
 
 # Fixed values of the memory model.
@@ -17,6 +19,8 @@ THETA_DEDUP = 0.95
 CONSOLIDATION = 0.1
 DEFAULT_K = 3
 
+HOT_ROWS = 20_000
+
 SCHEMA = "seq bigint, subject string, text string, embedding array<double>, provenance string, created_at double, salience double, lambda double, reinforcement double, last_touch double"
 
 
@@ -43,21 +47,44 @@ class _Units:
         return float(near[at]), self.places[at]
 
 
-def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DEDUP) -> DataFrame:
+def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DEDUP, hot: int = HOT_ROWS) -> DataFrame:
     """Facts after remembering ``new`` rows (seq, subject, text, embedding, provenance, tick, salience, halflife) in order.
 
     A row whose best match among the subject's facts is at least ``theta`` (the last of
     equals, faded or not) touches that fact and is discarded; else it is a new fact.
     Facts of another length than the row's match nothing.
+
+    The rows of a subject are folded in order, in one task. A subject with more than ``hot`` rows is
+    first cut into groups that may merge (see :mod:`links`): rows alone in their group are
+    facts as they are, each other group is folded by itself. The result is the same.
     """
     rows = new.select("seq", "subject", "text", vectors.as_double(F.col("embedding")).alias("embedding"), "provenance", F.col("tick").alias("created_at"), "salience", physics.lambda_from_halflife(F.col("halflife")).alias("lambda"), F.lit(0.0).alias("reinforcement"), F.col("tick").alias("last_touch"), F.lit(1).alias("_new"))
     if known is not None:
         rows = known.select(*(f.split()[0] for f in SCHEMA.split(", "))).withColumn("_new", F.lit(0)).unionByName(rows)
 
+    if theta > 0:
+        counts = rows.groupBy("subject").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        if not counts.isEmpty():
+            return _remember_hot(rows, counts.select("subject"), theta)
+    return _folded(rows, ["subject"], theta)
+
+
+def _remember_hot(rows: DataFrame, hot: DataFrame, theta: float) -> DataFrame:
+    rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "facts")
+    many = rows.join(hot, "subject", "left_semi")
+    groups = staged(groups_of(many.select("rid", "subject", F.col("embedding").alias("v")), theta), "groups")
+    placed = many.join(groups, "rid", "left").drop("rid")
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    alone = placed.where(F.col("group").isNull()).select(*names)
+    return alone.unionByName(_folded(placed.where(F.col("group").isNotNull()), ["subject", "group"], theta)).unionByName(_folded(rows.join(hot, "subject", "left_anti").drop("rid"), ["subject"], theta))
+
+
+def _folded(rows: DataFrame, keys: list[str], theta: float) -> DataFrame:
     def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
         facts: list[Row] = []
         units: dict[int, _Units] = {}  # by length
         for r in own:
+            r.pop("group", None)
             v = np.asarray(r["embedding"], float)
             same = units.setdefault(len(v), _Units(len(v)))
             best, at = same.nearest(v) if r.pop("_new") else (-2.0, -1)
@@ -70,7 +97,7 @@ def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DE
                 facts.append(r)
         yield from facts
 
-    return ordered_fold(rows, ["subject"], ["_new", "seq"], fold, SCHEMA)
+    return ordered_fold(rows, keys, ["_new", "seq"], fold, SCHEMA)
 
 
 def living(facts: DataFrame, now: float, theta: float = physics.THETA_FADE) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, FloatType, IntegerType, StructField, StructType
 
 from ..functions import physics, vectors
-from ..sources.store import remove_folder, shared_folder
+from ..sources.shared import remove_folder, shared_folder
 from .retrieval import living, nearest_exact, points, resonate, subjects_by_rank
 
 # Fixed value of the memory model.

@@ -11,8 +11,6 @@ paths go through Spark's file systems, so any that Spark reads will do.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 import zlib
 
@@ -26,6 +24,7 @@ from ..operators.archetype import SCHEMA as ARCHETYPES
 from ..operators.archetype import Archetype
 from ..operators.facts import SCHEMA as FACTS
 from ..operators.facts import THETA_DEDUP
+from .shared import remove_folder, shared_folder
 
 SNAPSHOT_VERSION = 1
 FACTS_FILE = "facts.json"
@@ -277,17 +276,4 @@ def buckets_of(subjects: list[str], buckets: int) -> list[int]:
     return sorted({zlib.crc32(s.encode()) % buckets for s in subjects})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local master may go without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "file://" + tempfile.mkdtemp(prefix="engram-", dir="/tmp/checkpoints")
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    fs, p = _Files(spark)._at(path)
-    fs.delete(p, True)
+__all__ = ["TableStore", "bucket_of", "buckets_of", "load_facts", "load_snapshot", "load_snapshots", "read_snapshot_table", "remove_folder", "save_facts", "save_snapshots", "shared_folder"]
