@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,24 @@ HORIZON = 3 * physics.DAY
 MIN_GAIN = 0.01
 
 
-def confusion(rows: DataFrame, keys: Sequence[str], predicted: Column, actual: Column) -> DataFrame:
-    """tp, fp, fn, tn per key."""
-    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+def confusion(rows: DataFrame, keys: Sequence[str], predicted: Column, actual: Column, times: Column | None = None) -> DataFrame:
+    """tp, fp, fn, tn per key; a row counts ``times``, once by default."""
+    one = F.lit(1) if times is None else times
+    n = lambda c: F.coalesce(F.sum(F.when(c, one).otherwise(0)), F.lit(0)).cast("long")
     return rows.groupBy(*keys).agg(n(predicted & actual).alias("tp"), n(predicted & ~actual).alias("fp"), n(~predicted & actual).alias("fn"), n(~predicted & ~actual).alias("tn"))
 
 
+def _reached(value: Column, grid: Sequence[float]) -> Column:
+    """How many thresholds of a grid a value reaches; null for null."""
+    return reduce(lambda a, b: a + b, [(value >= t).cast("int") for t in grid], F.lit(0))
+
+
+def _thresholds(counts: DataFrame, name: str, grid: Sequence[float]) -> DataFrame:
+    """Counted positions, a handful of rows, under each threshold of a grid with its place."""
+    each = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(t).alias("theta")) for k, t in enumerate(grid)))
+    return counts.withColumn("_t", F.explode(each)).select("*", F.col("_t.place").alias(f"_{name}"), F.col("_t.theta").alias(name)).drop("_t")
+
+
 def ratio(hit: Column, all_: Column) -> Column:
     """A share; of nothing it is 1."""
     return F.when(all_ == 0, F.lit(1.0)).otherwise(hit / all_)
@@ -37,40 +50,55 @@ def metrics(counts: DataFrame) -> DataFrame:
 
 
 def sweep(rows: DataFrame, thetas: Sequence[float], score: str = "score", actual: str = "actual") -> DataFrame:
-    """Metrics of ``score >= theta`` for each threshold of the grid, in one pass over the rows."""
-    grid = rows.withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-    return metrics(confusion(grid, ["theta"], F.col(score) >= F.col("theta"), F.col(actual)))
+    """Metrics of ``score >= theta`` for each threshold of the grid.
+
+    A row counts once, at the number of thresholds that it reaches; sums over these positions give every threshold's counts.
+    Rows without a score or a truth don't count.
+    """
+    grid = sorted(set(thetas))
+    counts = rows.groupBy(_reached(F.col(score), grid).alias("_at"), F.col(actual).alias("_actual")).agg(F.count("*").alias("_n"))
+    each = _thresholds(counts.where("_at is not null and _actual is not null"), "theta", grid)
+    return metrics(confusion(each, ["theta"], F.col("_at") > F.col("_theta"), F.col("_actual"), F.col("_n")))
 
 
 def sweep_semantic(rows: DataFrame, redundancy: Sequence[float] = REDUNDANCY_GRID, anomaly: Sequence[float] = ANOMALY_GRID) -> DataFrame:
     """Rows (cosine, kind in redundant / anomaly / signal) under every pair of thresholds.
 
     The objective is the smaller F1 of the two, times the share of signal that isn't taken for redundant.
+    A row counts once, at its place among both grids. Rows without a cosine don't count.
     """
-    grid = rows.withColumn("theta_redundancy", F.explode(F.array(*map(F.lit, redundancy)))).withColumn("theta_anomaly", F.explode(F.array(*map(F.lit, anomaly))))
-    red = F.col("cosine") >= F.col("theta_redundancy")
-    odd = ~red & (F.col("cosine") <= F.col("theta_anomaly"))
-    keys = ["theta_redundancy", "theta_anomaly"]
-    of = lambda flag, kind, name: metrics(confusion(grid, keys, flag, F.col("kind") == kind)).select(*keys, F.col("f1").alias(f"f1_{name}"), F.col("recall").alias(f"recall_{name}"))
-    lost = grid.groupBy(*keys).agg(ratio(F.sum((red & (F.col("kind") == "signal")).cast("long")), F.sum((F.col("kind") == "signal").cast("long"))).alias("_lost"), F.sum((F.col("kind") == "signal").cast("long")).alias("_signal"))
+    high, low = sorted(set(redundancy)), sorted(set(anomaly))
+    below = reduce(lambda a, b: a + b, [(F.col("cosine") <= t).cast("int") for t in low], F.lit(0))  # thresholds at or above the cosine
+    counts = rows.groupBy(_reached(F.col("cosine"), high).alias("_high"), below.alias("_low"), "kind").agg(F.count("*").alias("_n")).where("_high is not null")
+    grid = _thresholds(_thresholds(counts, "theta_redundancy", high), "theta_anomaly", low)
+    red = F.col("_high") > F.col("_theta_redundancy")
+    odd = ~red & (F.col("_theta_anomaly") >= len(low) - F.col("_low"))
+    keys, n = ["theta_redundancy", "theta_anomaly"], F.col("_n")
+    of = lambda flag, kind, name: metrics(confusion(grid, keys, flag, F.col("kind") == kind, n)).select(*keys, F.col("f1").alias(f"f1_{name}"), F.col("recall").alias(f"recall_{name}"))
+    is_signal = F.when(F.col("kind") == "signal", n).otherwise(0)
+    lost = grid.groupBy(*keys).agg(ratio(F.sum(F.when(red, is_signal).otherwise(0)), F.sum(is_signal)).alias("_lost"), F.sum(is_signal).alias("_signal"))
     all_ = of(red, "redundant", "redundancy").join(of(odd, "anomaly", "anomaly"), keys).join(lost, keys)
     faded = F.when(F.col("_signal") == 0, F.lit(0.0)).otherwise(F.col("_lost"))
     return all_.withColumn("signal_faded", faded).withColumn("objective", F.least("f1_redundancy", "f1_anomaly") * (1.0 - F.col("signal_faded"))).drop("_lost", "_signal")
 
 
-RANGES = 64
-
-
 def sweep_fade(traces: DataFrame, thetas: Sequence[float] = FADE_GRID, horizon: float = HORIZON) -> DataFrame:
-    """Traces (salience, lambda, reinforcement, last_touch, is_noise) after ``horizon``: F1 of fading noise, and memory lost."""
+    """Traces (salience, lambda, reinforcement, last_touch, is_noise) after ``horizon``: F1 of fading noise, and memory lost.
+
+    A trace counts once, at the number of thresholds that its weight reaches.
+    """
+    grid = sorted(set(thetas))
     w = physics.weight(horizon, F.col("salience"), F.col("lambda"), F.col("last_touch"), F.col("reinforcement"))
-    grid = traces.withColumn("weight", w).withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-    faded = F.col("weight") < F.col("theta")
-    scored = metrics(confusion(grid, ["theta"], faded, F.col("is_noise")))
+    counts = traces.groupBy(_reached(w, grid).alias("_at"), F.col("is_noise").alias("_noise")).agg(F.count("*").alias("_n"))
+    each = _thresholds(counts.where("_at is not null and _noise is not null"), "theta", grid)
+    scored = metrics(confusion(each, ["theta"], F.col("_at") <= F.col("_theta"), F.col("_noise"), F.col("_n")))
     kept = F.col("fp") + F.col("tn")
     return scored.withColumn("memory_loss", F.when(kept == 0, F.lit(0.0)).otherwise(F.col("fp") / kept)).withColumn("objective", F.col("f1") * (1.0 - F.col("memory_loss")))
 
 
+RANGES = 64
+
+
 def pareto_front(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in one of ``x`` and ``y`` without losing in the other.
 
