@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import physics, text, vectors
 from ..operators import arc as arcs
 from ..operators import archetype, calibrate, consolidate, distill, evoke, facts, retrieval, tree_index
+from ..operators.lazy import LazyMemory
 from ..operators.predicate import compile_predicate, fact_scope, perception_scope
 from ..sources import fixtures as fx
+from ..sources.shared import shared_folder
 from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,6 +291,18 @@ def breathe_twice(spark, sf_dir):
     return a.select("subject", "represented", "core_label", F.size("modes").cast("long").alias("modes"), F.size("arc").cast("long").alias("milestones"), r6("reinforcement"), "last_touch")
 
 
+@query
+def lazy_breaths(spark, sf_dir):
+    """Six breaths, five days apart, each of which writes the subjects that changed; read after the last one."""
+    memory = LazyMemory(spark, f"{shared_folder(spark)}/lazy-{uuid.uuid4().hex}")
+    p, span = fx.perceptions_onehot(spark, sf_dir), 5 * fx.CYCLE_SECONDS
+    for k in range(1, 7):
+        memory.perceive(p.where((F.col("tick") > (k - 1) * span if k > 1 else F.lit(True)) & (F.col("tick") <= k * span)))
+        memory.breathe(k * span)
+    a = memory.archetypes()
+    return a.select("subject", "represented", F.size("arc").cast("long").alias("milestones"), F.size("modes").cast("long").alias("modes"), "core_label", r6("reinforcement"), "last_touch")
+
+
 @query
 def basal_breaths(spark, sf_dir):
     """Perceptions by the day whose breath first sees them."""
@@ -392,6 +407,22 @@ def facts_dedup(spark, sf_dir):
     return f.select("seq", "subject", "text", r6("created_at"), r6("reinforcement"), F.round(F.col("lambda") * 1e6, 9).alias("lambda_e6"), r6("last_touch"))
 
 
+def _remembered(f: DataFrame) -> DataFrame:
+    return f.select("seq", "subject", "text", r6("created_at"), r6("reinforcement"), F.round(F.col("lambda") * 1e6, 9).alias("lambda_e6"), r6("last_touch"))
+
+
+@query
+def facts_dedup_graded(spark, sf_dir):
+    """Vectors at all angles around the threshold, so that what merges depends on the order of arrival."""
+    return _remembered(facts.remember(None, fx.facts_graded(spark, sf_dir)))
+
+
+@query
+def facts_dedup_hot(spark, sf_dir):
+    """The same with half of all rows in one subject, which is folded group by group."""
+    return _remembered(facts.remember(None, fx.facts_graded(spark, sf_dir, hot=True), hot=300))
+
+
 @query
 def facts_search(spark, sf_dir):
     """The three best facts of each subject for the first vector."""

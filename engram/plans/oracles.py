@@ -100,6 +100,15 @@ modes AS (
          CASE WHEN j > 1 THEN greatest({ARCH_LAMBDA!r} * pow(0.9, j - 1), {FLOOR!r}) ELSE {ARCH_LAMBDA!r} END AS l0
   FROM mode_rows
 )"""
+#: Facts in order of arrival: the leaders by a fold over the list of rows, then each other row's nearest leader of those before it.
+GRADED = f"""WITH {P0.replace("{", "{{").replace("}", "}}")}, g AS (SELECT seq, {{subject}} AS subject, tick, k, 0.04 * k + 0.0001 * k * k AS a FROM p),
+lists AS (SELECT subject, list([{{{{'seq': seq, 'a': a}}}}] ORDER BY seq) AS l FROM g GROUP BY 1),
+led AS (SELECT subject, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y.a - x[1].a) <= acos(0.95))) > 0 THEN acc ELSE list_concat(acc, x) END)) AS y FROM lists),
+leaders AS (SELECT subject, y.seq AS seq, y.a AS a FROM led),
+merged AS (SELECT lead_seq, count(*) AS n, max_by(tick, seq) AS last_touch FROM (SELECT g.seq, g.tick, min_by(l.seq, abs(l.a - g.a)) AS lead_seq FROM g JOIN leaders l ON l.subject = g.subject AND l.seq < g.seq AND abs(l.a - g.a) <= acos(0.95) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT g.seq, g.subject, k, tick, coalesce(n, 0) AS n, coalesce(last_touch, tick) AS last_touch FROM leaders l JOIN g ON g.seq = l.seq LEFT JOIN merged ON lead_seq = l.seq)
+SELECT seq, subject, 'k ' || k || ' ' || seq AS text, round(tick, 6) AS created_at, round({r_of('n')}, 6) AS reinforcement, round(({lam_of(repr(LN2 / (30 * DAY)), 'n')}) * 1e6, 9) AS lambda_e6, round(last_touch, 6) AS last_touch FROM f"""
+
 SUMMARY = MODES + """, odd AS (
   SELECT subject, sum(n)::BIGINT AS anomalies FROM (SELECT subject, cycle, label, n, n / sqrt(sum(n * n) OVER (PARTITION BY subject, cycle)) AS cosine FROM counts) WHERE cosine < 0.92 AND cosine <= 0.30 GROUP BY 1
 ), arch AS (SELECT subject, sum(absorbed)::BIGINT AS represented, count(*) AS milestones, max_by(label, cycle) AS core_label, max(tick) AS last_touch FROM arc GROUP BY 1)"""
@@ -187,6 +196,12 @@ SELECT subject, round(CASE WHEN mine THEN r + 1 / (1 + r) ELSE r END, 6) AS rein
     "breath_report": f"""WITH {CYCLES}, a AS (SELECT cycle, count(DISTINCT subject) AS d, count(*) AS n FROM live GROUP BY 1),
 gone AS (SELECT seq, min(cycle) AS cycle FROM p, cyc WHERE tick <= ct AND salience * exp(-lam0 * (ct - tick)) < 0.05 GROUP BY 1), f AS (SELECT cycle, count(*) AS n FROM gone GROUP BY 1)
 SELECT cyc.cycle, coalesce(d, 0) AS distilled_subjects, coalesce(a.n, 0) AS perceptions_absorbed, coalesce(f.n, 0) AS faded FROM cyc LEFT JOIN a USING (cycle) LEFT JOIN f USING (cycle)""",
+    "lazy_breaths": f"""WITH {P0}, five AS (SELECT i AS cycle, (i * 5 * {DAY})::DOUBLE AS ct FROM range(1, 7) t(i)),
+live AS (SELECT p.*, cycle, ct FROM p, five WHERE tick <= ct AND salience * exp(-lam0 * (ct - tick)) >= 0.05),
+c AS (SELECT subject, cycle, ct, label, count(*) AS n FROM live GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY subject, cycle ORDER BY n DESC, label) AS r FROM c),
+arc AS (SELECT subject, cycle, any_value(ct) AS ct, sum(n)::BIGINT AS absorbed, min_by(label, r) AS label FROM ranked GROUP BY 1, 2),
+s AS (SELECT subject, sum(absorbed)::BIGINT AS represented, count(*) AS milestones, max_by(label, cycle) AS core_label, max(ct) AS last_touch FROM arc GROUP BY 1)
+SELECT s.subject, represented, milestones, m.n AS modes, core_label, round({r_of('milestones - 1')}, 6) AS reinforcement, last_touch FROM s JOIN (SELECT subject, count(DISTINCT label) AS n FROM c GROUP BY 1) m USING (subject)""",
     "breathe_once": f"""WITH {ALIVE}, c AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, label) AS r FROM (SELECT subject, label, count(*) AS n FROM alive WHERE label <> 'view' GROUP BY 1, 2))
 SELECT subject, sum(n)::BIGINT AS represented, min_by(label, r) AS core_label, count(*) AS modes FROM c GROUP BY 1""",
     "breathe_twice": f"""WITH {P0}, t AS (SELECT unnest([{EARLIER}, {NOW}])::DOUBLE AS moment), a AS (SELECT subject, label, moment FROM p, t WHERE tick <= moment AND salience * exp(-lam0 * (moment - tick)) >= 0.05),
@@ -225,6 +240,8 @@ SELECT subject, label, CASE WHEN n < 2 OR peak < 0.07 THEN NULL WHEN a >= 0.6 AN
     "label_islands": f"WITH {COUNTS} SELECT subject, cycle, label FROM (SELECT *, lag(label) OVER (PARTITION BY subject ORDER BY cycle) AS b FROM arc) WHERE label IS DISTINCT FROM b",
     "facts_dedup": f"""WITH {P0}, g AS (SELECT subject, label, min(seq) AS seq, min(tick) AS created_at, max(tick) AS last_touch, count(*) - 1 AS n FROM p GROUP BY 1, 2)
 SELECT seq, subject, label || ' ' || seq AS text, round(created_at, 6) AS created_at, round({r_of('n')}, 6) AS reinforcement, round(({lam_of(repr(LN2 / (30 * DAY)), 'n')}) * 1e6, 9) AS lambda_e6, round(last_touch, 6) AS last_touch FROM g""",
+    "facts_dedup_graded": GRADED.format(subject="subject"),
+    "facts_dedup_hot": GRADED.format(subject="CASE WHEN seq % 2 = 0 THEN 'hot' ELSE subject END"),
     "facts_search": f"WITH {FACTS_RANKED} SELECT subject, rank, seq, round(score, 6) AS score FROM top WHERE rank <= 3",
     "facts_recall_topk": f"""WITH {FACTS}, s AS (SELECT q.seq AS query, w.seq, greatest(list_cosine_similarity(w.v, q.v), 0) * weight AS score FROM w, f q WHERE q.seq % 20 = 0 AND weight >= 0.05),
 t AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY score DESC, seq))::INTEGER AS rank FROM s) SELECT query, rank, seq, round(score, 6) AS score FROM t WHERE rank <= 10""",

@@ -93,6 +93,14 @@ def facts_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perceptions_onehot(spark, sf_dir).select("seq", "subject", F.concat_ws(" ", "label", "seq").alias("text"), "embedding", F.lit("event").alias("provenance"), "tick", F.lit(0.9).alias("salience"), F.lit(30 * physics.DAY).alias("halflife"))
 
 
+def facts_graded(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
+    """One fact per event as a point on the circle, at an angle that grows with ``k``; with ``hot`` every second one is of one subject."""
+    rows = perceptions(spark, sf_dir)
+    angle = F.lit(0.04) * F.col("k") + F.lit(0.0001) * F.col("k") * F.col("k")
+    subject = F.when(F.col("seq") % 2 == 0, F.lit("hot")).otherwise(F.col("subject")) if hot else F.col("subject")
+    return rows.select("seq", subject.alias("subject"), F.concat_ws(" ", F.lit("k"), "k", "seq").alias("text"), F.array(F.cos(angle), F.sin(angle)).alias("embedding"), F.lit("event").alias("provenance"), "tick", F.lit(0.9).alias("salience"), F.lit(30 * physics.DAY).alias("halflife"))
+
+
 def facts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as facts with a cost in words."""
     lam = physics.lambda_from_halflife(30 * physics.DAY)
