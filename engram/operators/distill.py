@@ -19,6 +19,8 @@ THETA_ANOMALY = 0.30
 THETA_MODE = 0.5
 MAX_MODES = 8
 
+HOT_ROWS = 100_000
+
 HISTOGRAM = "array<struct<label:string,n:bigint>>"
 SEED = f"struct<mode:int,centroid:array<double>,label:string,label_histogram:{HISTOGRAM},absorbed:bigint>"
 INTENTION = f"centroid array<double>, absorbed bigint, redundant bigint, anomalies array<array<double>>, anomaly_labels array<string>, label_histogram {HISTOGRAM}, core_label string, seeds array<{SEED}>"
@@ -79,10 +81,18 @@ class Leaders:
         self.counts: list[int] = []
         self.labels: list[Counter] = []
 
-    def add(self, vector: Sequence[float], label: str | None, size: float | None = None) -> None:
+    def restore(self, sums: np.ndarray, counts: Sequence[int]) -> None:
+        """Go on from leaders of given sums and counts."""
+        self.sums, self.counts = sums.copy(), list(counts)
+        self.squares = np.einsum("ij,ij->i", sums, sums).tolist()
+        self.sizes = np.array([math.sqrt(s) or math.inf for s in self.squares])
+        self.labels = [Counter() for _ in counts]
+
+    def add(self, vector: Sequence[float], label: str | None, size: float | None = None) -> int:
+        """The leader that the vector joins or becomes; -1 if it is skipped."""
         v = np.asarray(vector, float)
         if self.counts and len(v) != self.sums.shape[1]:
-            return
+            return -1
         size = math.sqrt(v @ v) if size is None else size
         at, dots = -1, None
         if self.counts:
@@ -103,6 +113,7 @@ class Leaders:
             self.counts[at] += 1
         if label:
             self.labels[at][label] += 1
+        return at
 
     def seeds(self) -> Iterator[Row]:
         for i, (s, n, labels) in enumerate(zip(self.sums, self.counts, self.labels, strict=True)):
@@ -114,8 +125,22 @@ def ranked_labels(counts: Counter) -> list[Row]:
     return [{"label": k, "n": n} for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
 
 
-def cluster_modes(rows: DataFrame, keys: Sequence[str], *, theta: float = THETA_MODE, max_modes: int = MAX_MODES) -> DataFrame:
-    """(keys, seeds) of the leader clustering of each key's rows by ``seq``."""
+def cluster_modes(rows: DataFrame, keys: Sequence[str], *, theta: float = THETA_MODE, max_modes: int = MAX_MODES, hot: int = HOT_ROWS) -> DataFrame:
+    """(keys, seeds) of the leader clustering of each key's rows by ``seq``.
+
+    A key is folded in one task; those of more than ``hot`` rows in segments, see :mod:`segments`, with the same result.
+    """
+    rows = rows.where(F.col("embedding").isNotNull())
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    if not counts.isEmpty():
+        from .segments import cluster_segments
+
+        large = cluster_segments(rows.join(counts, list(keys), "left_semi").select(*keys, "seq", vectors.as_double(F.col("embedding")).alias("embedding"), "label"), keys, theta=theta, max_modes=max_modes)
+        return large.unionByName(_cluster(rows.join(counts, list(keys), "left_anti"), keys, theta, max_modes))
+    return _cluster(rows, keys, theta, max_modes)
+
+
+def _cluster(rows: DataFrame, keys: Sequence[str], theta: float, max_modes: int) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
