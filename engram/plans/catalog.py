@@ -614,12 +614,27 @@ def mql_program(spark, sf_dir):
     return spark.createDataFrame(rows, "statement int, kind string, result string")
 
 
+def _arrivals(spark: SparkSession, sf_dir: str, whole: bool = False) -> str:
+    """A folder to which the events have come in six turns of five days; every 97th is a turn late. Files hold a sixteenth of all rows at most, or ``whole`` turns."""
+    from ..streaming.breath import QUEUE, enqueue
+
+    events = fx.read(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - fx.EPOCH_START) / (5 * fx.CYCLE_SECONDS))
+    turn = F.least(F.greatest(span, F.lit(0)), F.lit(5)) + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)
+    n = events.count()
+    for k in range(7):
+        part = events.where(turn == k)
+        enqueue(part.coalesce(1) if whole else part, folder, n + 1 if whole else max(QUEUE, n // 16))
+    return folder
+
+
 @query
 def stream_breaths(spark, sf_dir):
     """Basal breaths of the event stream; the streaming twin of ``basal_breaths``."""
     from ..streaming.breath import stream_basal
 
-    return stream_basal(spark, f"{sf_dir}/events.parquet")
+    return stream_basal(spark, _arrivals(spark, sf_dir))
 
 
 @query
@@ -627,7 +642,7 @@ def stream_pressure(spark, sf_dir):
     """Breaths of the event stream by the number of pending perceptions."""
     from ..streaming.breath import stream_by_pressure
 
-    return stream_by_pressure(spark, f"{sf_dir}/events.parquet")
+    return stream_by_pressure(spark, _arrivals(spark, sf_dir))
 
 
 @query
@@ -635,15 +650,30 @@ def stream_living(spark, sf_dir):
     """Perceptions per subject after the stream ran dry, by a stateful operator with expiry."""
     from ..streaming.breath import stream_living
 
-    return stream_living(spark, f"{sf_dir}/events.parquet", NOW)
+    return stream_living(spark, _arrivals(spark, sf_dir), NOW)
 
 
 @query
 def stream_expiry(spark, sf_dir):
-    """Perceptions per subject that live at the end of the stream, expired by event-time timers."""
+    """Perceptions per subject that live ten days before the stream's end, expired by event-time timers; some rows come five days late."""
+    from ..streaming import breath
+
+    return breath.stream_expiry(spark, _arrivals(spark, sf_dir), "10 days")
+
+
+@query
+def stream_breathing(spark, sf_dir):
+    """The breathing stream itself: six batches, each of which brings on a breath."""
+    from ..sources.store import TableStore
     from ..streaming import breath
 
-    return breath.stream_expiry(spark, f"{sf_dir}/events.parquet")
+    folder = f"{shared_folder(spark)}/breathing-{uuid.uuid4().hex}"
+    rows = breath.event_stream(spark, _arrivals(spark, sf_dir, whole=True)).withColumn("embedding", fx.one_hot())
+    run = breath.BreathingStream(TableStore(spark, f"{folder}/tables"), watermark=1)
+    stream = run.start(rows, f"{folder}/checkpoint")
+    stream.awaitTermination()
+    a = run.store.read("archetypes", archetype.SCHEMA)
+    return a.select("subject", "represented", F.size("arc").cast("long").alias("milestones"), "core_label", r6("last_touch"))
 
 
 def queries() -> dict[str, Query]:

@@ -296,7 +296,12 @@ FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn"""
     "clean_labels": f"WITH {P0} SELECT DISTINCT 'act ' || label || '_x ' AS raw, label || ' x' AS label FROM p",
     "stream_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived FROM p GROUP BY 1",
     "stream_pressure": f"WITH {P0} SELECT seq // 256 AS breath, count(*) AS arrived, round(max(tick), 3) AS tick FROM p GROUP BY 1",
-    "stream_expiry": f"WITH {P0}, t AS (SELECT floor(max(tick) * 1000) / 1000 AS moment FROM p) SELECT subject, count(*) AS living FROM p, t WHERE salience * exp(-lam0 * greatest(moment - tick, 0)) >= 0.05 GROUP BY 1",
+    "stream_expiry": f"WITH {P0}, t AS (SELECT floor(max(tick) * 1000) / 1000 - {10 * DAY} AS moment FROM p) SELECT subject, count(*) AS living FROM p, t WHERE salience * exp(-lam0 * greatest(moment - tick, 0)) >= 0.05 GROUP BY 1",
+    "stream_breathing": f"""WITH {P0}, turned AS (SELECT *, least(greatest(floor(tick / {5 * DAY}), 0), 5)::INTEGER + (seq % 97 = 0)::INTEGER AS turn FROM p),
+ticks AS (SELECT turn AS cycle, max(max(tick)) OVER (ORDER BY turn) AS ct FROM turned GROUP BY turn),
+c AS (SELECT subject, cycle, ct, label, count(*) AS n FROM turned, ticks WHERE turn <= cycle AND tick <= ct AND salience * exp(-lam0 * (ct - tick)) >= 0.05 GROUP BY ALL),
+arc AS (SELECT subject, cycle, any_value(ct) AS ct, sum(n)::BIGINT AS absorbed, min_by(label, r) AS label FROM (SELECT *, row_number() OVER (PARTITION BY subject, cycle ORDER BY n DESC, label) AS r FROM c) GROUP BY 1, 2)
+SELECT subject, sum(absorbed)::BIGINT AS represented, count(*) AS milestones, max_by(label, cycle) AS core_label, round(max(ct), 6) AS last_touch FROM arc GROUP BY 1""",
     "stream_living": f"WITH {ALIVE} SELECT subject, count(*) AS living, round(sum(w), 6) AS weight FROM alive GROUP BY 1",
 }
 for _name, (_, _sql) in PREDICATES.items():

@@ -11,7 +11,7 @@ import math
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +71,17 @@ class Stats:
         return "\n".join(out) + "\n"
 
 
+def enqueue(rows: DataFrame, folder: str, queue: int = QUEUE) -> None:
+    """Put arrivals into a folder for a stream to read, in files of at most ``queue`` rows.
+
+    A stream takes a file a trigger, so no batch admits more rows than that, however many are
+    waiting; what waits is on shared storage, and a producer never waits for the stream.
+    """
+    rows.write.mode("append").option("maxRecordsPerFile", queue).parquet(folder)
+
+
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Perceptions of a growing event table, at a limited rate."""
+    """Perceptions of a growing event table, a file at a time (see :func:`enqueue`)."""
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if not is_folder(spark, path):  # a stream watches a folder: here that of the one file
@@ -185,9 +194,9 @@ def expiring(perceptions: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     return rows.withWatermark("at", lateness).groupBy("subject").applyInPandasWithState(_expire, _LEFT, _EXPIRING, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_expiry(spark: SparkSession, path: str) -> DataFrame:
-    """Perceptions per subject that live at the end of the stream's event time."""
-    last = _drained(expiring(event_stream(spark, path)), "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"))
+def stream_expiry(spark: SparkSession, path: str, lateness: str = "0 seconds") -> DataFrame:
+    """Perceptions per subject that live when event time, less the lateness that is allowed, has come to the stream's end."""
+    last = _drained(expiring(event_stream(spark, path), lateness), "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"))
     return last.where("living > 0")
 
 
@@ -196,14 +205,21 @@ class BreathingStream:
 
     A batch is appended; once ``watermark`` rows are pending, or ``span`` seconds have
     passed with any, it brings on a breath, which replaces archetypes and perceptions in
-    the same commit. The commit also holds the batch's number and the pending rows, so a
-    batch that is tried again after a failure counts once. Clock ticks that were missed are skipped.
+    the same commit. The commit also holds the batch's number, the pending rows and the counters, so a
+    batch that is tried again after a failure counts once, and another driver on the same
+    store counts on from there. Clock ticks that were missed are skipped.
     """
 
     def __init__(self, store, stats: Stats | None = None, *, watermark: int = WATERMARK, span: float | None = None, clock: Callable[[], float] = time.monotonic):
-        self.store, self.stats, self.watermark, self.span, self.clock = store, stats or Stats(), watermark, span, clock
+        self.store, self.watermark, self.span, self.clock = store, watermark, span, clock
+        self.stats = stats if stats is not None else self._stored()
         self.next_tick = None if span is None else clock() + span
 
+    def _stored(self) -> Stats:
+        """The counters of the store, and its sizes."""
+        sizes = {"short_term_len": self.store.read("perceptions", PERCEPTIONS).count(), "long_term_len": self.store.read("archetypes", ARCHETYPES).count()}
+        return Stats(**self.store.marks().get("stats", {}) | sizes)
+
     def _is_due(self) -> bool:
         if self.next_tick is None or (now := self.clock()) < self.next_tick:
             return False
@@ -232,8 +248,9 @@ class BreathingStream:
 
         known = self.store.read("perceptions", PERCEPTIONS)
         if cause is None:
-            self.store.commit(appended={"perceptions": batch}, marks=marks | {"pending": pending})
-            self.stats.pending, self.stats.short_term_len = pending, known.count() + batch.count()
+            told = replace(self.stats, pending=pending, short_term_len=known.count() + batch.count())
+            self.store.commit(appended={"perceptions": batch}, marks=marks | {"pending": pending, "stats": asdict(told)})
+            self._tell(told)
             return
         known = known if batch is None else known.unionByName(batch)
         now = known.agg(F.max("tick")).first()[0]
@@ -242,11 +259,18 @@ class BreathingStream:
         old = self.store.read("archetypes", ARCHETYPES) if self.store.version("archetypes") else None
         live = known.where((F.col("tick") <= now) & (F.col("expires_at") >= now))
         subjects, absorbed = live.agg(F.countDistinct("subject"), F.count("*")).first()
-        total = known.count()
-        self.store.commit({"archetypes": consolidate.breathe(old, known, now), "perceptions": consolidate.sweep(known, now)}, marks=marks | {"pending": 0})
-        kept = self.store.read("perceptions", PERCEPTIONS).count()
-        self.stats.add(cause, subjects, absorbed, total - kept)
-        self.stats.pending, self.stats.short_term_len, self.stats.long_term_len = 0, kept, self.store.read("archetypes", ARCHETYPES).count()
+        left = consolidate.sweep(known, now)
+        total, kept = known.count(), left.count()
+        told = replace(self.stats, pending=0, short_term_len=kept)
+        told.add(cause, subjects, absorbed, total - kept)
+        self.store.commit({"archetypes": consolidate.breathe(old, known, now), "perceptions": left}, marks=marks | {"pending": 0, "stats": asdict(told)})
+        told.long_term_len = self.store.read("archetypes", ARCHETYPES).count()
+        self._tell(told)
+
+    def _tell(self, told: Stats) -> None:
+        """Show what has been committed, in the object that others may hold."""
+        for name, value in asdict(told).items():
+            setattr(self.stats, name, value)
 
     def start(self, stream: DataFrame, checkpoint: str, every: float | None = None):
         """Run until drained, or with ``every`` seconds between batches."""
