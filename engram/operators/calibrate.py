@@ -120,13 +120,13 @@ def pareto_front(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def verdict(swept: DataFrame, default: Column) -> DataFrame:
     """The best row of a sweep beside the default's, and whether the default should stay."""
-    best = swept.orderBy(F.desc("objective")).limit(1).select(F.col("objective").alias("best_objective"), *(F.col(c).alias(f"best_{c}") for c in swept.columns if c.startswith("theta")))
+    best = swept.orderBy(F.desc("objective"), *(c for c in swept.columns if c.startswith("theta"))).limit(1).select(F.col("objective").alias("best_objective"), *(F.col(c).alias(f"best_{c}") for c in swept.columns if c.startswith("theta")))
     own = swept.where(default).select(F.col("objective").alias("default_objective"))
     return best.crossJoin(own).withColumn("keep_default", F.col("best_objective") - F.col("default_objective") < MIN_GAIN)
 
 
-def report(labelled: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def report(labelled: DataFrame, traces: DataFrame, horizon: float = HORIZON) -> tuple[DataFrame, DataFrame]:
     """Verdicts on the semantic and on the fade thresholds, over the fixed grids."""
     near = lambda c, v: F.abs(F.col(c) - v) < 1e-9
     semantic = verdict(sweep_semantic(labelled), near("theta_redundancy", 0.92) & near("theta_anomaly", 0.30))
-    return semantic, verdict(sweep_fade(traces), near("theta", physics.THETA_FADE))
+    return semantic, verdict(sweep_fade(traces, horizon=horizon), near("theta", physics.THETA_FADE))

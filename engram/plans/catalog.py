@@ -532,27 +532,31 @@ def pareto_front(spark, sf_dir):
     return calibrate.pareto_front(m, "precision", "recall")
 
 
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.perceptions(spark, sf_dir).select("salience", "lambda", F.lit(0.0).alias("reinforcement"), F.col("tick").alias("last_touch"), F.col("label").isin("error", "click").alias("is_noise"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.split(_alive(spark, sf_dir), ["subject"]).select(F.round("cosine", 9).alias("cosine"), F.when(F.col("label") == "purchase", "redundant").when(F.col("label") == "error", "anomaly").otherwise("signal").alias("kind"))
+
+
 @query
 def fade_sweep(spark, sf_dir):
-    p = fx.perceptions(spark, sf_dir).select("salience", "lambda", F.lit(0.0).alias("reinforcement"), F.col("tick").alias("last_touch"), F.col("label").isin("error", "click").alias("is_noise"))
-    m = calibrate.sweep_fade(p, horizon=NOW)
+    m = calibrate.sweep_fade(_traces(spark, sf_dir), horizon=NOW)
     return m.select("theta", "tp", "fp", "fn", "tn", r6("f1"), r6("memory_loss"), r6("objective"))
 
 
 @query
 def semantic_sweep(spark, sf_dir):
-    rows = distill.split(_alive(spark, sf_dir), ["subject"]).select(F.round("cosine", 9).alias("cosine"), F.when(F.col("label") == "purchase", "redundant").when(F.col("label") == "error", "anomaly").otherwise("signal").alias("kind"))
-    m = calibrate.sweep_semantic(rows)
+    m = calibrate.sweep_semantic(_labelled(spark, sf_dir))
     return m.select("theta_redundancy", "theta_anomaly", r6("f1_redundancy"), r6("f1_anomaly"), r6("signal_faded"), r6("objective"))
 
 
 @query
 def calibration_report(spark, sf_dir):
-    """The verdict on both default thresholds, over synthetic labelled data."""
-    from ..sources.synthetic import labelled_vectors, traces
-
-    semantic, fade = calibrate.report(labelled_vectors(spark, 400, 400, 200, dim=32, seed=11), traces(spark, 500, 500, seed=23))
-    keep = ["best_objective", "default_objective", "keep_default"]
+    """The verdict on both default thresholds, over the labelled rows of both sweeps."""
+    semantic, fade = calibrate.report(_labelled(spark, sf_dir), _traces(spark, sf_dir), horizon=NOW)
+    keep = [r6("best_objective"), r6("default_objective"), "keep_default"]
     return semantic.select(F.lit("semantic").alias("what"), *keep).unionByName(fade.select(F.lit("fade").alias("what"), *keep))
 
 
@@ -606,10 +610,12 @@ def hashed_embeddings(spark, sf_dir):
 
 @query
 def mql_program(spark, sf_dir):
-    """A program of all seven verbs, statement by statement."""
+    """A program of the seven verbs over a session that holds all events as perceptions."""
     from ..session import Session
 
-    results = Session(spark).run(oracles.PROGRAM)
+    session = Session(spark)
+    session.take(fx.perceptions_onehot(spark, sf_dir))
+    results = session.run(oracles.PROGRAM)
     rows = [(i, r.kind, r.text) for i, r in enumerate(results)]
     return spark.createDataFrame(rows, "statement int, kind string, result string")
 

@@ -22,16 +22,16 @@ PREDICATES = {
     "predicate_implicit_equality": ('act "purchase" AND NOT k 5', "label = 'purchase' AND k <> 5"),
 }
 PROGRAM = """
+FADE noise WHERE act == "error" AND weight now < 0.5 -- of all subjects
+DISTILL subject "user:1" FROM perceptions WHERE act == "click" OR k >= 50 INTO intention_vector
+DISTILL subject "user:2" INTO intention_vector
+IMPRINT archetype "user:1" FROM intention_vector RESILIENCE high
+IMPRINT archetype "user:3" FROM intention_vector RESILIENCE low
 PERCEIVE interaction FROM subject "user:x" AS {act: "trail running", place: "hills"} WITH salience 0.9 DECAYS halflife 7 d
-PERCEIVE interaction FROM subject "user:x" AS {act: "trail running", place: "woods"} -- again
-PERCEIVE interaction FROM subject "user:x" AS {act: yoga, k: 3.0}
-DISTILL subject "user:x" FROM perceptions WHERE weight now > 0.1 INTO intention_vector
-EVOKE essence OF "user:x" RESONATING WITH {trail, running} RESOLUTION arc WITHIN budget 800 tokens
-IMPRINT archetype "user:x" FROM intention_vector RESILIENCE high
-RECALL facts FROM subject "user:x" RESONATING WITH {trail} WHERE resonates > 0.1 WITHIN k 2
-REINFORCE facts FROM subject "user:x" RESONATING WITH {trail} WITHIN k 1
-FADE noise WHERE act == "yoga"
-EVOKE essence OF "nobody" WITHIN budget 100 tokens
+FADE noise WHERE place == "hills"
+RECALL facts FROM subject "user:1" RESONATING WITH {trail} WHERE resonates > 0.1 WITHIN k 2
+REINFORCE facts FROM subject "user:1" RESONATING WITH {trail} WITHIN k 1
+EVOKE essence OF "user:3" WITHIN budget 100 tokens
 """
 
 LN2 = math.log(2)
@@ -294,6 +294,17 @@ SELECT c.conv_id, c.turn, CASE WHEN text IS NULL THEN NULL WHEN coalesce(size, 0
 FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn""",
     "snapshot_names": f"WITH {P0}, t AS (SELECT DISTINCT subject FROM p) SELECT subject, regexp_replace(subject, '[^0-9A-Za-z]', '_', 'g')[1:48] || '-' || lpad(lower(to_hex(({_FNV.format('subject')})::UBIGINT)), 16, '0') || '.json' AS name FROM t",
     "clean_labels": f"WITH {P0} SELECT DISTINCT 'act ' || label || '_x ' AS raw, label || ' x' AS label FROM p",
+    "calibration_report": """SELECT 'semantic' AS what, max(objective) AS best_objective, max(objective) FILTER (WHERE abs(theta_redundancy - 0.92) < 1e-9 AND abs(theta_anomaly - 0.30) < 1e-9) AS default_objective FROM ({semantic})
+UNION ALL SELECT 'fade', max(objective), max(objective) FILTER (WHERE abs(theta - 0.05) < 1e-9) FROM ({fade})""",
+    "mql_program": f"""WITH {P0}, t AS (SELECT max(tick) AS now FROM p), x AS (SELECT p.*, now, salience * exp(-lam0 * (now - tick)) AS wn FROM p, t),
+first AS (SELECT *, label = 'error' AND wn < 0.5 AS gone FROM x), left_ AS (SELECT * FROM first WHERE NOT gone), a AS (SELECT * FROM left_ WHERE wn >= 0.05),
+one AS (SELECT count(*) AS n FROM a WHERE subject = 'user:1' AND (label = 'click' OR k >= 50)), two AS (SELECT count(*) AS n FROM a WHERE subject = 'user:2'),
+faded AS (SELECT count(*) FILTER (WHERE wn < 0.05) AS n FROM left_), g AS (SELECT count(*) AS n FROM first WHERE gone)
+SELECT 0 AS statement, 'faded' AS kind, 'forgot perceptions: ' || n AS result FROM g
+UNION ALL SELECT 1, 'dreamed', 'breath: distilled_subjects=' || (one.n > 0)::INTEGER || ', perceptions_absorbed=' || one.n || ', faded=' || faded.n FROM one, faded
+UNION ALL SELECT 2, 'dreamed', 'breath: distilled_subjects=' || (n > 0)::INTEGER || ', perceptions_absorbed=' || n || ', faded=0' FROM two
+UNION ALL SELECT 3, CASE WHEN n > 0 THEN 'imprinted' ELSE 'error' END, CASE WHEN n > 0 THEN 'strengthened: user:1' ELSE 'failed: nothing alive is known of user:1' END FROM one
+UNION ALL VALUES (4, 'error', 'failed: nothing alive is known of user:3'), (5, 'perceived', 'heard: user:x'), (6, 'faded', 'forgot perceptions: 1'), (7, 'recalled', 'facts: none'), (8, 'reinforced', 'strengthened facts: 0'), (9, 'error', 'failed: nothing alive is known of user:3')""",
     "stream_breaths": f"WITH {P0} SELECT greatest(1, ceil(tick / {DAY}))::INTEGER AS breath, count(*) AS arrived FROM p GROUP BY 1",
     "stream_pressure": f"WITH {P0} SELECT seq // 256 AS breath, count(*) AS arrived, round(max(tick), 3) AS tick FROM p GROUP BY 1",
     "stream_expiry": f"WITH {P0}, t AS (SELECT floor(max(tick) * 1000) / 1000 - {10 * DAY} AS moment FROM p) SELECT subject, count(*) AS living FROM p, t WHERE salience * exp(-lam0 * greatest(moment - tick, 0)) >= 0.05 GROUP BY 1",
@@ -310,3 +321,6 @@ _STOP = "this that with from have your just they them their what when which woul
 ORACLES["common_terms"] = f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zA-Záéíóúñ]+')) AS term FROM documents),
 c AS (SELECT lang, term, count(*) AS n FROM w WHERE length(term) >= 4 AND NOT list_contains(string_split('{_STOP}', ' '), term) GROUP BY 1, 2),
 r AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY n DESC, term))::INTEGER AS rank FROM c) SELECT lang, term, n, rank FROM r WHERE rank <= 10"""
+
+_VERDICT = ORACLES["calibration_report"].format(semantic=ORACLES["semantic_sweep"], fade=ORACLES["fade_sweep"])
+ORACLES["calibration_report"] = f"SELECT *, best_objective - default_objective < 0.01 AS keep_default FROM ({_VERDICT})"

@@ -110,6 +110,13 @@ class Session:
     def perceive_vector(self, subject: str, vector: list[float], label: str = "", salience: float = SALIENCE, halflife: float = HALFLIFE) -> None:
         self.perceive_traits(subject, {"text": label} if label else {}, vector, salience, halflife)
 
+    def take(self, perceptions: DataFrame) -> None:
+        """Take in a table of perceptions, with numbers and ticks of its own; the clock goes on to the latest."""
+        self._flush()
+        last = perceptions.agg(F.max("seq").alias("seq"), F.max("tick").alias("tick")).first()
+        self._seq, self.now = max(self._seq, last.seq or 0), max(self.now, last.tick or 0.0)
+        self.tables.append("perceptions", perceptions.select(*(f.split()[0] for f in ingest.SCHEMA.split(", "))), marks=self._marks())
+
     def breathe(self, subjects: list[str] | None = None, where: ast.Predicate | str | None = None) -> dict[str, int]:
         """One cycle: distill, imprint, then sweep everything that has faded."""
         p = self.perceptions()
