@@ -12,7 +12,7 @@ from ..functions import physics, text, vectors
 from ..operators import arc as arcs
 from ..operators import archetype, calibrate, consolidate, distill, evoke, facts, retrieval, tree_index
 from ..operators.lazy import LazyMemory
-from ..operators.predicate import compile_predicate, fact_scope, perception_scope
+from ..operators.predicate import compile_predicate, fact_scope, perception_scope, select_where, with_hot_traits
 from ..sources import fixtures as fx
 from ..sources.shared import shared_folder
 from . import oracles
@@ -151,6 +151,14 @@ for _name in oracles.PREDICATES:
     _predicate(_name)
 
 
+@query
+def predicate_pruned(spark, sf_dir):
+    """The numeric trait predicate over a table with traits in columns of their own, sorted by them, so that the scan skips row groups."""
+    path = f"{shared_folder(spark)}/traits-{uuid.uuid4().hex}"
+    with_hot_traits(fx.perceptions(spark, sf_dir), ["act", "k"]).repartitionByRange("trait_act", "number_k").sortWithinPartitions("trait_act", "number_k").write.parquet(path)
+    return select_where(spark.read.parquet(path), oracles.PREDICATES["predicate_trait_numeric"][0], perception_scope(NOW)).select("seq")
+
+
 @query
 def fact_predicate(spark, sf_dir):
     near = vectors.cosine(F.col("embedding"), F.lit(oracles.QUERY_5))

@@ -315,6 +315,7 @@ arc AS (SELECT subject, cycle, any_value(ct) AS ct, sum(n)::BIGINT AS absorbed,
 SELECT subject, sum(absorbed)::BIGINT AS represented, count(*) AS milestones, max_by(label, cycle) AS core_label, round(max(ct), 6) AS last_touch FROM arc GROUP BY 1""",
     "stream_living": f"WITH {ALIVE} SELECT subject, count(*) AS living, round(sum(w), 6) AS weight FROM alive GROUP BY 1",
 }
+ORACLES["predicate_pruned"] = f"WITH {P0} SELECT seq FROM p WHERE {PREDICATES['predicate_trait_numeric'][1]}"
 for _name, (_, _sql) in PREDICATES.items():
     ORACLES[_name] = f"WITH {P0} SELECT seq, subject FROM p WHERE tick <= {NOW} AND ({_sql})"
 _STOP = "this that with from have your just they them their what when which would could about there here into than then some more most very really much many like good great best well also even still movie movies film films review reviewed stars star watch watched story dont didnt isnt thing things make made show shows text phrase"
