@@ -48,6 +48,7 @@ from .textbatch import release_memory, texts_of
 
 BROADCAST_COUNTS = 1_000_000
 CAPACITY = 2048
+HELD_TOKENS = 1 << 18
 END_ID = 0
 VOCABULARY_BYTES = 64 << 20
 
@@ -210,22 +211,38 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _piece_map(shared, capacity: int, end_id: int, with_ids: bool):
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank"]
+
+    def written(rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        if not with_ids:
+            return pa.RecordBatch.from_arrays(columns, names)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))], [*names, "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value).encode_to_numpy
         task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
+        rows: list[tuple] = []
+        held: list[np.ndarray] = []
+        tokens = 0
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7 + with_ids)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 ids = np.concatenate([encode(text, allowed_special="all"), end]) if text is not None else end
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length].astype("<u4")
-                    for column, value in zip(rows, (doc_id, piece, start, length, zlib.crc32(own.tobytes()), task, ranks[length], own.tolist() if with_ids else None), strict=False):
-                        column.append(value)
+                    rows.append((doc_id, piece, start, length, zlib.crc32(own.tobytes()), task, ranks[length]))
                     ranks[length] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names[: len(rows)])
+                    if with_ids:
+                        held.append(own)
+                tokens += len(ids)
+                if tokens >= HELD_TOKENS:
+                    yield written(rows, held)
+                    rows, held, tokens = [], [], 0
+        if rows:
+            yield written(rows, held)
         release_memory()
 
     return run
