@@ -5,7 +5,7 @@ intention vector again. Such cycles are left open and made up when the subject i
 next touched or read: its old living set is distilled once, and the vector is
 absorbed at the tick of each open cycle. The result equals that of breathing every time.
 
-Which subjects change is read from the calendar: perceptions are kept by the day they
+Which subjects change is read from the calendar: perceptions are kept by the week they
 expire and by the breath before which they came, so a breath reads what arrived since
 the last one and what expires between the two, and of these subjects the living rows. It
 writes a row for each changed subject, beside the earlier ones; the newest counts.
@@ -27,6 +27,8 @@ from .archetype import SCHEMA, Archetype
 from .consolidate import cycles_of
 from .ordered import Row, ordered_fold
 
+WEEK = 7 * physics.DAY
+
 #: ``upto``: cycles that the row has made up.
 STORED = f"{SCHEMA}, upto int"
 
@@ -96,7 +98,7 @@ def caught_up(archetypes: DataFrame, perceptions: DataFrame, ticks: list[float],
 class LazyMemory:
     """Perceptions and archetypes in a folder that all executors share, with lazy breaths.
 
-    ``perceptions/since=s/day=d`` holds what came after s breaths and expires on day d, ``archetypes/cycle=k``
+    ``perceptions/since=s/due=d`` holds what came after s breaths and expires in week d, ``archetypes/cycle=k``
     what breath k rewrote, ``ticks`` the tick of each breath. A breath counts once its tick is
     written, after its rows; one that failed before is run again and replaces what it left.
     """
@@ -113,7 +115,7 @@ class LazyMemory:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
     def perceptions(self) -> DataFrame:
-        return self._read("perceptions", f"{PERCEPTIONS}, since int, day int")
+        return self._read("perceptions", f"{PERCEPTIONS}, since int, due int")
 
     def stored(self) -> DataFrame:
         """The newest row of each subject among breaths that count."""
@@ -122,10 +124,10 @@ class LazyMemory:
         return rows.withColumn("_r", newest).where("_r = 1").drop("_r", "cycle")
 
     def perceive(self, rows: DataFrame) -> None:
-        """Take in perceptions, by the day they expire."""
-        day = F.coalesce(F.floor(F.col("expires_at") / physics.DAY), F.lit(-1)).cast("int")
-        kept = rows.select(*(f.split()[0] for f in PERCEPTIONS.split(", "))).withColumn("day", day)
-        kept.repartition("day").sortWithinPartitions("day", "expires_at").write.mode("append").partitionBy("day").parquet(f"{self.folder}/perceptions/since={len(self.ticks)}")
+        """Take in perceptions, by the week they expire."""
+        due = F.coalesce(F.floor(F.col("expires_at") / WEEK), F.lit(-1)).cast("int")
+        kept = rows.select(*(f.split()[0] for f in PERCEPTIONS.split(", "))).withColumn("due", due)
+        kept.repartition("due").sortWithinPartitions("due", "expires_at").write.mode("append").partitionBy("due").parquet(f"{self.folder}/perceptions/since={len(self.ticks)}")
 
     def breathe(self, now: float) -> int:
         """One breath; the number of rows it wrote."""
@@ -133,7 +135,7 @@ class LazyMemory:
             raise ValueError("time doesn't run backwards")
         ticks = [*self.ticks, now]
         path = f"{self.folder}/archetypes/cycle={len(ticks)}"
-        known = self.perceptions().where(F.col("day") >= int((self.ticks[-1] if self.ticks else 0.0) // physics.DAY))  # earlier days are over
+        known = self.perceptions().where(F.col("due") >= int((self.ticks[-1] if self.ticks else 0.0) // WEEK))  # earlier weeks are over
         lazy_breath(self.stored(), known, ticks, resilience=self.resilience).write.mode("overwrite").parquet(path)
         tick = self.spark.createDataFrame([(len(ticks), float(now))], "cycle int, tick double")
         tick.coalesce(1).write.mode("append").parquet(f"{self.folder}/ticks")
@@ -144,7 +146,7 @@ class LazyMemory:
         """All archetypes (or one) as after the last breath."""
         if not self.ticks:
             return self.spark.createDataFrame([], SCHEMA)
-        stored, known = self.stored(), self.perceptions().where(F.col("day") >= int(self.ticks[-1] // physics.DAY))
+        stored, known = self.stored(), self.perceptions().where(F.col("due") >= int(self.ticks[-1] // WEEK))
         if subject is not None:
             stored, known = stored.where(F.col("subject") == subject), known.where(F.col("subject") == subject)
         return caught_up(stored, known, self.ticks, resilience=self.resilience)
