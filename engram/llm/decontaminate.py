@@ -46,7 +46,7 @@ from .textbatch import U64, Words, alphanumeric_words, inside, lower_ascii, rele
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 SHARE = 20  # contaminated if at least one word in so many is hit
 
 _WORD, _FOLD = alphanumeric_words(), lower_ascii()
