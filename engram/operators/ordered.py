@@ -2,7 +2,8 @@
 
 Rows are dealt by key, sorted inside the partition and streamed through the fold
 in Arrow batches. A key's rows are never gathered: memory holds one batch and the
-fold's state, so a key with a large share of all rows is slow at worst, not fatal.
+fold's state. A key with a large share of all rows is slow; where the state grows with the
+rows (facts of a subject), such keys are cut into independent groups before they come here.
 """
 
 from __future__ import annotations
