@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, FloatType, IntegerType, StructField, StructType
 
 from ..functions import physics, vectors
-from ..sources.shared import remove_folder, shared_folder
+from ..sources.shared import remove_folder, shared_folder, staged
 from .retrieval import living, nearest_exact, points, resonate, subjects_by_rank
 
 # Fixed value of the memory model.
@@ -382,7 +382,11 @@ class Retriever:
         self._index = None
 
     def resonate_subjects(self, archetypes: DataFrame, query: list[float], k: int, now: float, *, version: object = None, theta: float = physics.THETA_FADE) -> DataFrame:
-        """(subject, rank); where ``version`` has changed, the index takes in the points that differ."""
+        """(subject, rank); where ``version`` has changed, the index takes in the points that differ.
+
+        The archetypes are read several times and so written first, once, whatever made them.
+        """
+        archetypes = staged(archetypes, "archetypes")
         if archetypes.limit(self.flat_limit + 1).count() <= self.flat_limit:
             rows = resonate(archetypes, query, k, now, theta)
             return rows.select("subject", F.row_number().over(Window.orderBy(F.desc("score"), "subject")).alias("rank"))
