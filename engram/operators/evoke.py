@@ -6,7 +6,7 @@ heavy part, the aggregation to archetypes, is done before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ from .ordered import Row
 TOKENS_PER_VECTOR = 24
 SUMMARY_POINTS = 4
 
+SLICE = 64  # archetypes that are Python objects at once
+
 SCHEMA = (
     "subject string, core array<double>, core_label string, anomalies array<array<double>>, anomaly_labels array<string>, arc_points array<struct<tick:double,drift:double>>, arc_labels array<string>, "
     f"arc_label_histograms array<{HISTOGRAM}>, domain_arcs array<struct<label:string,series:array<double>>>, mode_drifts array<struct<label:string,drift:double>>, represented bigint, anomalies_included bigint, vectors_returned bigint, token_estimate bigint, compression_ratio double, resonating_mode string"
@@ -91,16 +93,21 @@ def evoke_row(a: Row, request: Request, now: float) -> Row | None:
     }
 
 
+def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def evoke(archetypes: DataFrame, request: Request, now: float) -> DataFrame:
     """Contexts of all living archetypes."""
     kind = _parse_datatype_string(SCHEMA)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = [c for r in batch.slice(start, 256).to_pylist() if (c := evoke_row(r, request, now)) is not None]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        for batch in slices(batches):
+            rows = [c for r in batch.to_pylist() if (c := evoke_row(r, request, now)) is not None]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return archetypes.mapInArrow(run, kind)
 
@@ -135,7 +142,7 @@ def evoke_unified(archetypes: DataFrame, facts: DataFrame, request: Request, fac
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 spent = r["fact_tokens"] or 0
