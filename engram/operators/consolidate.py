@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby, islice
@@ -19,15 +20,20 @@ from .distill import INTENTION, THETA_ANOMALY, THETA_REDUNDANCY, Leaders, cluste
 from .ordered import Row, ordered_fold
 
 
+ROWS_A_TASK = 500_000
+
+
 def _in_order(live: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of each subject by cycle and arrival, after a row with the cycle's centroid (summed before, map-side first).
 
-    Rows without a vector don't take part.
+    Rows without a vector don't take part. Tasks grow in number with the rows, which are counted first: their compressed size in the shuffle
+    says little about the memory that a task's sort takes.
     """
     live = live.where(F.col("embedding").isNotNull())
+    tasks = max(1, live.sparkSession.sparkContext.defaultParallelism, math.ceil(live.count() / ROWS_A_TASK))
     marks = vectors.centroids(live, keys).select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("centroid").alias("v"), F.lit(None).cast("string").alias("label"))
     rows = live.select(*keys, F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), vectors.as_double(F.col("embedding")).alias("v"), "label")
-    return marks.unionByName(rows).repartition("subject").sortWithinPartitions(*keys, "kind", "seq")
+    return marks.unionByName(rows).repartition(tasks, "subject").sortWithinPartitions(*keys, "kind", "seq")
 
 
 class _Cycle:
