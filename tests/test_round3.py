@@ -36,3 +36,13 @@ def test_tasks_of_a_replay_follow_the_rows(spark, monkeypatch):
 def test_slices_of_batches():
     batches = [pa.record_batch({"x": list(range(n))}) for n in (0, 1, 700)]
     assert [b.num_rows for b in evoke.slices(batches, 256)] == [1, 256, 256, 188]
+
+
+def test_copies_cost_an_index_no_recall_and_no_leaves(spark):
+    x = np.random.default_rng(3).normal(0, 1, (60, 12))
+    rows = spark.createDataFrame([(j * 60 + i, x[i].tolist()) for j in range(100) for i in range(60)], "id long, v array<double>")
+    index = tree_index.TreeIndex(rows, "id", "v")
+    assert index.recall == 1.0 and index.probes < len(index.tree.leaves) / 4
+    found = index.join(rows.where("id < 60"), "id", "v", 10).select("query", "id").collect()
+    assert {(r.query, r.id) for r in found} == {(i, j * 60 + i) for i in range(60) for j in range(10)}
+    index.close()
