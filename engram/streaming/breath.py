@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 
@@ -129,59 +130,47 @@ def stream_by_pressure(spark: SparkSession, path: str) -> DataFrame:
     return _drained(pressure(event_stream(spark, path)), "complete")
 
 
-_STATE = "ticks array<double>, saliences array<double>, lambdas array<double>"
-_OUTPUT = "subject string, living bigint, weight double"
+def living(perceptions: DataFrame, now: float) -> DataFrame:
+    """(subject, living, weight) of the perceptions that live at ``now``, in batch or streaming.
 
-
-def living_state(now: float, theta: float = physics.THETA_FADE) -> Callable:
-    """State function: keeps a subject's perceptions that live at ``now`` and emits their number and weight.
-
-    What has faded by ``now`` leaves the state at once, so state follows living rows, not history.
+    What has come after ``now`` or faded by then never enters the state, which is a number and a sum for each subject.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        ticks, saliences, lambdas = (list(x) for x in state.get) if state.exists else ([], [], [])
-        for b in batches:
-            b = b[b["tick"] <= now]
-            w = b["salience"] * np.exp(-b["lambda"] * np.maximum(now - b["tick"], 0.0))
-            b = b[w >= theta]
-            ticks += b["tick"].tolist()
-            saliences += b["salience"].tolist()
-            lambdas += b["lambda"].tolist()
-        state.update((ticks, saliences, lambdas))
-        w = np.array(saliences) * np.exp(-np.array(lambdas) * np.maximum(now - np.array(ticks), 0.0))
-        yield pd.DataFrame({"subject": [key[0]], "living": [len(ticks)], "weight": [round(float(w.sum()), 6)]})
-
-    return run
+    rows = perceptions.where((F.col("tick") <= now) & (F.col("expires_at") >= now))
+    w = physics.weight(now, F.col("salience"), F.col("lambda"), F.col("tick"))
+    return rows.groupBy("subject").agg(F.count("*").alias("living"), F.round(F.sum(w), 6).alias("weight"))
 
 
 def stream_living(spark: SparkSession, path: str, now: float) -> DataFrame:
     """Living perceptions per subject after the stream ran dry; the last state of each subject counts."""
-    rows = event_stream(spark, path).select("subject", "tick", "salience", "lambda")
-    states = rows.groupBy("subject").applyInPandasWithState(living_state(now), _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
-    last = _drained(states, "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"), F.max_by("weight", "batch").alias("weight"))
-    return last.where("living > 0")
+    return _drained(living(event_stream(spark, path), now), "update").groupBy("subject").agg(F.max_by("living", "batch").alias("living"), F.max_by("weight", "batch").alias("weight"))
+
 
+BUCKETS = 2048  # of subjects, each with one state
 
-_EXPIRING = "expires array<double>"
+_EXPIRING = "subjects array<string>, expires array<double>"
 _LEFT = "subject string, living bigint"
 
 
 def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps when a subject's perceptions expire; a timer at the next of these drops it once event time has come there."""
-    held = list(state.get[0]) if state.exists else []
+    """Keeps when the perceptions of a bucket of subjects expire; a timer at the next of these drops it once event time has come there.
+
+    A call costs the same for one subject as for hundreds, hence buckets. Subjects with arrivals or losses are given out.
+    """
+    subjects, expires = (list(x) for x in state.get) if state.exists else ([], [])
+    known = len(subjects)
     for b in batches:
-        held += b["expires"].tolist()
+        subjects += b["subject"].tolist()
+        expires += b["expires"].tolist()
     now = state.getCurrentWatermarkMs()
-    held = [x for x in held if x * 1000 >= now]
+    held = [(s, x) for s, x in zip(subjects, expires, strict=True) if x * 1000 >= now]
+    told = dict.fromkeys(subjects[known:]) | dict.fromkeys(s for s, x in zip(subjects, expires, strict=True) if x * 1000 < now)
     if held:
-        state.update((held,))
-        state.setTimeoutTimestamp(max(int(min(held) * 1000) + 1, now + 1))
+        state.update(([s for s, _ in held], [x for _, x in held]))
+        state.setTimeoutTimestamp(max(int(min(x for _, x in held) * 1000) + 1, now + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame({"subject": [key[0]], "living": [len(held)]})
+    left = Counter(s for s, _ in held)
+    yield pd.DataFrame({"subject": pd.Series(list(told), dtype=object), "living": pd.Series([left[s] for s in told], dtype="int64")})
 
 
 def expiring(perceptions: DataFrame, lateness: str = "0 seconds") -> DataFrame:
@@ -191,7 +180,8 @@ def expiring(perceptions: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     """
     epoch = lambda c: F.col(c) + fx.EPOCH_START
     rows = perceptions.where(F.col("expires_at").isNotNull()).select("subject", epoch("tick").cast("timestamp").alias("at"), epoch("expires_at").alias("expires"))
-    return rows.withWatermark("at", lateness).groupBy("subject").applyInPandasWithState(_expire, _LEFT, _EXPIRING, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withWatermark("at", lateness).withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").applyInPandasWithState(_expire, _LEFT, _EXPIRING, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_expiry(spark: SparkSession, path: str, lateness: str = "0 seconds") -> DataFrame:

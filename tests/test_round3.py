@@ -5,7 +5,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from engram.operators import archetype, consolidate, evoke, tree_index
+from engram.plans import catalog
 from engram.sources import fixtures as fx
+from engram.streaming import breath
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,18 @@ def test_copies_cost_an_index_no_recall_and_no_leaves(spark):
     found = index.join(rows.where("id < 60"), "id", "v", 10).select("query", "id").collect()
     assert {(r.query, r.id) for r in found} == {(i, j * 60 + i) for i in range(60) for j in range(10)}
     index.close()
+
+
+def test_streams_keep_few_states_and_plain_sums(spark, monkeypatch):
+    """Subjects share states, and each is told as if alone; living perceptions are summed by the engine, without Python."""
+    monkeypatch.setattr(breath, "BUCKETS", 3)
+    state = breath.expiring(fx.perceptions_of(spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(SF)))
+    assert "bucket" in state._jdf.queryExecution().analyzed().toString()
+    rows = breath.living(fx.perceptions(spark, SF), 864_000.0)
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() > 5
+
+
+def test_arrivals_come_in_as_many_files_whatever_the_table_is_cut_into(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(30).write.parquet(str(tmp_path / "events.parquet"))
+    read = spark.read.parquet(catalog._arrivals(spark, str(tmp_path)))
+    assert read.count() == spark.read.parquet(f"{SF}/events.parquet").count() and len(read.inputFiles()) <= 21
