@@ -30,15 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir[0]
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later reads survive lost executors, and work that must
     not run twice (chunk ids, ranks) is fixed. The table goes at interpreter exit.
+    ``options`` are those of Spark's Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/engram-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

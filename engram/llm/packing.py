@@ -50,10 +50,10 @@ BROADCAST_COUNTS = 1_000_000
 CAPACITY = 2048
 HELD_TOKENS = 1 << 18
 END_ID = 0
+ROW_GROUP_BYTES = 4 << 20
 VOCABULARY_BYTES = 64 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class SumIndex:
@@ -202,6 +202,13 @@ def encoder(spec: bytes):
     return _ENCODERS[key]
 
 
+def forget_encoder() -> None:
+    """A worker that goes on to other work needs the vocabulary's memory no more."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        release_memory()
+
+
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
     if total <= capacity:
@@ -248,18 +255,19 @@ def _piece_map(shared, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _place_map(shared, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placing(shared):
+    """(length, rank) to the sequence and offset. Only these two columns go to Python, so that ids stay where they are."""
+
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        forget_encoder()
         keys, bases, offsets = shared.value
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("task_rank").to_numpy() + batch.column("before").to_numpy()
-            at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
-            sequence = bases[at] + rank - (keys[at] - (length << 48)) if len(at) else rank
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence, pa.int64()), pa.array(offsets[at], pa.int64())], [*names, "sequence_id", "offset"])
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
+        sequence = bases[at] + rank - (keys[at] - (length << 48)) if len(at) else rank
+        return pa.StructArray.from_arrays([pa.array(sequence, pa.int64()), pa.array(offsets[at], pa.int64())], ["sequence_id", "offset"])
 
-    return run
+    return place
 
 
 def pack(documents: DataFrame, vocabulary: bytes, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -270,16 +278,17 @@ def pack(documents: DataFrame, vocabulary: bytes, *, capacity: int = CAPACITY, e
     context = documents.sparkSession.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     more = ", ids array<int>" if with_ids else ""
-    pieces = stage_table(docs.mapInArrow(_piece_map(context.broadcast(vocabulary), capacity, end_id, with_ids), _PIECES + more), "pieces")
+    # A column of a row group is read in one go, outside the heap: small groups keep that small where ids are long.
+    pieces = stage_table(docs.mapInArrow(_piece_map(context.broadcast(vocabulary), capacity, end_id, with_ids), _PIECES + more), "pieces", **{"parquet.block.size": ROW_GROUP_BYTES})
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = context.broadcast(Plan(lengths, capacity).places())
-    kinds = SCHEMA.replace(", sequence_id", more + ", sequence_id")
     if with_ids and counts.count() <= BROADCAST_COUNTS:  # so that ids stay where they are
         before = F.broadcast(before)
-    return pieces.join(before, ["task", "length"]).mapInArrow(_place_map(places, with_ids), kinds)
+    placed = pieces.join(before, ["task", "length"]).withColumn("place", _placing(places)("length", F.col("task_rank") + F.col("before")))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "place.sequence_id", "place.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
