@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import physics, vectors
 from ..sources.shared import staged
 from .archetype import Trace
-from .links import groups_of
+from .links import SLACK, groups_of
 from .ordered import Row, ordered_fold
 
 # Fixed values of the memory model.
@@ -56,7 +56,7 @@ def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DE
 
     The rows of a subject are folded in order, in one task. A subject with more than ``hot`` rows is
     first cut into groups that may merge (see :mod:`links`): rows alone in their group are
-    facts as they are, each other group is folded by itself. The result is the same.
+    facts as they are, each other group is folded by itself, without copies, which are counted. The result is the same.
     """
     rows = new.select("seq", "subject", "text", vectors.as_double(F.col("embedding")).alias("embedding"), "provenance", F.col("tick").alias("created_at"), "salience", physics.lambda_from_halflife(F.col("halflife")).alias("lambda"), F.lit(0.0).alias("reinforcement"), F.col("tick").alias("last_touch"), F.lit(1).alias("_new"))
     if known is not None:
@@ -70,13 +70,84 @@ def remember(known: DataFrame | None, new: DataFrame, *, theta: float = THETA_DE
 
 
 def _remember_hot(rows: DataFrame, hot: DataFrame, theta: float) -> DataFrame:
+    """Copies of a vector don't go through the folds: only the first can become a fact, the others touch the fact nearest to it at their time and are counted."""
     rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "facts")
     many = rows.join(hot, "subject", "left_semi")
-    groups = staged(groups_of(many.select("rid", "subject", F.col("embedding").alias("v")), theta), "groups")
-    placed = many.join(groups, "rid", "left").drop("rid")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
+    # Copies whose cosine to one another is surely above theta; a zero vector's is 0.
+    alike = (F.col("_new") == 1) & vectors.norm(F.col("embedding")).between(1e-100, 1e100) & F.lit(theta <= 1 - SLACK)
+    firsts = staged(many.where(alike).groupBy("subject", "embedding").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    met = many.join(firsts.withColumn("_new", F.lit(1)), ["subject", "embedding", "_new"], "left")
+    kept = staged(met.where("first IS NULL OR seq = first"), "kept")
+    copies = met.where("seq > first").select("subject", "embedding", "seq", "created_at")
+    groups = staged(groups_of(kept.select("rid", "subject", F.col("embedding").alias("v")), theta), "groups")
+    placed = kept.join(groups, "rid", "left").withColumn("group", F.coalesce("group", F.when(F.col("first").isNotNull(), F.col("rid"))))
     alone = placed.where(F.col("group").isNull()).select(*names)
-    return alone.unionByName(_folded(placed.where(F.col("group").isNotNull()), ["subject", "group"], theta)).unionByName(_folded(rows.join(hot, "subject", "left_anti").drop("rid"), ["subject"], theta))
+    found = staged(_told(placed.where(F.col("group").isNotNull()).drop("first", "n"), theta), "told")
+    nearest = staged(_nearest_in_time(found, placed.where(F.col("first").isNotNull())), "nearest")
+    counted = copies.join(nearest, ["subject", "embedding"]).where((F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("until"))).groupBy("fact").agg(F.count("*").alias("more"), F.max("seq").alias("more_seq"), F.max_by("created_at", "seq").alias("more_at"))
+    touched = _touched(found.join(counted, found["rid"] == counted["fact"], "left").drop("fact"))
+    return alone.unionByName(touched).unionByName(_folded(rows.join(hot, "subject", "left_anti").drop("rid"), ["subject"], theta))
+
+
+def _told(rows: DataFrame, theta: float) -> DataFrame:
+    """The facts of each group as they began, with how many rows touched them, and the last of these."""
+
+    def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
+        facts: list[Row] = []
+        units: dict[int, _Units] = {}  # by length
+        for r in own:
+            v = np.asarray(r["embedding"], float)
+            same = units.setdefault(len(v), _Units(len(v)))
+            best, at = same.nearest(v) if r["_new"] else (-2.0, -1)
+            if at >= 0 and best >= theta:
+                facts[at] |= {"touches": facts[at]["touches"] + 1, "touch_seq": r["seq"], "touch_at": r["created_at"]}
+            else:
+                same.add(v, len(facts))
+                facts.append(r | {"touches": 0, "touch_seq": None, "touch_at": None})
+        yield from facts
+
+    return ordered_fold(rows, ["subject", "group"], ["_new", "seq"], fold, f"{SCHEMA}, rid bigint, group bigint, _new int, touches bigint, touch_seq bigint, touch_at double")
+
+
+def _nearest_in_time(facts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(subject, embedding, fact, since, until): the fact that a vector's copies touch from one ``seq`` on until another. A later fact counts from its own ``seq`` on, if it is as near."""
+    columns = ["subject", "group", "embedding", "_new", "seq", "rid"]
+    both = facts.select(*columns, F.lit(0).alias("kind")).unionByName(firsts.select(*columns, F.lit(1).alias("kind")))
+
+    def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
+        units: dict[int, _Units] = {}  # by length
+        known: dict[int, list[tuple[int, int, int]]] = {}
+        for r in own:
+            v = np.asarray(r["embedding"], float)
+            same, orders = units.setdefault(len(v), _Units(len(v))), known.setdefault(len(v), [])
+            if r["kind"] == 0:
+                same.add(v, len(orders))
+                orders.append((r["_new"], r["seq"], r["rid"]))
+                continue
+            near = same.rows[: len(orders)] @ (v / np.sqrt(v @ v))
+            best = np.flatnonzero(near >= np.maximum.accumulate(near)).tolist()  # each as near as all before it
+            before = sum(orders[i][:2] <= (1, r["seq"]) for i in best)
+            steps = best[max(before - 1, 0) :]
+            since = [r["seq"], *(orders[i][1] for i in steps[1:])]
+            for i, start, end in zip(steps, since, [*since[1:], 2**63 - 1], strict=True):
+                yield {"subject": key[0], "embedding": r["embedding"], "fact": orders[i][2], "since": start, "until": end}
+
+    return ordered_fold(both, ["subject", "group"], ["kind", "_new", "seq"], fold, "subject string, embedding array<double>, fact bigint, since bigint, until bigint")
+
+
+def _touched(facts: DataFrame) -> DataFrame:
+    """Facts after all their touches, by rows and by copies (``more``)."""
+
+    def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
+        for r in own:
+            trace = Trace.of(r)
+            last, at = max([(r[f"{x}_seq"], r[f"{x}_at"]) for x in ("touch", "more") if r[f"{x}_seq"] is not None], default=(None, None))
+            for _ in range(r["touches"] + (r["more"] or 0)):
+                trace.touch(at, CONSOLIDATION)
+            yield r | trace.row()
+
+    return ordered_fold(facts, ["rid"], [], fold, SCHEMA)
 
 
 def _folded(rows: DataFrame, keys: list[str], theta: float) -> DataFrame:
@@ -84,7 +155,6 @@ def _folded(rows: DataFrame, keys: list[str], theta: float) -> DataFrame:
         facts: list[Row] = []
         units: dict[int, _Units] = {}  # by length
         for r in own:
-            r.pop("group", None)
             v = np.asarray(r["embedding"], float)
             same = units.setdefault(len(v), _Units(len(v)))
             best, at = same.nearest(v) if r.pop("_new") else (-2.0, -1)
