@@ -9,7 +9,7 @@ from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -23,6 +23,11 @@ from .ordered import Row, ordered_fold
 ROWS_A_TASK = 500_000
 
 
+def state_tasks(spark: SparkSession) -> int:
+    """The number of tasks that fold archetypes; for all cores, and more, so that none holds many."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def _in_order(live: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of each subject by cycle and arrival, after a row with the cycle's centroid (summed before, map-side first).
 
@@ -154,21 +159,20 @@ def breathe(archetypes: DataFrame | None, perceptions: DataFrame, now: float, *,
     if where is not None:
         live = live.where(where)
     fresh = cycles_of(live.withColumn("cycle", F.lit(0)), F.lit(now)).drop("cycle")
-    if archetypes is None:
-        rows = fresh.select("subject", F.lit(None).cast("struct<x:int>").alias("_none"), F.struct(*[c for c in fresh.columns if c != "subject"]).alias("iv"))
-        both = rows.drop("_none").withColumn("old", F.lit(None).cast("string"))
-    else:
-        old = archetypes.select("subject", F.struct(*archetypes.columns).alias("old"))
-        both = old.join(fresh.select("subject", F.struct(*[c for c in fresh.columns if c != "subject"]).alias("iv")), "subject", "full_outer")
+    rows = fresh.select("subject", F.lit(1).alias("kind"), F.struct(*[c for c in fresh.columns if c != "subject"]).alias("iv"))
+    if archetypes is not None:  # each before its intention vector: one shuffle, no join
+        rows = archetypes.select("subject", F.lit(0).alias("kind"), F.struct(*archetypes.columns).alias("old")).unionByName(rows, allowMissingColumns=True)
 
     def fold(key: tuple, own: Iterator[Row]) -> Iterator[Row]:
+        state = Archetype(key[0])
         for r in own:
-            state = Archetype.of(r["old"]) if r["old"] else Archetype(key[0])
-            if r["iv"]:
+            if r["kind"] == 0:
+                state = Archetype.of(r["old"])
+            else:
                 state.absorb(r["iv"], r["iv"]["tick"], resilience)
-            yield state.row()
+        yield state.row()
 
-    return ordered_fold(both, ["subject"], [], fold, SCHEMA)
+    return ordered_fold(rows, ["subject"], ["kind"], fold, SCHEMA, state_tasks(perceptions.sparkSession))
 
 
 def sweep(perceptions: DataFrame, now: float, drop_if: Column | None = None) -> DataFrame:

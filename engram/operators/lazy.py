@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..sources.ingest import SCHEMA as PERCEPTIONS
 from .archetype import SCHEMA, Archetype
-from .consolidate import cycles_of
+from .consolidate import cycles_of, state_tasks
 from .ordered import Row, ordered_fold
 
 WEEK = 7 * physics.DAY
@@ -78,7 +78,7 @@ def _made_up(archetypes: DataFrame, perceptions: DataFrame, ticks: list[float],
             if state.trace is not None:
                 yield state.row() | {"upto": k}
 
-    return ordered_fold(old.join(found, "subject", "full_outer"), ["subject"], [], fold, STORED)
+    return ordered_fold(old.join(found, "subject", "full_outer"), ["subject"], [], fold, STORED, state_tasks(perceptions.sparkSession))
 
 
 def lazy_breath(archetypes: DataFrame, perceptions: DataFrame, ticks: list[float], *, resilience: str = "high") -> DataFrame:

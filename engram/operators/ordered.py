@@ -20,8 +20,11 @@ Row = dict
 Fold = Callable[[tuple, Iterator[Row]], Iterator[Row]]
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str | StructType) -> DataFrame:
-    """Run ``fold(key, rows in order)`` for each key; it yields rows of ``schema``."""
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str | StructType, tasks: int | None = None) -> DataFrame:
+    """Run ``fold(key, rows in order)`` for each key; it yields rows of ``schema``.
+
+    The engine chooses the number of tasks by the size of the shuffle, unless ``tasks`` is given: states of repeated vectors weigh little there and much in Python.
+    """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
@@ -39,4 +42,4 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return df.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)

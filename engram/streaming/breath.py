@@ -81,10 +81,12 @@ def enqueue(rows: DataFrame, folder: str, queue: int = QUEUE) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", queue).parquet(folder)
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Perceptions of a growing event table, a file at a time (see :func:`enqueue`)."""
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """Perceptions of a growing event table, a file at a time (see :func:`enqueue`), or with none all that wait."""
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    source = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
     if not is_folder(spark, path):  # a stream watches a folder: here that of the one file
         path, _, name = path.rpartition("/")
         source = source.option("pathGlobFilter", name)
@@ -247,10 +249,9 @@ class BreathingStream:
         if now is None:
             return
         old = self.store.read("archetypes", ARCHETYPES) if self.store.version("archetypes") else None
-        live = known.where((F.col("tick") <= now) & (F.col("expires_at") >= now))
-        subjects, absorbed = live.agg(F.countDistinct("subject"), F.count("*")).first()
-        left = consolidate.sweep(known, now)
-        total, kept = known.count(), left.count()
+        alive, left = (F.col("tick") <= now) & (F.col("expires_at") >= now), consolidate.sweep(known, now)
+        held = known.select("subject", alive.alias("alive"), physics.is_faded(now, F.col("expires_at")).alias("faded"))
+        total, kept, absorbed, subjects = held.agg(F.count("*"), F.count_if(~F.col("faded")), F.count_if("alive"), F.countDistinct(F.when(F.col("alive"), F.col("subject")))).first()
         told = replace(self.stats, pending=0, short_term_len=kept)
         told.add(cause, subjects, absorbed, total - kept)
         self.store.commit({"archetypes": consolidate.breathe(old, known, now), "perceptions": left}, marks=marks | {"pending": 0, "stats": asdict(told)})
