@@ -17,7 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import physics, vectors
 from .archetype import SCHEMA, Archetype
 from .distill import INTENTION, THETA_ANOMALY, THETA_REDUNDANCY, Leaders, cluster_modes, ranked_labels
-from .ordered import Row, ordered_fold
+from .ordered import Row, dealt, ordered_fold
 
 
 ROWS_A_TASK = 500_000
@@ -38,7 +38,7 @@ def _in_order(live: DataFrame, keys: list[str]) -> DataFrame:
     tasks = max(1, live.sparkSession.sparkContext.defaultParallelism, math.ceil(live.count() / ROWS_A_TASK))
     marks = vectors.centroids(live, keys).select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("centroid").alias("v"), F.lit(None).cast("string").alias("label"))
     rows = live.select(*keys, F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), vectors.as_double(F.col("embedding")).alias("v"), "label")
-    return marks.unionByName(rows).repartition(tasks, "subject").sortWithinPartitions(*keys, "kind", "seq")
+    return dealt(marks.unionByName(rows), ["subject"], tasks).sortWithinPartitions(*keys, "kind", "seq")
 
 
 class _Cycle:

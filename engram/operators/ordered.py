@@ -13,6 +13,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -20,6 +21,15 @@ Row = dict
 Fold = Callable[[tuple, Iterator[Row]], Iterator[Row]]
 
 
+def dealt(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """The rows of each key in one partition, by a hash of the keys.
+
+    Not by the keys themselves: the planner leaves out a repartition by columns by which a join or a union of joins is dealt already. Nothing then
+    holds adaptive execution to that deal, and it joins the partitions of each side of a union, or splits those of a join, by their sizes.
+    """
+    return df.repartition(*([tasks] if tasks else []), F.xxhash64(*keys))
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str | StructType, tasks: int | None = None) -> DataFrame:
     """Run ``fold(key, rows in order)`` for each key; it yields rows of ``schema``.
 
@@ -42,4 +52,4 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return dealt(df, keys, tasks).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
