@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import consolidate
+from engram.operators import consolidate, retrieval
 from engram.operators.ordered import ordered_fold
 
 ROWS = [(i, f"s{i % 40}", "a" if i % 3 else "b") for i in range(2000)]
@@ -42,3 +42,11 @@ def test_a_key_is_folded_once(spark, joined, tasks):
 
     got = ordered_fold(joined.select("subject", "seq"), ["subject"], ["seq"], fold, "subject string, n bigint", tasks).collect()
     assert Counter({r.subject: r.n for r in got}) == Counter(s for _, s, _ in ROWS) + Counter(s for i, s, _ in ROWS if i < 80) and len(got) == 40
+
+
+def test_pairs_send_floats_as_they_are(spark):
+    rows = spark.createDataFrame([(i, i % 3, [0.1 * i, 0.3, 1.0 / (i + 1)]) for i in range(60)], "id long, label int, v array<float>")
+    pairs = retrieval.all_pairs(rows, "label", "id", "v")
+    assert "as array<double>" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    wide = retrieval.all_pairs(rows.withColumn("v", F.col("v").cast("array<double>")), "label", "id", "v")
+    assert sorted(pairs.collect()) == sorted(wide.collect()) and pairs.count() == 3 * 190
